@@ -5,7 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facelake.llm.common import table
+from facelake.llm.common import scratch, table
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facelake.llm.token_counts import token_counts
+
+    counts = token_counts(table(spark, sf_dir, "documents"), scratch(spark, "token-cache"), "piece_bpe_32k.model")
+    return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facelake.llm.decontaminate import find_windows
+
+    found = find_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.aggregate(
+        F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y
+    )
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.size("starts") > 0).alias("contaminated"),
+    )
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facelake.llm import rules
+
+    entries = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), version=2)
+    return entries.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        rules.fails(("few_words", "repeated_windows")).alias("base_failed"), "kept", "failed", "policy",
+    )
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facelake.llm.token_files import read_tokens, write_tokens
+
+    folder = scratch(spark, "token-files")
+    manifest = write_tokens(table(spark, sf_dir, "documents"), folder, "word_bpe_49k.json", end_id=1)
+    return read_tokens(manifest, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +59,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_simhash": op9_simhash}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facelake.llm.html_extract import extract
+
+    texts = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_rules": op6_rules,
+    "op8_token_files": op8_token_files,
+    "op9_simhash": op9_simhash,
+    "op10_html_text": op10_html_text,
+}
 ORACLE_SQL: dict[str, str] = {}
