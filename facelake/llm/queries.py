@@ -32,6 +32,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facelake.llm.line_dedup import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, min_chars=20, max_edits=2).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from facelake.llm import rules
 
@@ -42,6 +49,18 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facelake.llm import pii
+
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), threshold=0.95, min_support=5)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[pii.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.label(F.col("base")), 256).alias("base_sha256"),
+        pii.label(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from facelake.llm.token_files import read_tokens, write_tokens
 
@@ -69,7 +88,9 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_decontaminate": op4_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
     "op6_rules": op6_rules,
+    "op7_personal_data": op7_personal_data,
     "op8_token_files": op8_token_files,
     "op9_simhash": op9_simhash,
     "op10_html_text": op10_html_text,
