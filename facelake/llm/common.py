@@ -15,6 +15,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table below sf_dir; the session's workers get this package's code on the way."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -72,3 +74,19 @@ def spans_of(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
     return edge[::2], edge[1::2]
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once for each application."""
+    import shutil
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        root = Path(__file__).resolve().parents[2]
+        name = f"{tempfile.mkdtemp(prefix='facelake-code-')}/facelake_code"
+        spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", root, "facelake"))

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from facelake.llm.common import scratch, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facelake.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), rounds=2, sure=0.99)
+    return quality.classify(docs, model, threshold=0.6).select("doc_id", "p_text", "p_meta", "p_bad", F.col("keep").alias("kept"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from facelake.llm.token_counts import token_counts
 
@@ -86,6 +94,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_token_counts": op3_token_counts,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
