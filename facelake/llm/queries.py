@@ -16,6 +16,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model, threshold=0.6).select("doc_id", "p_text", "p_meta", "p_bad", F.col("keep").alias("kept"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facelake.llm import spm_lattice
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = spm_lattice.decode(spm_lattice.encode(docs, "piece_bpe_32k.model"), "piece_bpe_32k.model")
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(spm_lattice.BLANK), F.lit(" "))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from facelake.llm.token_counts import token_counts
 
@@ -95,6 +104,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_token_counts": op3_token_counts,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
