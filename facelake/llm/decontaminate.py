@@ -34,8 +34,6 @@ WORDS = bytes(
 #: Bytes of text that are looked through at once.
 CHUNK = 4 << 20
 
-OUT = "id long, n_words long, starts array<int>, ends array<int>, items array<string>"
-
 
 class Windows:
     """A block of windows, by the numbers of their words, and the shingles they are found by."""
@@ -198,28 +196,33 @@ def _mark(docs: DataFrame, sent, last: bool) -> DataFrame:
                     starts.append(list(s))
                     ends.append(list(e))
                     listed.append(sorted({*old[2], *items.get(t, ())}))
-            out = [col["id"], pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(listed, pa.list_(pa.string()))]
-            names = ["id", "n_words", "starts", "ends", "items"]
+            out = [col["id"], col["row"], pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(listed, pa.list_(pa.string()))]
+            names = ["id", "row", "n_words", "starts", "ends", "items"]
             yield pa.record_batch(out if last else [*out, col["text"]], names=names if last else [*names, "text"])
 
-    return docs.mapInArrow(mark, OUT if last else f"{OUT}, text string")
+    schema = docs.select(
+        "id", "row", F.lit(0).cast("long").alias("n_words"), "starts", "ends", "items", *([] if last else ["text"])
+    ).schema
+    return docs.mapInArrow(mark, schema)
 
 
 def find_windows(
     docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, block_windows: int = 200_000,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, n_words, starts, ends, items): for each row of docs the spans of words, by their places in
+    """(id, row, n_words, starts, ends, items): for each row of docs the spans of words, by their places in
     the text, that lie inside an occurrence of an item's window, and the items they come from.
 
-    block_windows: the most windows (plus one item's) that are sent to the tasks at once.
+    block_windows: the most windows (plus one item's) that are sent to the tasks at once. carry: columns
+    of docs that `row` holds.
     """
     spark = docs.sparkSession
     none = F.array().cast("array<int>")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_column(docs, text_col))
+    kept = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), kept.alias("row"), text_column(docs, text_col))
     queries = items.select(F.col(f"`{item_col}`").cast("string"), text_column(items, item_text_col)).distinct()
     blocks = list(_blocks(queries, window, shingle, block_windows)) or [Windows([], window, shingle)]
-    found = rows.select("id", "text", none.alias("starts"), none.alias("ends"), F.array().cast("array<string>").alias("items"))
+    found = rows.select("id", "row", "text", none.alias("starts"), none.alias("ends"), F.array().cast("array<string>").alias("items"))
     for i, block in enumerate(blocks):
         block.choose(_count(rows, spark.sparkContext.broadcast(block)) if block.items else {})
         found = _mark(found, spark.sparkContext.broadcast(block), i == len(blocks) - 1)

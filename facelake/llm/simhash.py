@@ -1,8 +1,8 @@
 """Near-duplicate detection by SimHash over word shingles, with a Gray-order hierarchical index.
 
 Fingerprints are computed from whole texts, equal ones are folded before anything is compared, and
-the distinct ones meet only where whole blocks of bits agree: of `max_distance + 2` blocks, any two
-fingerprints at that distance or less share at least two. Inside such a group the fingerprints are
+the distinct ones meet only where whole blocks of bits agree: of `max_distance + s` blocks, any two
+fingerprints at that distance or less share at least s. Inside such a group the fingerprints are
 sorted by Gray rank, so that neighbours share most bits; runs of neighbours become the nodes of a
 hierarchy that hold the bit patterns their members share, and two nodes are compared member by
 member only while the differences accumulated on shared bits stay within the distance.
@@ -17,6 +17,7 @@ repeated rows stay repeated; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -33,38 +34,53 @@ FRONTIER = 1 << 20
 LARGE_GROUP = 50_000
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """SimHash of the text's word shingles as an unsigned 64-bit integer, 0 where it has no word."""
+#: Odd multipliers that turn one hash into further ones.
+MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def fingerprint(text: bytes, width: int, prints: int = 1) -> list[int]:
+    """SimHashes of the text's word shingles as unsigned 64-bit integers, 0 where it has no word.
+
+    The first is over the shingles' XXH64, the others over independent mixtures of it."""
     from xxhash import xxh64_intdigest
 
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return [0] * prints
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     hashes = np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row for each row of docs, fp as a signed long with the fingerprint's bits."""
+    found = []
+    for k in range(prints):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            part = hashes[at : at + (1 << 16)]
+            if k:
+                part = (part ^ (part >> np.uint64(31))) * MIXERS[k - 1]
+                part = (part ^ (part >> np.uint64(29))) * MIXERS[k - 1]
+                part ^= part >> np.uint64(32)
+            bits = part.astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = (2 * ones > len(hashes)).astype(np.uint8)
+        found.append(int(np.packbits(bits, bitorder="little").view("<u8")[0]))
+    return found
+
+
+def fingerprints(docs: DataFrame, width: int = 3, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fps): one row for each row of docs, fps as signed longs with the fingerprints' bits."""
 
     def compute(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in raw_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            fps = np.array([fingerprint(t, width, prints) for t in raw_bytes(batch.column(1))], np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * prints, pa.int32()), pa.array(fps, pa.int64()))
+            yield pa.record_batch([batch.column(0), lists], names=["id", "fps"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_column(docs, text_col))
-    return rows.mapInArrow(compute, "id long, fp long")
+    return rows.mapInArrow(compute, "id long, fps array<long>")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -180,21 +196,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(distinct: DataFrame, distance: int) -> DataFrame:
-    """Stars (src, dst) over the ids of distinct (id, fp) rows; their components are those of all links."""
-    blocks = _blocks(distance + 2)
-    masks = [a[1] | b[1] for a, b in combinations(blocks, 2)]
-    keyed = distinct.select(
-        "fp",
-        "id",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])).alias("k"),
-    ).select(F.xxhash64("k.way", "k.bits").alias("key"), "fp", "id", F.col("k.way").alias("way"))
+def links(distinct: DataFrame, distance: int, n: int) -> DataFrame:
+    """Stars (src, dst) over the ids of n distinct (id, fp) rows; their components are those of all links.
+
+    Of distance + s blocks, s agree in any link. s is 2, or as large as it takes for s blocks to have
+    more values than there are fingerprints.
+    """
+    s = next((s for s in range(2, 8) if 64 // (distance + s) * s > math.log2(max(n, 1))), 8)
+    blocks = _blocks(distance + s)
+    masks = [sum(b[1] for b in some) for some in combinations(blocks, s)]
+    ways = F.array(*[F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])
+    keyed = distinct.select("fp", "id", F.explode(ways).alias("k")).select(F.xxhash64("k.way", "k.bits").alias("key"), "fp", "id", F.col("k.way").alias("way"))
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     grouped = keyed.join(size, "key")
     # of the bits that a large group does not share yet, one of distance + 1 parts agrees in any link:
     # below that, a group has no more members than its few free bits allow
     parts = []
-    for i, m in enumerate(masks):
+    for m in masks:
         free = [b for b in range(64) if not m >> b & 1]
         edges = [len(free) * p // (distance + 1) for p in range(distance + 2)]
         parts.append([sum(1 << b for b in free[a:z]) for a, z in zip(edges, edges[1:], strict=False)])
@@ -209,17 +227,31 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 3, max_distance: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 3, max_distance: int = 2, prints: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, fp, component): for each row of docs its fingerprint and the smallest id it is linked to.
+    """(id, fp, component): for each row of docs its first fingerprint and the smallest id it is linked to.
 
     width: words in a shingle. max_distance: differing bits of a link, chains of links included.
+    prints: independent fingerprints, one of which must make the link; more find more of the pairs
+    whose fingerprints differ by chance.
     """
-    rows = stored(fingerprints(docs, width, id_col, text_col), "simhash")
-    distinct = stored(rows.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "simhash-distinct")
-    found = components(links(distinct, max_distance))
-    classes = distinct.join(found, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component"))
-    return rows.join(classes, "fp", "left").select("id", "fp", "component")
+    if not 1 <= prints <= len(MIXERS) + 1:
+        raise ValueError(f"prints must be from 1 to {len(MIXERS) + 1}")
+    rows = stored(fingerprints(docs, width, prints, id_col, text_col), "simhash")
+    distinct = stored(rows.where("id is not null").groupBy("fps").agg(F.min("id").alias("id")), "simhash-distinct")
+    n, found = distinct.count(), []
+    for k in range(prints):
+        own = distinct.select(F.get("fps", F.lit(k)).alias("fp"), "id")
+        if prints > 1:  # texts that share this fingerprint but not the others
+            first = own.groupBy("fp").agg(F.min("id").alias("first"))
+            found.append(own.join(first, "fp").where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst")))
+            own = first.select("fp", F.col("first").alias("id"))
+        found.append(links(own, max_distance, n))
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    classes = distinct.join(components(edges), F.col("id") == F.col("node"), "left").select("fps", F.coalesce("root", "id").alias("component"))
+    return rows.join(classes, "fps", "left").select("id", F.get("fps", F.lit(0)).alias("fp"), "component")
 
 
 def hex64(column: str):

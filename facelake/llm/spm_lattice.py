@@ -174,12 +174,12 @@ def encode_words(words: DataFrame, name: str = "piece_bpe_32k.model") -> DataFra
         bounds = F.aggregate("edges", every, join)
     else:
         # best[e]: score of the best path to place e and the bits of its boundaries
-        start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("bits")))
+        start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(1).cast("long").alias("bits")))
 
         def reach(best: Column, e: Column) -> Column:
             ways = F.transform(
                 F.filter("edges", lambda x: x["e"] == e),
-                lambda x: F.struct((F.get(best, x["s"])["score"] - x["cost"]).alias("score"), F.get(best, x["s"])["bits"].bitwiseOR(bit(e)).alias("bits")),
+                lambda x: F.struct((F.get(best, x["s"])["score"] - x["cost"]).alias("score"), (-x["s"]).alias("back"), F.get(best, x["s"])["bits"].bitwiseOR(bit(e)).alias("bits")),
             )
             return F.concat(best, F.array(F.array_max(ways)))
 
