@@ -1,6 +1,477 @@
-"""The registered queries and the SQL that must give the same rows."""
+"""The registered queries and the SQL that must give the same rows.
+
+The tables of the test data stand in for collections (`embeddings`), detected faces (`lineitem`: an order
+is an image, a line a face with area quantity x price and score tax), files (`pages`, `documents`) and
+request parameters (`orders`, `events`).
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from facelake.functions import strings, vectors
+from facelake.operators import faces
+from facelake.operators.collections import STAMP, condition
+from facelake.operators.search import search, search_many
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query of (read, spark) with its SQL."""
+
+    def add(function):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return function(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark)
+
+        run.__name__, run.__doc__ = name, function.__doc__
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return run
+
+    return add
+
+
+def big(column: Column) -> Column:
+    return column.cast("bigint")
+
+
+def faces_of(read) -> DataFrame:
+    """Each order's lines as detected faces in a fixed order."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax")
+    lists = read("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    zero = F.lit(0.0)
+    face = F.transform(
+        "lines",
+        lambda x: F.struct(
+            F.array(zero, zero, x["l_quantity"], x["l_extendedprice"]).alias("box"),
+            F.array(*[F.array(zero, zero)] * 5).alias("landmarks"),
+            x["l_tax"].alias("score"),
+            x["l_partkey"].alias("part"),
+        ),
+    )
+    return lists.select("l_orderkey", face.alias("faces"))
+
+
+COSINE = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
+
+
+@query(
+    "flat_cosine_topk",
+    f"""SELECT b.vec_id AS id, round({COSINE}, 6) AS distance, b.label AS person_id FROM embeddings a, embeddings b
+    WHERE a.vec_id = 0 ORDER BY {COSINE} DESC, b.vec_id LIMIT 5""",
+)
+def flat_cosine_topk(read, spark):
+    """The five rows nearest to row 0."""
+    e = read("embeddings")
+    q = e.where("vec_id = 0").select("embedding").first()[0]
+    found = search(e, q, 5, ["label"], key="vec_id")
+    return found.select(F.col("vec_id").alias("id"), F.round("distance", 6).alias("distance"), F.col("label").alias("person_id"))
+
+
+@query(
+    "batch_cosine_topk",
+    f"""SELECT query_id, id, round(s, 6) AS distance, rank FROM (
+        SELECT a.vec_id AS query_id, b.vec_id AS id, {COSINE} AS s,
+               row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rank
+        FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 5""",
+)
+def batch_cosine_topk(read, spark):
+    """The five rows nearest to each row whose id is divisible by 20."""
+    e = read("embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = search_many(e, q, 5, key="vec_id")
+    return found.select("query_id", F.col("vec_id").alias("id"), F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(
+    "tta_concat",
+    """SELECT vec_id, len(v)::bigint AS dim, round(v[1], 6) AS head, round(v[128], 6) AS tail FROM (
+        SELECT vec_id, list_concat(embedding, list_reverse(embedding))::double[] AS v FROM embeddings)""",
+)
+def tta_concat(read, spark):
+    """Stored vectors of test-time augmentation, with the reversed vector for the flipped image."""
+    v = vectors.with_flip(F.col("embedding"), F.reverse("embedding"))
+    return read("embeddings").select(
+        "vec_id", big(F.size(v)).alias("dim"), F.round(F.get(v, F.lit(0)).cast("double"), 6).alias("head"), F.round(F.get(v, F.lit(127)).cast("double"), 6).alias("tail")
+    )
+
+
+@query(
+    "tta_cosine_topk",
+    """WITH t AS (SELECT vec_id, list_concat(embedding, list_reverse(embedding))::double[] AS v FROM embeddings)
+    SELECT b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS distance FROM t a, t b
+    WHERE a.vec_id = 0 ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id LIMIT 5""",
+)
+def tta_cosine_topk(read, spark):
+    e = read("embeddings").select("vec_id", vectors.with_flip(F.col("embedding"), F.reverse("embedding")).alias("embedding"))
+    q = e.where("vec_id = 0").select("embedding").first()[0]
+    return search(e, q, 5, [], key="vec_id").select(F.col("vec_id").alias("id"), F.round("distance", 6).alias("distance"))
+
+
+@query("query_filter_limit", "SELECT vec_id AS id, label AS person_id FROM embeddings WHERE label = 3 AND vec_id IN (SELECT vec_id FROM embeddings WHERE vec_id < 400) ORDER BY vec_id LIMIT 10")
+def query_filter_limit(read, spark):
+    """A filter in the vector database's language, projected and limited."""
+    found = read("embeddings").where(condition("label == 3 && vec_id < 400")).orderBy("vec_id").limit(10)
+    return found.select(F.col("vec_id").alias("id"), F.col("label").alias("person_id"))
+
+
+@query("query_by_person", "SELECT vec_id AS id, label AS person_id FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 100")
+def query_by_person(read, spark):
+    found = read("embeddings").where(F.col("label") == F.lit(3)).orderBy("vec_id").limit(100)
+    return found.select(F.col("vec_id").alias("id"), F.col("label").alias("person_id"))
+
+
+@query(
+    "collection_stats",
+    """SELECT n.label AS collection, coalesce(s.n, 0)::bigint AS row_count, coalesce(s.dim, 0)::bigint AS dim
+    FROM (SELECT unnest(range(12))::int AS label) n LEFT JOIN
+    (SELECT label, count(*) AS n, max(len(embedding)) AS dim FROM embeddings GROUP BY label) s USING (label)""",
+)
+def collection_stats(read, spark):
+    """Rows and vector length of each collection, 0 for missing ones."""
+    names = spark.range(12).select(F.col("id").cast("int").alias("label"))
+    stats = read("embeddings").groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"))
+    return names.join(stats, "label", "left").select(
+        F.col("label").alias("collection"), F.coalesce("n", F.lit(0)).cast("bigint").alias("row_count"), F.coalesce("dim", F.lit(0)).cast("bigint").alias("dim")
+    )
+
+
+@query(
+    "model_collection_lookup",
+    """SELECT p_brand AS model, coalesce(c, 'fallback') AS collection, (c IS NOT NULL) AS known, count(*)::bigint AS n
+    FROM part LEFT JOIN (VALUES ('Brand#11', 'first'), ('Brand#23', 'second')) m(b, c) ON b = p_brand GROUP BY 1, 2, 3""",
+)
+def model_collection_lookup(read, spark):
+    """A model's collection, the fallback for unknown models."""
+    models = spark.createDataFrame([("Brand#11", "first"), ("Brand#23", "second")], "b string, c string")  # two rows
+    joined = read("part").join(F.broadcast(models), F.col("b") == F.col("p_brand"), "left")
+    return joined.groupBy(F.col("p_brand").alias("model"), F.coalesce("c", F.lit("fallback")).alias("collection"), F.col("c").isNotNull().alias("known")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "insert_zip_shortest",
+    """SELECT d.doc_id::varchar AS image_path, l.quality::varchar AS person_id, d.place FROM
+    (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents) d JOIN
+    (SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id) AS place FROM labels) l USING (place)""",
+)
+def insert_zip_shortest(read, spark):
+    """Two lists put together by place, as long as the shorter."""
+
+    def placed(table, *columns):
+        # ordered by range so that places are counted per partition, not in one task
+        from facelake.operators.collections import numbered_rows
+
+        rows = read(table).select(*columns).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        return numbered_rows(rows.withColumn("at", F.monotonically_increasing_id()), "at").drop("at")
+
+    docs, labels = placed("documents", "doc_id"), placed("labels", "doc_id", "quality").drop("doc_id")
+    return docs.join(labels, "number").select(
+        F.col("doc_id").cast("string").alias("image_path"), F.col("quality").cast("string").alias("person_id"), F.col("number").alias("place")
+    )
+
+
+@query(
+    "insert_auto_id",
+    """SELECT vec_id AS id, label AS person_id FROM embeddings UNION ALL
+    SELECT (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY vec_id), label FROM embeddings WHERE label < 3""",
+)
+def insert_auto_id(read, spark):
+    """An append whose ids follow on."""
+    from facelake.operators.collections import numbered_rows
+
+    e = read("embeddings").select("vec_id", "label")
+    new = e.where("label < 3").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    numbered = numbered_rows(new.withColumn("at", F.monotonically_increasing_id()), "at")
+    top = e.agg(F.max("vec_id").alias("top"))  # one row
+    added = numbered.join(F.broadcast(top)).select((F.col("top") + F.col("number")).alias("id"), F.col("label").alias("person_id"))
+    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("person_id")).unionByName(added)
+
+
+@query("insert_created_at", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at FROM events")
+def insert_created_at(read, spark):
+    return read("events").select("event_id", F.date_format("ts", STAMP).alias("created_at"))
+
+
+@query(
+    "ingest_batches",
+    """SELECT batch, count(*)::bigint AS n, min(vec_id) AS first_id, sum(count(*)) OVER (ORDER BY batch)::bigint AS total FROM
+    (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // 50 AS batch FROM embeddings) GROUP BY batch""",
+)
+def ingest_batches(read, spark):
+    """Batches of fifty rows and what has been inserted after each."""
+    from facelake.operators.collections import numbered_rows
+
+    e = read("embeddings").select("vec_id").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    rows = numbered_rows(e.withColumn("at", F.monotonically_increasing_id()), "at")
+    batches = rows.groupBy(F.floor((F.col("number") - 1) / 50).cast("bigint").alias("batch")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.max("number").alias("total"))
+    return batches.select("batch", "n", "first_id", "total")
+
+
+@query("list_sorted_limit", "SELECT page_id, url FROM pages ORDER BY string_split(url, '/'), page_id LIMIT 20")
+def list_sorted_limit(read, spark):
+    """Files by path components."""
+    return read("pages").select("page_id", "url").orderBy(F.split("url", "/"), "page_id").limit(20)
+
+
+@query(
+    "person_id_from_path",
+    """SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN string_split(substr(url, 9), '/')[1]
+        ELSE string_split(url, '/')[-2] END AS person_id, string_split(url, '/')[-1] AS file FROM pages""",
+)
+def person_id_from_path(read, spark):
+    """The first folder below a base, else the parent folder."""
+    return read("pages").select("page_id", strings.person_id(F.col("url"), "https://").alias("person_id"), strings.basename(F.col("url")).alias("file"))
+
+
+@query(
+    "allowed_extension",
+    """SELECT page_id, lower(regexp_extract(url, '\\.([^.]*)$', 1)) AS extension,
+        (contains(url, '.') AND lower(regexp_extract(url, '\\.([^.]*)$', 1)) IN ('png', 'jpg', 'jpeg', 'bmp', 'tiff')) AS allowed FROM pages""",
+)
+def allowed_extension(read, spark):
+    return read("pages").select("page_id", strings.extension(F.col("url")).alias("extension"), strings.allowed_file(F.col("url")).alias("allowed"))
+
+
+@query(
+    "secure_filename",
+    r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(url, '[/\\]', ' ', 'g'),
+        '[^\x00-\x7F]', '', 'g')), '\s+', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g'), '^[._]+|[._]+$', '', 'g') AS name FROM pages""",
+)
+def secure_filename(read, spark):
+    return read("pages").select("page_id", strings.secure_filename(F.col("url")).alias("name"))
+
+
+@query(
+    "bool_and_int_params",
+    """SELECT o_orderkey, coalesce(lower(CASE WHEN o_orderstatus = 'O' THEN 'True' WHEN o_orderstatus = 'F' THEN 'no' END) = 'true', true) AS detect,
+        CASE WHEN o_orderpriority IS NULL THEN 5 ELSE try_cast(substr(o_orderpriority, 1, 1) AS int) END AS top_k FROM orders""",
+)
+def bool_and_int_params(read, spark):
+    """Request parameters with their defaults."""
+    asked = F.when(F.col("o_orderstatus") == "O", "True").when(F.col("o_orderstatus") == "F", "no")
+    k = F.substring("o_orderpriority", 1, 1)
+    return read("orders").select("o_orderkey", strings.flag(asked, True).alias("detect"), strings.integer(k, 5).alias("top_k"))
+
+
+@query(
+    "batch_status_summary",
+    """SELECT source, count(*)::bigint AS total, count_if(quality = 1)::bigint AS successful, count_if(quality IS NULL OR quality = 0)::bigint AS failed,
+        count_if(quality IS NULL)::bigint AS no_face_detected FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
+)
+def batch_status_summary(read, spark):
+    """Outcomes of each batch of files."""
+    joined = read("documents").select("doc_id", "source").join(read("labels").select("doc_id", "quality"), "doc_id", "left")
+    q = F.col("quality")
+    return joined.groupBy("source").agg(
+        F.count("*").alias("total"), F.count_if(q == 1).alias("successful"), F.count_if(q.isNull() | (q == 0)).alias("failed"), F.count_if(q.isNull()).alias("no_face_detected")
+    )
+
+
+@query(
+    "insert_error_report",
+    """SELECT conv_id, coalesce(string_agg(turn || ':' || role, '; ' ORDER BY turn, role) FILTER (WHERE length(text) < 200), '') AS errors,
+        count_if(length(text) < 50)::bigint AS no_face_count FROM conversations GROUP BY conv_id""",
+)
+def insert_error_report(read, spark):
+    """Errors of a request in the order of its files."""
+    rows = read("conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
+    entry = F.when(F.col("n") < 200, F.struct("turn", "role"))
+    found = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("e"), F.count_if(F.col("n") < 50).alias("no_face_count"))
+    text = F.transform("e", lambda x: F.concat(x["turn"].cast("string"), F.lit(":"), x["role"]))
+    return found.select("conv_id", F.array_join(text, "; ").alias("errors"), "no_face_count")
+
+
+@query(
+    "similarity_percent",
+    f"""SELECT b.vec_id AS id, printf('%.2f%%', {COSINE} * 100) AS similarity,
+        row_number() OVER (ORDER BY {COSINE} DESC, b.vec_id) AS rank
+    FROM embeddings a, embeddings b WHERE a.vec_id = 1 ORDER BY rank LIMIT 5""",
+)
+def similarity_percent(read, spark):
+    """Ranked hits with their similarity as text."""
+    e = read("embeddings")
+    q = e.where("vec_id = 1").select("embedding").first()[0]
+    hits = search(e, q, 5, [], key="vec_id")
+    order = Window.orderBy(F.desc("distance"), "vec_id")  # five rows
+    return hits.select(F.col("vec_id").alias("id"), strings.percent(F.col("distance")).alias("similarity"), F.row_number().over(order).cast("bigint").alias("rank"))
+
+
+@query(
+    "largest_face",
+    """SELECT l_orderkey, l_partkey AS part, round(l_quantity * l_extendedprice, 2) AS area, l_tax AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity * l_extendedprice DESC, l_tax DESC,
+            l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r FROM lineitem WHERE l_quantity * l_extendedprice > 0) WHERE r = 1""",
+)
+def largest_face(read, spark):
+    """The largest face of each image."""
+    best = faces_of(read).select("l_orderkey", faces.largest(F.col("faces")).alias("f")).where("f is not null")
+    return best.select("l_orderkey", "f.part", F.round(faces.area(F.col("f")), 2).alias("area"), "f.score")
+
+
+@query(
+    "most_confident_face",
+    """SELECT l_orderkey, l_partkey AS part, l_tax AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_tax DESC, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r
+        FROM lineitem) WHERE r = 1""",
+)
+def most_confident_face(read, spark):
+    best = faces_of(read).select("l_orderkey", faces.most_confident(F.col("faces")).alias("f"))
+    return best.select("l_orderkey", "f.part", "f.score")
+
+
+@query(
+    "detection_info",
+    """SELECT l_orderkey, count(*)::bigint AS num_faces, count_if(l_tax >= 0.04)::bigint AS usable, max(l_tax) AS best_score,
+        array_to_string(list(l_partkey ORDER BY l_tax DESC, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice), ',') AS parts FROM lineitem GROUP BY l_orderkey""",
+)
+def detection_info(read, spark):
+    """Faces of an image by falling score, and how many pass the threshold."""
+    f = faces_of(read).withColumn("ranked", faces.ranked(F.col("faces")))
+    return f.select(
+        "l_orderkey",
+        F.size("faces").cast("bigint").alias("num_faces"),
+        F.size(faces.usable(F.col("faces"), 0.04)).cast("bigint").alias("usable"),
+        F.col("ranked")[0]["score"].alias("best_score"),
+        F.array_join(F.transform("ranked", lambda x: x["part"].cast("string")), ",").alias("parts"),
+    )
+
+
+@query(
+    "similarity_fit",
+    """WITH p AS (SELECT l_orderkey, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS u, l_linenumber::double AS v FROM lineitem),
+    s AS (SELECT l_orderkey, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM p GROUP BY 1),
+    f AS (SELECT p.l_orderkey, sum((x - mx) * (u - mu) + (y - my) * (v - mv)) AS d, sum((x - mx) * (v - mv) - (y - my) * (u - mu)) AS c,
+        sum((x - mx) ** 2 + (y - my) ** 2) AS q FROM p JOIN s USING (l_orderkey) GROUP BY 1)
+    SELECT l_orderkey, round(d / q + 1e-9, 4) + 0.0 AS a, round(c / q + 1e-9, 4) + 0.0 AS b, round(mu - d / q * mx + c / q * my + 1e-9, 4) + 0.0 AS tx,
+        round(mv - c / q * mx - d / q * my + 1e-9, 4) + 0.0 AS ty FROM f JOIN s USING (l_orderkey) WHERE n >= 5""",
+)
+def similarity_fit(read, spark):
+    """The similarity that maps each image's landmarks to their places best.
+
+    The data has ties at the rounded digit, which a billionth more decides alike in either engine.
+    """
+    p = read("lineitem").select(
+        "l_orderkey", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_tax") * 100).alias("u"), F.col("l_linenumber").cast("double").alias("v")
+    )
+    many = p.groupBy("l_orderkey").count().where("count >= 5").select("l_orderkey")
+    fit = faces.fit_similarity(p.join(many, "l_orderkey", "left_semi"), "l_orderkey", "x", "y", "u", "v")
+    return fit.select("l_orderkey", *[(F.round(F.col(c) + 1e-9, 4) + 0.0).alias(c) for c in ("a", "b", "tx", "ty")])
+
+
+@query(
+    "reference_points",
+    """WITH r(i, x, y) AS (VALUES (0, 38.2946, 51.6963), (1, 73.5318, 51.5014), (2, 56.0252, 71.7366), (3, 41.5493, 92.3655), (4, 70.7299, 92.2041)),
+    s(size) AS (VALUES (112), (224), (128), (256), (100))
+    SELECT size, i AS point, round(CASE WHEN size % 112 <> 0 AND size % 128 = 0 THEN (x::double + 8) * size / 128 ELSE x::double * size / 112 END, 4) AS x,
+        round(CASE WHEN size % 112 <> 0 AND size % 128 = 0 THEN y::double * size / 128 ELSE y::double * size / 112 END, 4) AS y FROM r, s""",
+)
+def reference_points(read, spark):
+    rows = [(size, i, float(x), float(y)) for size in (112, 224, 128, 256, 100) for i, (x, y) in enumerate(faces.reference_points(size))]
+    return spark.createDataFrame(rows, "size int, point int, x double, y double").select("size", "point", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query(
+    "landmark_reshape",
+    """SELECT vec_id, i AS point, round(embedding[2 * i + 1]::double, 6) AS x, round(embedding[2 * i + 2]::double, 6) AS y
+    FROM embeddings, (SELECT unnest(range(5))::int AS i)""",
+)
+def landmark_reshape(read, spark):
+    points = read("embeddings").select("vec_id", F.posexplode(faces.landmark_points(F.col("embedding"))).alias("point", "p"))
+    return points.select("vec_id", "point", F.round(F.col("p")[0].cast("double"), 6).alias("x"), F.round(F.col("p")[1].cast("double"), 6).alias("y"))
+
+
+def elementwise(expression: str) -> str:
+    """SQL for one row of (vec_id, i, value) for each value x of each vector."""
+    return f"SELECT vec_id, i, round({expression}, 6) + 0.0 AS value FROM (SELECT vec_id, unnest(range(64))::int AS i, unnest(embedding)::double AS x FROM embeddings)"
+
+
+def unnested(rows: DataFrame, values: Column) -> DataFrame:
+    return rows.select("vec_id", F.posexplode(values).alias("i", "v")).select("vec_id", "i", (F.round(F.col("v").cast("double"), 6) + 0.0).alias("value"))
+
+
+@query("pixel_normalise", elementwise("(x * 255 / 255.0 - 0.5) / 0.5"))
+def pixel_normalise(read, spark):
+    return unnested(read("embeddings"), vectors.normalise_pixels(F.transform("embedding", lambda x: x.cast("double") * 255)))
+
+
+@query(
+    "horizontal_flip",
+    """SELECT vec_id, i, round(embedding[(i // 8) * 8 + 8 - i % 8]::double, 6) + 0.0 AS value FROM embeddings, (SELECT unnest(range(64))::int AS i)""",
+)
+def horizontal_flip(read, spark):
+    """Vectors as 8 x 8 images, mirrored."""
+    return unnested(read("embeddings"), vectors.flip_rows(F.col("embedding"), 8))
+
+
+@query("activations", elementwise("x * greatest(0, least(1, x / 6 + 0.5)) + CASE WHEN x >= 0 THEN x ELSE x * 0.25 END"))
+def activations(read, spark):
+    values = F.transform("embedding", lambda x: vectors.hard_swish(x.cast("double")) + vectors.prelu(x.cast("double")))
+    return unnested(read("embeddings"), values)
+
+
+@query(
+    "squeeze_excite_scale",
+    """SELECT vec_id, i, round(x * greatest(0, least(1, m / 6 + 0.5)), 6) + 0.0 AS value FROM (
+        SELECT vec_id, i, x, avg(x) OVER (PARTITION BY vec_id, i // 8) AS m FROM
+        (SELECT vec_id, unnest(range(64))::int AS i, unnest(embedding)::double AS x FROM embeddings))""",
+)
+def squeeze_excite_scale(read, spark):
+    return unnested(read("embeddings"), vectors.squeeze_excite(F.col("embedding"), 8))
+
+
+@query(
+    "channel_rounding",
+    """SELECT p_partkey, (CASE WHEN n < 0.9 * v THEN n + 8 ELSE n END)::bigint AS channels FROM (
+        SELECT p_partkey, v, greatest(8, floor((v + 4) / 8) * 8) AS n FROM (SELECT p_partkey, p_size * 1.5::double AS v FROM part))""",
+)
+def channel_rounding(read, spark):
+    return read("part").select("p_partkey", vectors.rounded_channels(F.col("p_size") * 1.5).alias("channels"))
+
+
+@query("json_paths", """SELECT event_id, (props->>'$.k')::bigint AS k, (json_extract(props, '$.k') IS NOT NULL) AS given FROM events""")
+def json_paths(read, spark):
+    """A parsed JSON parameter that survives being written again."""
+    parsed = F.from_json("props", "k bigint")
+    again = F.from_json(F.to_json(parsed), "k bigint")
+    return read("events").select("event_id", again["k"].alias("k"), again["k"].isNotNull().alias("given"))
+
+
+@query(
+    "consistency_check",
+    """SELECT label, bool_and(len(embedding) = 64) AS same, count(*)::bigint AS n FROM embeddings GROUP BY label""",
+)
+def consistency_check(read, spark):
+    """Whether a vector read in two ways is the same for all rows of a label."""
+    e = F.col("embedding")
+    same = F.flatten(F.array(F.slice(e, 1, 32), F.slice(e, 33, 32))) == e
+    return read("embeddings").groupBy("label").agg(F.bool_and(same & (F.size(e) == 64)).alias("same"), F.count("*").alias("n"))
+
+
+@query(
+    "attribute_fallback",
+    """SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_acctbal END, CASE WHEN c_nationkey < 10 THEN c_nationkey::double END, 1.0) AS score FROM customer""",
+)
+def attribute_fallback(read, spark):
+    """The first attribute that is there, else the default."""
+    first = F.when(F.col("c_acctbal") > 5000, F.col("c_acctbal"))
+    second = F.when(F.col("c_nationkey") < 10, F.col("c_nationkey").cast("double"))
+    return read("customer").select("c_custkey", F.coalesce(first, second, F.lit(1.0)).alias("score"))
+
+
+@query("embed_seeded")
+def embed_seeded(read, spark):
+    """Synthetic grey images, one for each vector, through resizing, normalising and a fixed projection."""
+    from facelake.config import EngineConfig
+    from facelake.operators.embed import embed
+
+    pixel = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x + 1) * 127).cast("long")), 2, "0"))
+    images = read("embeddings").select(
+        F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"),
+        F.unhex(F.array_join(pixel, "")).alias("data"), F.lit("ok").alias("status"),
+    )
+    done = embed(images, "seeded_projection", EngineConfig(face_detection=False), weights="7")
+    return done.select("path", F.size("embedding").cast("bigint").alias("dim"), F.round(vectors.norm(F.col("embedding")), 3).alias("norm"), "was_aligned", "status")
