@@ -140,34 +140,74 @@ def near_lines(lines: DataFrame, firsts: DataFrame, rows: DataFrame, max_edits:
         .where("k.key is not null")
         .select(F.col("k.key").alias("key"), F.col("id").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("k.own").cast("long")).alias("line"))
         .repartition("key")
-        .distinct()
     )
-    own = keyed.where(F.col("line").bitwiseAND(F.lit(1)) == 1).select("key", F.col("line").bitwiseAND(F.lit(-2)).alias("a"))
-    probe = keyed.select("key", F.col("line").bitwiseAND(F.lit(-2)).alias("b"))
-    met = own.join(probe, "key").where("a <> b")
-    pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    ids = pairs.select(F.col("a").alias("short_id")).union(pairs.select("b")).distinct()
+    number = F.col("line").bitwiseAND(F.lit(-2))
+    # most keys belong to one line; the others are found by fixed-size aggregates
+    shared = keyed.groupBy("key").agg(F.min(number).alias("low"), F.max(number).alias("high")).where("low <> high").select("key")
+    kept = keyed.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct()
+    kept = stored(kept.select("key", number.alias("short_id"), (F.col("line") != number).alias("own")), "line-keys")
+    ids = kept.select("short_id").distinct()
     n_ids = ids.count()
     numbered = firsts.withColumn("short_id", F.col("id").bitwiseAND(F.lit(-2)))
-    place = stored(_join_rows(numbered, ids, "short_id", "left_semi", n_ids).select("short_id", "doc", "row", "line_no"), "line-places")
-    wanted = place.groupBy("row").agg(F.collect_list(F.struct("short_id", "line_no", "doc")).alias("wanted"))
-    texts = (
-        _join_rows(rows, wanted, "row", "inner", n_ids)
-        .select("row", F.explode("wanted").alias("w"), F.split("text", "\n", -1).alias("parts"))
-        .select("w.short_id", F.struct("w.doc", "row", "w.line_no").alias("at"), F.trim(F.get("parts", F.col("w.line_no"))).alias("line"))
-        .dropDuplicates(["short_id", "at"])
+    place = _join_rows(numbered, ids, "short_id", "left_semi", n_ids).select("short_id", "doc", "row", "line_no")
+    wanted = stored(place.groupBy("row").agg(F.collect_list(F.struct("short_id", "line_no", "doc")).alias("wanted")), "line-places")
+    texts = stored(_wanted_lines(_join_rows(rows, wanted, "row", "inner", n_ids)), "line-texts")
+    return _near_pairs(kept, texts, max_edits).select("later.row", "later.line_no").distinct()
+
+
+def _wanted_lines(rows: DataFrame) -> DataFrame:
+    """(short_id, at, line, size, chars, grams) of the wanted lines of rows (row, text, wanted)."""
+    both = F.struct(F.split("text", "\n", -1).alias("parts"), F.col("wanted").alias("wanted"))
+    picked = F.transform(
+        F.array(both),
+        lambda z: F.transform(
+            z["wanted"],
+            lambda w: F.struct(w["short_id"].alias("short_id"), w["doc"].alias("doc"), w["line_no"].alias("line_no"), F.get(z["parts"], w["line_no"]).alias("line")),
+        ),
     )
-    texts = stored(texts, "line-texts")
+    lines = rows.select("row", F.explode(F.get(picked, F.lit(0))).alias("w"))
+    lines = lines.select("w.short_id", F.struct("w.doc", "row", "w.line_no").alias("at"), F.trim("w.line").alias("line"))
+    return lines.dropDuplicates(["short_id", "at"]).select("*", F.length("line").alias("size"), *_signatures(F.col("line")))
+
+
+def _signatures(line: Column) -> tuple[Column, Column]:
+    """64 parities each of a line's characters and pairs of characters; an edit flips 2 and 4 of them at most."""
+
+    def parities(codes: Column) -> Column:
+        return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)))))
+
+    codes = F.transform(F.split(line, ""), F.ascii)
+    pairs = F.transform(F.array(codes), lambda c: F.zip_with(c, F.slice(c, 2, F.size(c)), lambda x, y: F.pmod(x * 37 + F.coalesce(y, F.lit(0)) * 11, F.lit(64))))
+    return parities(codes).alias("chars"), parities(F.get(pairs, F.lit(0))).alias("grams")
+
+
+def _near_pairs(kept: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
+    """(later) of the pairs of lines that share a key and lie within the edits: the place of the later line.
+
+    Signatures are part of the join's condition, so pairs that share a segment and little else are
+    never made.
+    """
+    signed = kept.join(texts.select("short_id", "size", "chars", "grams"), "short_id")
+
+    def side(role: Column, name: str) -> DataFrame:
+        return signed.where(role).select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("short_id", "size", "chars", "grams")])
+
+    def apart(column: str) -> Column:
+        return F.bit_count(F.col(f"{column}_a").bitwiseXOR(F.col(f"{column}_b")))
+
+    own, probe = side(F.col("own"), "a"), side(F.lit(True), "b")
+    # the last pair of characters counts as one with nothing behind it, which an edit can flip as well
+    close = (apart("chars") <= 2 * max_edits) & (apart("grams") <= 4 * max_edits) & (F.abs(F.col("size_a") - F.col("size_b")) <= max_edits)
+    met = own.alias("o").join(probe.alias("p"), (F.col("o.key") == F.col("p.key")) & (F.col("short_id_a") != F.col("short_id_b")) & close)
+    pairs = met.select(F.least("short_id_a", "short_id_b").alias("a"), F.greatest("short_id_a", "short_id_b").alias("b")).distinct()
     left = texts.select(F.col("short_id").alias("a"), F.col("at").alias("at_a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("short_id").alias("b"), F.col("at").alias("at_b"), F.col("line").alias("line_b"))
     both = pairs.join(left, "a").join(right, "b")
     swap = F.length("line_a") < F.length("line_b")
     longer = F.when(swap, F.col("line_b")).otherwise(F.col("line_a")).alias("longer")
     shorter = F.when(swap, F.col("line_a")).otherwise(F.col("line_b")).alias("shorter")
-    later = F.greatest("at_a", "at_b").alias("later")
-    checked = both.select(longer, shorter, later).where(F.length("longer") - F.length("shorter") <= max_edits)
-    near = checked.where(within_edits(F.col("longer"), F.col("shorter"), max_edits))
-    return near.select("later.row", "later.line_no").distinct()
+    checked = both.select(longer, shorter, F.greatest("at_a", "at_b").alias("later"))
+    return checked.where(within_edits(F.col("longer"), F.col("shorter"), max_edits)).select("later")
 
 
 def repeated_lines(docs: DataFrame, min_chars: int, max_edits: int) -> DataFrame:

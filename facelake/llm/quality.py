@@ -60,13 +60,12 @@ def text_features(text: bytes) -> np.ndarray:
         text.count(b"!") / n,
         len(text.translate(None, _UPPER)) / letters if letters > 20 else 0,
         1 - len(set(words)) / n if n > 20 else 0,
-        1 - len(set(zip(words, words[1:], strict=False))) / n if n > 20 else 0,
         1 - len(set(lines)) / max(1, len(lines)),
     )
     buckets = np.searchsorted(SHARES, shares)
     every.update(b"\n%d %d" % (i, b) for i, b in enumerate(buckets))
     every.add(b"\nwords %d" % min(len(words), 4096).bit_length())
-    return np.unique(_hashed(every))
+    return _hashed(every)
 
 
 def meta_features(values: tuple) -> np.ndarray:
@@ -74,7 +73,7 @@ def meta_features(values: tuple) -> np.ndarray:
     lang, source, n_chars = values
     length = "none" if n_chars is None else str(int(max(n_chars, 0)).bit_length())
     names = {f"lang {lang}", f"source {source}", f"chars {length}", f"lang {lang} source {source}", f"chars {length} source {source}"}
-    return np.unique(_hashed(x.encode() for x in names))
+    return _hashed(x.encode() for x in names)
 
 
 @dataclass

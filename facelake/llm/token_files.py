@@ -128,14 +128,13 @@ def write_tokens(
     def write(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
         from facelake.llm.token_counts import tokenizer_path
-        from facelake.llm.word_memo import WordIds
+        from facelake.llm.word_memo import word_ids
 
-        library = Tokenizer.from_file(tokenizer_path(tokenizer))
-        width = 2 if max(library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        memo, end = WordIds(library, width), end_id.to_bytes(width, "little")
+        memo = word_ids(tokenizer_path(tokenizer), end_id)
+        width = memo.width
+        end = end_id.to_bytes(width, "little")
         filesystem, base = _filesystem(folder)
         filesystem.create_dir(base, recursive=True)
         part, count = TaskContext.get().partitionId(), 0

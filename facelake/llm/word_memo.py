@@ -8,6 +8,7 @@ memo is emptied when it is full; that costs time, never results.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 
 class PieceCounts(dict):
@@ -61,13 +62,14 @@ class WordIds(dict):
     """
 
     PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-    PLAIN = re.compile("[!-~À-ÖØ-öø-ɏ]+")
+    PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ɏ]+")  # all but <, with which special tokens begin
 
-    def __init__(self, tokenizer, width: int = 2, limit: int = 600_000, longest: int = 64):
+    def __init__(self, tokenizer, width: int = 2, limit: int = 1_000_000, longest: int = 64):
         super().__init__()
         self.tokenizer, self.width, self.limit, self.longest = tokenizer, width, limit, longest
         self.model, self.symbols, self.parts = tokenizer.model, _byte_symbols(), {}
-        self.marks = [t.content[0] for t in tokenizer.get_added_tokens_decoder().values()]
+        if any(t.content[:1] != "<" for t in tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens must begin with <")
 
     def _pack(self, ids) -> bytes:
         return b"".join(i.to_bytes(self.width, "little") for i in ids)
@@ -77,14 +79,21 @@ class WordIds(dict):
         if found is None:
             if len(self.parts) > self.limit:
                 self.parts.clear()
-            tokens = self.model.tokenize("".join([self.symbols[b] for b in part.encode()]))
+            tokens = self.model.tokenize(part if part.isascii() else "".join([self.symbols[b] for b in part.encode()]))
             found = self.parts[part] = self._pack([t.id for t in tokens])
         return found
 
     def __missing__(self, word: str) -> bytes:
         if not word:
             return b""
-        if len(word) <= self.longest and self.PLAIN.fullmatch(word) and not any(m in word for m in self.marks):
+        if len(word) <= self.longest and word.isascii():
+            if word.isalpha():
+                found = self[word] = self._part(word.lower())
+                return found
+            if word[-1] in ".," and word[:-1].isalpha():
+                found = self[word] = self._part(word[:-1].lower()) + self._part(word[-1])
+                return found
+        if len(word) <= self.longest and self.PLAIN.fullmatch(word):
             normal = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
             if self.PLAIN.fullmatch(normal):
                 found = self[word] = b"".join(map(self._part, self.PART.findall(normal)))
@@ -98,3 +107,12 @@ class WordIds(dict):
         if len(self) > self.limit:
             self.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str, end_id: int) -> WordIds:
+    """The memo of a tokenizer's file, kept for the later tasks of the same worker."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return WordIds(tokenizer, 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)

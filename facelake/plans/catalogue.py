@@ -14,6 +14,7 @@ from facelake.functions import strings, vectors
 from facelake.operators import faces
 from facelake.operators.collections import STAMP, condition
 from facelake.operators.search import search, search_many
+from facelake.session import ship
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,6 +25,7 @@ def query(name: str, sql: str | None = None):
 
     def add(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return function(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark)
 
         run.__name__, run.__doc__ = name, function.__doc__

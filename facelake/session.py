@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +21,15 @@ def session(app: str = "facelake", **conf: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        name = f"{tempfile.mkdtemp(prefix='facelake-code-')}/facelake_code"
+        spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", Path(__file__).resolve().parents[1], "facelake"))
