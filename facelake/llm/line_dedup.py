@@ -20,7 +20,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facelake.llm.common import stored, text_column
@@ -142,9 +142,9 @@ def near_lines(lines: DataFrame, firsts: DataFrame, rows: DataFrame, max_edits:
         .repartition("key")
     )
     number = F.col("line").bitwiseAND(F.lit(-2))
-    # most keys belong to one line; the others are found by fixed-size aggregates
-    shared = keyed.groupBy("key").agg(F.min(number).alias("low"), F.max(number).alias("high")).where("low <> high").select("key")
-    kept = keyed.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct()
+    # most keys belong to one line; the others are told by fixed-size aggregates over the key, dealt once
+    own_key = Window.partitionBy("key")
+    kept = keyed.withColumns({"low": F.min(number).over(own_key), "high": F.max(number).over(own_key)}).where("low <> high").select("key", "line").distinct()
     kept = stored(kept.select("key", number.alias("short_id"), (F.col("line") != number).alias("own")), "line-keys")
     ids = kept.select("short_id").distinct()
     n_ids = ids.count()
