@@ -34,34 +34,37 @@ HOT_SHARE = 1000
 SMALL_ROWS = 500_000
 
 
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """First character and length of segment i of a line cut into even parts."""
-    first = F.floor(length * i / parts).cast("int")
-    return first, F.floor(length * (i + 1) / parts).cast("int") - first
-
-
 def shifts(delta: int, i: int, max_edits: int) -> range:
     """How far segment i of a line can lie from its place in a line that is delta longer."""
     rest = max_edits - i
     return range(max(-i, delta - rest), min(i, delta + rest) + 1)
 
 
-def keys(line: Column, max_edits: int) -> Column:
-    """array of (key, own): index keys (own = 1) and probe keys of a line."""
-    parts, length = max_edits + 1, F.length(line)
+def keys(lines: DataFrame, max_edits: int) -> DataFrame:
+    """(id, key, own): index keys (own = 1) and probe keys of each of lines (id, line).
+
+    The even segments' edges, for each length that a line can have come from, are columns of their own,
+    worked out once a line.
+    """
+    parts, n = max_edits + 1, F.col("n")
+
+    def edge(delta: int, i: int) -> Column:
+        return F.lit(0) if i == 0 else n - delta if i == parts else F.col(f"edge_{delta}_{i}")
+
+    edges = {f"edge_{d}_{i}": F.floor((n - d) * i / parts).cast("int") for d in range(parts) for i in range(1, parts)}
     out = []
-    for delta in range(max_edits + 1):
-        target = length - delta
+    for delta in range(parts):
         for i in range(parts):
-            first, size = segment(target, i, parts)
+            first, size = edge(delta, i), edge(delta, i + 1) - edge(delta, i)
             for shift in shifts(delta, i, max_edits):
                 at = first + shift
-                key = F.xxhash64(target, F.lit(i), F.substring(line, at + 1, size))
+                key = F.xxhash64(n - delta, F.lit(i), F.substring("line", at + 1, size))
                 own = 1 if delta == 0 and shift == 0 else 0
-                # outside the line there is nothing to probe: a key of the line's own, which meets nobody
-                inside = (at >= 0) & (at + size <= length) & (target >= parts)
+                # outside the line there is nothing to probe: no key
+                inside = (at >= 0) & (at + size <= n) & (n - delta >= parts)
                 out.append(F.struct(F.when(inside, key).alias("key"), F.lit(own).alias("own")))
-    return F.array(*out)
+    cut = lines.select("id", "line", F.length("line").alias("n")).withColumns(edges)
+    return cut.select("id", F.explode(F.array(*out)).alias("k")).where("k.key is not null").select("id", "k.key", "k.own")
 
 
 def within_edits(longer: Column, shorter: Column, max_edits: int) -> Column:
@@ -136,9 +139,8 @@ def near_lines(lines: DataFrame, firsts: DataFrame, rows: DataFrame, max_edits:
     )
     # the last bit of a line's number gives way to the role of the key
     keyed = (
-        taken.select("id", F.explode(keys(F.col("line"), max_edits)).alias("k"))
-        .where("k.key is not null")
-        .select(F.col("k.key").alias("key"), F.col("id").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("k.own").cast("long")).alias("line"))
+        keys(taken, max_edits)
+        .select("key", F.col("id").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("own").cast("long")).alias("line"))
         .repartition("key")
     )
     number = F.col("line").bitwiseAND(F.lit(-2))
