@@ -52,7 +52,9 @@ def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    both = spm_lattice.decode(spm_lattice.encode(docs, "piece_bpe_32k.model"), "piece_bpe_32k.model")
+    # written, so that a task holds one Python worker at a time and a lost decoder encodes nothing again
+    encoded = stored(spm_lattice.encode(docs, "piece_bpe_32k.model"), "encoded")
+    both = spm_lattice.decode(encoded, "piece_bpe_32k.model")
     text = F.replace(F.coalesce("text", F.lit("")), F.lit(spm_lattice.BLANK), F.lit(" "))
     return both.where(F.col("decoded") == text).select(*COLUMNS, F.size("ids").cast("long").alias("n_tokens"), "ids")
 

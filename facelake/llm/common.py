@@ -76,14 +76,21 @@ def spans_of(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: Rows of an Arrow batch at most: a worker holds a batch several times over, as columns and as objects.
+BATCH_ROWS = 1000
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the session's Python workers, once for each application."""
+    """Sends this package to the session's Python workers, once for each application, and bounds the batches
+    that they get by BATCH_ROWS where the session allows more."""
     import shutil
     from pathlib import Path
 
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)

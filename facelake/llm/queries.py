@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facelake.llm.common import scratch, table
+from facelake.llm.common import scratch, stored, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from facelake.llm import spm_lattice
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = spm_lattice.decode(spm_lattice.encode(docs, "piece_bpe_32k.model"), "piece_bpe_32k.model")
+    encoded = stored(spm_lattice.encode(docs, "piece_bpe_32k.model"), "encoded")
+    both = spm_lattice.decode(encoded, "piece_bpe_32k.model")
     text = F.replace(F.coalesce("text", F.lit("")), F.lit(spm_lattice.BLANK), F.lit(" "))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip"))
 
