@@ -30,6 +30,8 @@ from facelake.llm.graph import components
 FANOUT = 4
 #: Node pairs that are held at once while an index is walked.
 FRONTIER = 1 << 20
+#: Fingerprints that may meet in a group on average.
+GROUP = 64
 #: Groups above this many fingerprints are dealt out again by more of their bits.
 LARGE_GROUP = 50_000
 
@@ -199,10 +201,11 @@ def _signed(x: int) -> int:
 def links(distinct: DataFrame, distance: int, n: int) -> DataFrame:
     """Stars (src, dst) over the ids of n distinct (id, fp) rows; their components are those of all links.
 
-    Of distance + s blocks, s agree in any link. s is 2, or as large as it takes for s blocks to have
-    more values than there are fingerprints.
+    Of distance + s blocks, s agree in any link. s is 2, or as large as it takes for a value of s blocks to
+    have GROUP fingerprints on average at most: the index looks through a group at less cost than a larger
+    s has in rows to deal.
     """
-    s = next((s for s in range(2, 8) if 64 // (distance + s) * s > math.log2(max(n, 1))), 8)
+    s = next((s for s in range(2, 8) if 64 // (distance + s) * s > math.log2(max(n / GROUP, 1))), 8)
     blocks = _blocks(distance + s)
     masks = [sum(b[1] for b in some) for some in combinations(blocks, s)]
     ways = F.array(*[F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])
