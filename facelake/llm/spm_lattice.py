@@ -39,7 +39,7 @@ LONGEST = 62
 RUNS = rf"{BLANK}*[^\W\d_²³¹¼½¾]+|{BLANK}*(?:[\d_²³¹¼½¾]|(?!{BLANK})\W)+|{BLANK}+"
 WORDS = rf"{BLANK}*[^{BLANK}]+|{BLANK}+"
 #: Words that a task holds before it empties its memo or hands on its counts.
-HELD = 600_000
+HELD = 100_000
 
 
 @dataclass(frozen=True)
@@ -206,14 +206,19 @@ def _chunks(text: str) -> list[str]:
     return out
 
 
+def id_type(model: Model) -> np.dtype:
+    """The integers that ids are held as."""
+    return np.dtype("<u2" if len(model.names) <= 1 << 16 else "<u4")
+
+
 class PieceIds(dict):
     """Chunks to their ids as little-endian 16- or 32-bit integers, with the frequent words given."""
 
-    def __init__(self, name: str, head: dict[str, list[int]]):
+    def __init__(self, name: str, head: dict[str, bytes]):
         super().__init__()
         self.model, self.processor = load(name)
-        self.dtype = np.dtype("<u2" if len(self.model.names) <= 1 << 16 else "<u4")
-        self.head = {w: self._pack(ids) for w, ids in head.items()}
+        self.dtype = id_type(self.model)
+        self.head = head
         self.words: dict[str, bytes] = {}
         self.find = re.compile(self.model.pattern).findall
 
@@ -296,7 +301,8 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", most: int = 100_0
     """
     own = [c for c in docs.columns if c != "ids"]
     texts = docs.select(text_column(docs, text_col))
-    head = {r["word"]: r["ids"] for r in frequent(texts, name, most).collect()}  # `most` rows at most
+    kind = id_type(load(name)[0])
+    head = {r["word"]: np.array(r["ids"], kind).tobytes() for r in frequent(texts, name, most).collect()}  # `most` rows at most
     sent = docs.sparkSession.sparkContext.broadcast(head)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), text_column(docs, text_col))
 
