@@ -7,7 +7,8 @@ them back for the next.
 1. quality: documents that the co-trained classifier takes for bad go.
 2. lines: lines that an earlier document has, exactly or within two edits, go; so do documents of
    which nothing is left.
-3. near_duplicates: one document of each SimHash class stays, that of the smallest doc_id.
+3. near_duplicates: of documents linked by five-word shingles at Jaccard 0.8 or more, exactly compared,
+   one stays, that of the smallest doc_id; MinHash fingerprints find the pairs to compare.
 4. decontamination: documents with a benchmark window go.
 5. pieces: `ids` are added, and documents that the ids don't give back go.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facelake.llm import decontaminate, line_dedup, quality, simhash, spm_lattice
+from facelake.llm import decontaminate, line_dedup, near_copies, quality, spm_lattice
 from facelake.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,10 +40,10 @@ def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs, width=5, max_distance=6, prints=4)
-    # the ids that go; rows without doc_id are in no class of their own and stay
-    gone = stored(found.where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows, gone = near_copies.near_copies(docs.select(*COLUMNS), width=5, similarity=0.8)
+    # the ids that go; rows without doc_id stay
+    ids = rows.select("row", "doc_id").join(gone, "row").select("doc_id").distinct()
+    return rows.join(ids, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
