@@ -41,9 +41,7 @@ def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, gone = near_copies.near_copies(docs.select(*COLUMNS), width=5, similarity=0.8)
-    # the ids that go; rows without doc_id stay
-    ids = rows.select("row", "doc_id").join(gone, "row").select("doc_id").distinct()
-    return rows.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

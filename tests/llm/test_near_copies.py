@@ -28,6 +28,7 @@ def similarity(a, b):
 
 
 def stage(spark, texts, ids=None):
+    texts = list(texts)
     rows = [(i, t, "en", "a", len(t or "")) for i, t in zip(ids or range(len(texts)), texts, strict=True)]
     return corpus_pipeline.by_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
 
@@ -54,3 +55,20 @@ def test_large_family_in_blocks(spark, pairs, monkeypatch):
     base = words(rng, 200)
     texts = [" ".join(spread(rng, base, 1 + (i > 0))) for i in range(60)]
     assert [r.doc_id for r in stage(spark, texts).collect()] == [0]
+
+
+def test_template_family_stays(spark):
+    """Different texts that share a long passage, at 0.5 to 0.7 of each other, all stay."""
+    rng = random.Random(3)
+    passage = words(rng, 200)
+    texts = [passage + words(rng, rng.randrange(50, 80)) for _ in range(300)]
+    assert 0.5 < similarity(texts[0], texts[1]) < 0.75
+    assert stage(spark, map(" ".join, texts), range(300)).count() == 300
+
+
+def test_rows_go_by_themselves(spark):
+    """A copy goes, and no other row of its doc_id; repeats of a row and copies without doc_id go too."""
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    found = stage(spark, [a, a, b, b, c, c, d, None, " "], [1, 2, 2, None, 3, 3, None, None, 9]).collect()
+    assert sorted((r.text, r.doc_id) for r in found) == sorted([(a, 1), (b, 2), (c, 3), (d, None), (" ", 9)])
