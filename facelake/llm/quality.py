@@ -4,7 +4,8 @@ Each view is a logistic regression over hashed binary features: prefixes of the
 measures of its style, or language, source and length. In a round each view's confident predictions
 on unlabelled documents become labels for the other view. The features with the most significant
 association are chosen from counts over all labelled and pseudo-labelled documents, added up per
-task and then per feature; their weights are fitted on a bounded sample of those documents. At the
+task and then per feature; their weights are fitted on a bounded sample of the labelled documents and
+one of the view's pseudo-labelled ones, each drawn for itself, so that pseudo-labels thin no labels. At the
 end the views are calibrated and combined on labelled documents that no round has learned from, and
 score all documents.
 
@@ -116,12 +117,16 @@ def telling(counts: np.ndarray, totals: np.ndarray, most: int, least: int = 5, s
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> np.ndarray:
     """Weights of a logistic regression by Newton's method, the intercept last."""
-    x = np.column_stack([x, np.ones(len(x), x.dtype)])
-    w, ridge = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 1e-3)
+    n = x.shape[1]
+    w, ridge = np.zeros(n + 1), np.append(np.full(n, ridge), 1e-3)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), slope)
+        slope, curve = ridge * w, np.diag(ridge)
+        for at in range(0, len(x), 4096):  # x is held in its own small type
+            part = np.column_stack([x[at : at + 4096], np.ones(len(x[at : at + 4096]))])
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope += part.T @ (p - y[at : at + 4096])
+            curve += (part * (p * (1 - p))[:, None]).T @ part
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -188,59 +193,68 @@ def _labels(batches, before, sure: float):
                 yield text, meta, label, label
 
 
-def _choose(rows: DataFrame, sent, sure: float, most: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The features of either view, and totals[view, label] of the documents that they were chosen from."""
+def _choose(rows: DataFrame, sent, sure: float, most: int) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """The features of either view, totals[view] of the documents that they were chosen from, and how many of
+    those are labelled, which are the same for both."""
 
     def count(batches):
         import pyarrow as pa
 
-        counts, totals = np.zeros((2, 2, SIZE), np.int64), np.zeros((2, 2), np.int64)
-        for text, meta, *labels in _labels(batches, sent.value if sent else None, sure):
-            for view, (features, label) in enumerate(zip((text, meta), labels, strict=True)):
-                if label is not None:
-                    counts[view, label, features] += 1
-                    totals[view, label] += 1
-        # features that a task has seen; place SIZE holds the number of documents
+        counts, totals, known = np.zeros((2, 2, SIZE), np.int64), np.zeros((2, 2), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            own = batch.column(batch.schema.names.index("bad")).to_pylist()
+            for given, (text, meta, *labels) in zip(own, _labels([batch], sent.value if sent else None, sure), strict=True):
+                if given is not None:
+                    known[given] += 1
+                for view, (features, label) in enumerate(zip((text, meta), labels, strict=True)):
+                    if label is not None:
+                        counts[view, label, features] += 1
+                        totals[view, label] += 1
+        # features that a task has seen; place SIZE holds the number of documents, SIZE + 1 that of labelled ones
         for view in range(2):
             at = np.flatnonzero(counts[view].sum(axis=0))
-            both = [np.append(counts[view, y][at], totals[view, y]) for y in range(2)]
-            yield pa.record_batch([*map(pa.array, (np.full(len(at) + 1, view), np.append(at, SIZE), *both))], names=["view", "feature", "good", "bad"])
+            both = [np.append(counts[view, y][at], [totals[view, y], known[y]]) for y in range(2)]
+            yield pa.record_batch([*map(pa.array, (np.full(len(at) + 2, view), np.append(at, [SIZE, SIZE + 1]), *both))], names=["view", "feature", "good", "bad"])
 
     found = rows.mapInArrow(count, "view long, feature long, good long, bad long")
     # no more rows than there are features
     table = found.groupBy("view", "feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()
-    chosen, all_totals = [], np.zeros((2, 2), np.int64)
+    chosen, all_totals, labelled = [], np.zeros(2, np.int64), 0
     for view in range(2):
         own = table[table["view"] == view]
-        counts = np.zeros((2, SIZE + 1), np.int64)
+        counts = np.zeros((2, SIZE + 2), np.int64)
         counts[0, own["feature"]], counts[1, own["feature"]] = own["good"], own["bad"]
-        all_totals[view] = counts[:, SIZE]
+        all_totals[view], labelled = counts[:, SIZE].sum(), int(counts[:, SIZE + 1].sum())
         chosen.append(telling(counts[:, :SIZE], counts[:, SIZE], most))
-    return chosen, all_totals
+    return chosen, all_totals, labelled
 
 
 def _learn(rows: DataFrame, sent, sure: float, most: int, max_fit: int) -> tuple[View, View]:
     """One round: both views anew from the labels and from what the other view is sure of."""
     spark = rows.sparkSession
     used = (rows.where("not held or bad is null") if sent else rows.where("not held and bad is not null")).select("id", "text", "lang", "source", "n_chars", "bad")
-    chosen, totals = _choose(used.drop("id"), sent, sure, most)
+    chosen, totals, labelled = _choose(used.drop("id"), sent, sure, most)
     picked = spark.sparkContext.broadcast(chosen)
-    share = min(1.0, max_fit / max(1, int(totals.sum(axis=1).max())))
+    # places of 1 << 20 that enter the fit: of labels, and of each view's pseudo-labels
+    label_places, *pseudo_places = (int(min(1.0, max_fit / max(1, int(n))) * (1 << 20)) for n in (labelled, *(totals - labelled)))
 
     def gather(batches):
         import pyarrow as pa
 
         out = []
-        for text, meta, *labels in _labels(batches, sent.value if sent else None, sure):
-            for view, (features, label) in enumerate(zip((text, meta), labels, strict=True)):
-                if label is not None:
-                    at = np.searchsorted(picked.value[view], features)
-                    at[at == len(picked.value[view])] = 0
-                    out.append((view, label, at[picked.value[view][at] == features] if len(picked.value[view]) else at[:0]))
+        for batch in batches:
+            own, places = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("bad", "place"))
+            for given, place, (text, meta, *labels) in zip(own, places, _labels([batch], sent.value if sent else None, sure), strict=True):
+                for view, (features, label) in enumerate(zip((text, meta), labels, strict=True)):
+                    if label is not None and (given is not None or place < pseudo_places[view]):
+                        at = np.searchsorted(picked.value[view], features)
+                        at[at == len(picked.value[view])] = 0
+                        out.append((view, label, at[picked.value[view][at] == features] if len(picked.value[view]) else at[:0]))
         view, label, at = zip(*out, strict=True) if out else ((), (), ())
         yield pa.record_batch([pa.array(view, pa.int64()), pa.array(label, pa.int64()), pa.array(list(at), pa.list_(pa.int32()))], names=["view", "label", "at"])
 
-    sample = used.where(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)) < share * (1 << 20)).drop("id")
+    placed = used.withColumn("place", F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)))
+    sample = placed.where(F.col("place") < F.when(F.col("bad").isNull(), max(pseudo_places)).otherwise(label_places)).drop("id")
     table = sample.mapInArrow(gather, "view long, label long, at array<int>").toPandas()
     views = []
     for view in range(2):
@@ -248,7 +262,7 @@ def _learn(rows: DataFrame, sent, sure: float, most: int, max_fit: int) -> tuple
         y, features = own["label"].to_numpy(float), chosen[view]
         model = View()
         if len(y) and 0 < y.mean() < 1:
-            x = np.zeros((len(y), len(features)), np.float32)
+            x = np.zeros((len(y), len(features)), np.uint8)
             for i, at in enumerate(own["at"]):
                 x[i, at] = 1
             w = logistic(x, y, ridge=1.0)
@@ -279,7 +293,7 @@ def train(
 
     rounds: exchanges of pseudo-labels. sure: the probability from which a prediction is one.
     most: features of a view. max_labels: about the most labels that are used. max_fit: about the most
-    documents that a view's weights are fitted on; features are chosen from all of them. max_held: the most
+    labelled, and the most pseudo-labelled, documents that a view's weights are fitted on; features are chosen from all of them. max_held: the most
     documents that calibrate.
     """
     spark = docs.sparkSession
