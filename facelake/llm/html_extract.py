@@ -3,9 +3,10 @@
 The standard library's parser reports tags and text one after the other; block tags end a line.
 Each line keeps its text, the tags that fell into it and the element that holds it. The ratios of
 text to tags, smoothed by a Gaussian so that short lines among long ones are carried along, are
-split at a threshold into content and the rest. The content lines name the region: the innermost
-element that holds nearly all of their text. All lines of that region are the result, so that a
-short paragraph stays, while navigation, notices, adverts, forms, comments and the like, told by
+split at a threshold into content and the rest. The content lines name the region: the outermost
+main or article element that holds nearly all of their text, or on a page without one the innermost
+element that holds all of it. All lines of that region are the result, so that a heading, a lead or
+a short paragraph stays, while navigation, notices, adverts, forms, comments and the like, told by
 tag, role or name, never become lines.
 
 Defined results: null, empty and text-free pages give the empty string; a page without any markup
@@ -38,17 +39,20 @@ REGION = frozenset("html body main article section div td center blockquote".spl
 #: Start tags that an open element of the same kind ends.
 SELF_ENDING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-#: Words in class and id names that mark what is not the article.
+ARTICLE = frozenset("main article".split())
+#: Class and id names that mark what is not the article, also compounds of several of them.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social sidebar aside related recommended recommendations "
     "comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs menu nav navbar navigation pagination pager "
     "footer masthead toolbar widget copyright disclaimer skip alert toc teaser outbrain taboola".split()
 )
+#: Words that may go with those; others, as in has-sidebar or ad-free, name a page's layout.
+NEUTRAL = frozenset("area box item items links list posts section slot".split())
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Reach and width of the smoothing, in lines.
 REACH, SIGMA = 2, 1.0
-#: The region's element holds so much of the content lines' text.
+#: An article's element holds so much of the content lines' text.
 SHARE = 0.8
 
 
@@ -62,8 +66,10 @@ def _hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if key == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if key in ("class", "id") and value and tag not in ("html", "body", "main", "article"):
-            if any(part.lower() in NAMES for part in _NAME_PARTS.findall(value)):
-                return True
+            for name in value.split():
+                parts = {part.lower() for part in _NAME_PARTS.findall(name)}
+                if parts & NAMES and parts <= NAMES | NEUTRAL:
+                    return True
     return False
 
 
@@ -74,6 +80,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # tag, region, taken out
         self.parents: list[int] = [-1]
+        self.articles: list[int] = []  # regions that are a main or article element
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.regions: list[int] = []
@@ -124,6 +131,8 @@ class Lines(HTMLParser):
         if tag in REGION and not out:
             self.parents.append(region)
             region = len(self.parents) - 1
+            if tag in ARTICLE:
+                self.articles.append(region)
         self.stack.append((tag, region, out))
 
     def handle_startendtag(self, tag, attrs):
@@ -172,10 +181,12 @@ def main_text(html: str) -> str:
     np.add.at(held, np.array(page.regions)[core], lengths[core])
     for region in range(len(held) - 1, 0, -1):  # children come after their parents
         held[page.parents[region]] += held[region]
-    need, chosen = math.ceil(SHARE * held[0]), 0
-    for region in range(1, len(held)):
-        if page.parents[region] == chosen and held[region] >= need:
-            chosen = region
+    need = math.ceil(SHARE * held[0])
+    chosen = next((region for region in page.articles if held[region] >= need), 0)
+    if not chosen:
+        for region in range(1, len(held)):
+            if page.parents[region] == chosen and held[region] == held[0]:
+                chosen = region
     inside = np.zeros(len(held), bool)
     inside[chosen] = True
     for region in range(chosen + 1, len(held)):
