@@ -9,20 +9,24 @@ takes the edges by priority and joins an edge's two parts where both still stand
 gives the library's pieces. Boundaries are the bits of one long.
 
 `encode` counts the words of all documents, sends the lattice results of the frequent ones (a bounded
-table) to the tasks, and lets each task fold the lattices of its rare words itself; texts do not move.
-Pieces never reach across a blank or, if the vocabulary shows so, between letters and other
-characters, so words are what lies between. Words above 62 characters go to the library.
+table) to the tasks, and lets each task fold the lattices of its rare words itself, many at once
+(`piece_merges`); texts do not move. Pieces never reach across a blank or, if the vocabulary shows so,
+between letters and other characters, so words are what lies between. The library only reads the
+model's file. `decode` looks pieces up in a constant table, in column expressions.
 
 Defined results: a null or empty text has no ids; characters outside the vocabulary become bytes where
-the model has them, else the unknown id; blanks, tabs and line ends keep their number; repeated rows
-stay repeated; an empty table gives an empty result. Decoding gives the text back, with U+2581 as a
-blank.
+the model has them, else the unknown id; blanks, tabs and line ends keep their number; a word of any
+length is folded whole (in n log n steps); texts of any length are taken in runs of some megabytes or one text;
+repeated rows stay repeated; an empty table gives an empty result. Decoding gives the text back, with
+U+2581 as a blank. A column of the input that is called `ids` (or, in `decode`, as `into` says) gives
+way to the new one.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facelake.llm.common import stored, text_column
+from facelake.llm.piece_merges import Merges
 from facelake.llm.token_counts import tokenizer_path
 
 BLANK = "▁"
@@ -40,6 +45,8 @@ RUNS = rf"{BLANK}*[^\W\d_²³¹¼½¾]+|{BLANK}*(?:[\d_²³¹¼½¾]|(?!{BLANK})
 WORDS = rf"{BLANK}*[^{BLANK}]+|{BLANK}+"
 #: Words that a task holds before it empties its memo or hands on its counts.
 HELD = 100_000
+#: Bytes of texts that are cut into words at once.
+RUN = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -53,13 +60,11 @@ class Model:
     unknown: int
     pattern: str
     reach: int
-    #: Every beginning of a piece of two characters or more.
-    begun: frozenset[str]
 
 
 @lru_cache(maxsize=2)
-def load(name: str) -> tuple[Model, object]:
-    """The model in a file and the library's processor for it."""
+def load(name: str) -> Model:
+    """The model in a file."""
     import sentencepiece
 
     processor = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name))
@@ -71,69 +76,46 @@ def load(name: str) -> tuple[Model, object]:
     # scores that fall by one from piece to piece are the ranks of merges
     scores = [s for p, (_, s) in pieces.items() if len(p) > 1]
     kind = "bpe" if all(s == round(s) for s in scores) else "unigram"
-    begun = frozenset(p[:n] for p in pieces for n in range(2, len(p) + 1))
     cut = [p for p in pieces if len(re.findall(RUNS, p)) > 1]
-    return Model(kind, pieces, names, byte_ids if len(byte_ids) == 256 else [], processor.unk_id(), WORDS if cut else RUNS, max(map(len, pieces)), begun), processor
-
-
-def _fold(word: str, model: Model) -> list[int]:
-    """The ids of a word of LONGEST characters at most, by the fold that encode_words does in SQL."""
-    pieces, n, begun = model.pieces, len(word), model.begun
-    edges = []
-    for s in range(n):
-        e = s + 1
-        part = word[s:e]
-        while True:
-            if found := pieces.get(part):
-                edges.append((-found[1], s, e))
-            e += 1
-            part = word[s:e]
-            if e > n or part not in begun:
-                break
-    bounds = (1 << (n + 1)) - 1
-    if model.kind == "bpe":
-        edges.sort()
-        for _, s, e in edges:
-            if e == s + 1:
-                continue
-            inner = ((1 << e) - 1) & ~((2 << s) - 1)
-            here = bounds & inner
-            if here and bounds >> s & 1 and bounds >> e & 1 and not here & (here - 1):
-                bounds &= ~inner
-    else:
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        lowest = min(s for _, s in pieces.values()) - 10
-        ending: dict[int, list[tuple[int, float]]] = {}
-        for cost, s, e in edges:
-            ending.setdefault(e, []).append((s, -cost))
-        for e in range(1, n + 1):
-            ways = ending.get(e, [])
-            if not any(s == e - 1 for s, _ in ways):
-                ways = [*ways, (e - 1, lowest)]
-            best.append(max((best[s][0] + score, -s) for s, score in ways))
-        bounds, e = 1 | 1 << n, n
-        while e:
-            e = -best[e][1]
-            bounds |= 1 << e
-    ids, s = [], 0
-    while s < n:
-        e = s + 1
-        while not bounds >> e & 1:
-            e += 1
-        if found := pieces.get(word[s:e]):
+    return Model(kind, pieces, names, byte_ids if len(byte_ids) == 256 else [], processor.unk_id(), WORDS if cut else RUNS, max(map(len, pieces)))
+
+
+def best_path(word: str, model: Model) -> list[int]:
+    """The ids of a word by the fold that encode_words does for unigram models: Viterbi over positions."""
+    pieces, n = model.pieces, len(word)
+    lowest = min(s for _, s in pieces.values()) - 10
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for e in range(1, n + 1):
+        ways = [(best[s][0] + pieces[word[s:e]][1], -s) for s in range(max(0, e - model.reach), e) if word[s:e] in pieces]
+        if word[e - 1] not in pieces:
+            ways.append((best[e - 1][0] + lowest, 1 - e))
+        best.append(max(ways))
+    parts, e = [], n
+    while e:
+        parts.append(word[-best[e][1] : e])
+        e = -best[e][1]
+    ids = []
+    for part in reversed(parts):
+        if found := pieces.get(part):
             ids.append(found[0])
         elif model.byte_ids:
-            ids += [model.byte_ids[b] for b in word[s:e].encode()]
+            ids += [model.byte_ids[b] for b in part.encode()]
         else:
             ids.append(model.unknown)
-        s = e
     return ids
 
 
+@lru_cache(maxsize=2)
+def merges(name: str) -> Merges:
+    """The edges of a BPE model, kept for the later tasks of the same worker."""
+    model = load(name)
+    return Merges(model.pieces, len(model.names), model.byte_ids, model.unknown)
+
+
 def encode_words(words: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
     """(word, ids) of distinct words of LONGEST characters at most, blanks written as U+2581."""
     spark = words.sparkSession
-    model, _ = load(name)
+    model = load(name)
     # as many rows as the vocabulary has pieces
     table = spark.createDataFrame([(p, i, s) for p, (i, s) in model.pieces.items()], "piece string, id int, score double")
     distinct = words.select(F.col(words.columns[0]).alias("word")).distinct()
@@ -190,20 +172,8 @@ def encode_words(words: DataFrame, name: str = "piece_bpe_32k.model") -> DataFra
 
 
 def _chunks(text: str) -> list[str]:
-    """What stands before each blank: the text is a U+2581 before each of them."""
-    parts = text.replace(BLANK, " ").split(" ") if text else []
-    if "" not in parts:
-        return parts
-    out, blanks = [], 0
-    for part in parts:
-        if part:
-            out.append(BLANK * blanks + part)
-            blanks = 0
-        else:
-            blanks += 1
-    if blanks:
-        out.append(BLANK * (blanks - 1))
-    return out
+    """The text cut before each run of blanks, a U+2581 for each blank and one in front, as the library reads it."""
+    return re.findall(WORDS, BLANK + text.replace(" ", BLANK)) if text else []
 
 
 def id_type(model: Model) -> np.dtype:
@@ -211,46 +181,73 @@ def id_type(model: Model) -> np.dtype:
     return np.dtype("<u2" if len(model.names) <= 1 << 16 else "<u4")
 
 
+def _runs(column) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """Runs of the texts of an Arrow column: how many chunks each text has, and of all chunks one after the other
+    the place in the list of distinct ones, and that list."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // RUN
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        texts = column.slice(a, b - a)
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, BLANK)), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        marked = pc.binary_join_element_wise("", pc.replace_substring(texts, " ", f" {BLANK}"), BLANK)
+        marked = pc.if_else(pc.equal(texts, ""), pa.scalar(None, marked.type), marked)
+        if pc.any(odd).as_py():  # several blanks in a row belong to one chunk
+            places = odd.to_numpy(zero_copy_only=False)
+            own = pa.array([" ".join(_chunks(t)) for t in texts.filter(odd).to_pylist()], marked.type)
+            marked = pc.replace_with_mask(marked, pa.array(places), own)
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.flatten().dictionary_encode()
+        counts = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        yield counts, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
 class PieceIds(dict):
-    """Chunks to their ids as little-endian 16- or 32-bit integers, with the frequent words given."""
+    """Words and chunks of words to their packed ids: the frequent words, which are given, and others until it
+    is full. Only distinct chunks are looked at one by one."""
 
     def __init__(self, name: str, head: dict[str, bytes]):
-        super().__init__()
-        self.model, self.processor = load(name)
+        super().__init__(head)
+        self.name, self.model, self.head = name, load(name), head
         self.dtype = id_type(self.model)
-        self.head = head
-        self.words: dict[str, bytes] = {}
         self.find = re.compile(self.model.pattern).findall
 
-    def _pack(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        found = self.head.get(word) or self.words.get(word)
-        if found is None:
-            if len(word) <= LONGEST:
-                found = self._pack(_fold(word, self.model))
-            elif word.startswith(BLANK):
-                found = self._pack(self.processor.encode(word[1:]))
-            else:  # behind a line end, which nothing joins, and without it
-                lead = self.processor.encode("\n")
-                found = self._pack(self.processor.encode("\n" + word)[len(lead) :])
-            if len(word) <= LONGEST:
-                if len(self.words) > HELD:
-                    self.words.clear()
-                self.words[word] = found
-        return found
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = b"".join(map(self._word, self.find(BLANK + chunk)))
-        if len(chunk) <= LONGEST:
-            if len(self) > HELD:
+    def _fold(self, words: list[str]) -> list[bytes]:
+        if self.model.kind == "bpe":
+            return merges(self.name).fold(words, self.dtype)
+        return [np.array(best_path(w, self.model), self.dtype).tobytes() for w in words]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Adds chunks by their words, which are found in one go: only a chunk's first word has a blank, or all of it is blanks."""
+        blanks = [c for c in chunks if not c.strip(BLANK)]
+        chunks = [c for c in chunks if c.strip(BLANK)] if blanks else chunks
+        words = self.find("".join(chunks))
+        new = list({w for w in [*words, *blanks] if w not in self})
+        self.update(zip(new, self._fold(new), strict=True))
+        firsts = [i for i, w in enumerate(words) if w[0] == BLANK]
+        for chunk, a, b in zip(chunks, firsts, [*firsts[1:], len(words)], strict=True):
+            if b > a + 1:
+                self[chunk] = b"".join(map(self.__getitem__, words[a:b]))
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of an Arrow column, one after the other, and where each text's end, with 0 in front."""
+        flat, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for counts, places, distinct in _runs(column):
+            if len(self) > len(self.head) + HELD:
                 self.clear()
-            self[chunk] = found
-        return found
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, _chunks(text))), self.dtype)
+                self.update(self.head)
+            self.learn([c for c in distinct if c not in self])
+            own = list(map(self.__getitem__, distinct))
+            n = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype.itemsize
+            starts, held = np.cumsum(n) - n, np.frombuffer(b"".join(own), self.dtype)
+            n, starts = n[places], starts[places]
+            ends = np.cumsum(n)
+            flat.append(held[np.repeat(starts - (ends - n), n) + np.arange(n.sum())])
+            sizes.append(np.diff(np.append(0, ends)[np.append(0, np.cumsum(counts))]))
+        return np.concatenate(flat), np.cumsum(np.append(0, np.concatenate(sizes)))
 
 
 def word_counts(texts: DataFrame, name: str, least: int) -> DataFrame:
@@ -259,22 +256,22 @@ def word_counts(texts: DataFrame, name: str, least: int) -> DataFrame:
     def count(batches):
         import pyarrow as pa
 
-        find = re.compile(load(name)[0].pattern).findall
+        find = re.compile(load(name).pattern).findall
         held: Counter[str] = Counter()
 
         def words():
             total: Counter[str] = Counter()
             for chunk, n in held.items():
-                for word in find(BLANK + chunk):
+                for word in find(chunk):
                     if len(word) <= LONGEST:
                         total[word] += n
             held.clear()
             return pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(_chunks(text))
-                if len(held) > HELD:
+            for _, places, distinct in _runs(batch.column(0)):
+                held.update(dict(zip(distinct, np.bincount(places, minlength=len(distinct)).tolist(), strict=True)))
+                if len(held) > 2 * HELD:
                     yield words()
         yield words()
 
@@ -294,6 +291,15 @@ def frequent(texts: DataFrame, name: str, most: int) -> DataFrame:
     return encode_words(counts.where(level >= threshold).select("word"), name)
 
 
+def packed(words: DataFrame, kind: np.dtype) -> dict[str, bytes]:
+    """A bounded table (word, ids) on the driver, ids packed."""
+    table = words.toArrow()
+    names, lists = table.column(0).to_pylist(), table.column(1).combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) * kind.itemsize
+    return {w: flat[a:b] for w, a, b in zip(names, [0, *ends.tolist()[:-1]], ends.tolist(), strict=True)} if names else {}
+
+
 def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", most: int = 100_000, text_col: str = "text") -> DataFrame:
     """docs with `ids`, the pieces of the whole text without added special tokens.
 
@@ -301,8 +307,7 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", most: int = 100_0
     """
     own = [c for c in docs.columns if c != "ids"]
     texts = docs.select(text_column(docs, text_col))
-    kind = id_type(load(name)[0])
-    head = {r["word"]: np.array(r["ids"], kind).tobytes() for r in frequent(texts, name, most).collect()}  # `most` rows at most
+    head = packed(frequent(texts, name, most), id_type(load(name)))  # `most` rows at most
     sent = docs.sparkSession.sparkContext.broadcast(head)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), text_column(docs, text_col))
 
@@ -311,10 +316,8 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", most: int = 100_0
 
         memo = PieceIds(name, sent.value)
         for batch in batches:
-            found = [memo.encode(t) for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)])
-            flat = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            flat, ends = memo.encode(batch.column(1))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
             yield pa.record_batch([batch.column(0), ids], names=["row", "ids"])
 
     schema = rows.select("row", F.array().cast("array<int>").alias("ids")).schema
@@ -322,33 +325,26 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", most: int = 100_0
     return out.select(*[F.col("row").getField(c).alias(c) for c in own], "ids")
 
 
-def decode(encoded: DataFrame, name: str = "piece_bpe_32k.model", into: str = "decoded") -> DataFrame:
-    """encoded (with `ids`) with the text that the ids stand for in column `into`."""
-    own = [c for c in encoded.columns if c != into]
-    rows = encoded.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), "ids")
+def decoded(ids: Column, name: str = "piece_bpe_32k.model") -> Column:
+    """The text that an array of ids stands for.
 
-    def run(batches):
-        import pyarrow as pa
+    The table of pieces is one constant of hexadecimal bytes, since a byte piece is no text by itself.
+    """
+    model = load(name)
+    parts = [p.replace(BLANK, " ").encode() for p in model.names]
+    for value, i in enumerate(model.byte_ids):
+        parts[i] = bytes([value])
+    parts[model.unknown] = " ⁇ ".encode()
+    table = F.split(F.lit(",".join(p.hex() for p in parts)), ",")
+    text = F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")).cast("string")
+    return F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, F.length(text))).otherwise(text)
 
-        model, _ = load(name)
-        parts = [p.replace(BLANK, " ").encode() for p in model.names]
-        for value, i in enumerate(model.byte_ids):
-            parts[i] = bytes([value])
-        parts[model.unknown] = " ⁇ ".encode()
-        for batch in batches:
-            column = batch.column(1)
-            flat, bounds = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            texts = []
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                text = b"".join(map(parts.__getitem__, flat[a:b].tolist()))
-                texts.append(text.removeprefix(b" ").decode("utf-8", "replace"))
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["row", into])
-
-    schema = rows.select("row", F.lit("").alias(into)).schema
-    out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in own], into)
+
+def decode(encoded: DataFrame, name: str = "piece_bpe_32k.model", into: str = "decoded") -> DataFrame:
+    """encoded (with `ids`) with the text that the ids stand for in column `into`."""
+    return encoded.withColumn(into, decoded(F.col("ids"), name))
 
 
 def piece_table(spark: SparkSession, name: str = "piece_bpe_32k.model") -> DataFrame:
     """(id, piece) of a model's whole vocabulary."""
-    return spark.createDataFrame(list(enumerate(load(name)[0].names)), "id int, piece string")
+    return spark.createDataFrame(list(enumerate(load(name).names)), "id int, piece string")
