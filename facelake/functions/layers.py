@@ -1,4 +1,4 @@
-"""Layers of small convolutional networks over batches (n, c, h, w), and a registry of embedders."""
+"""Embedders by name: functions from a batch of images (n, c, h, w) to vectors (n, d)."""
 
 from __future__ import annotations
 
@@ -7,94 +7,46 @@ from collections.abc import Callable
 import numpy as np
 
 Embedder = Callable[[np.ndarray], np.ndarray]
+Maker = Callable[[str], Embedder]
 
+#: What this process has built, by name and weights.
+_BUILT: dict[tuple[str, str], Embedder] = {}
 
-def conv2d(x: np.ndarray, weight: np.ndarray, bias: np.ndarray | None = None, stride: int = 1, padding: int = 0, groups: int = 1) -> np.ndarray:
-    """Cross-correlation; weight is (out, in / groups, kh, kw)."""
-    x = np.pad(x, ((0, 0), (0, 0), (padding, padding), (padding, padding)))
-    windows = np.lib.stride_tricks.sliding_window_view(x, weight.shape[2:], axis=(2, 3))[:, :, ::stride, ::stride]
-    parts = [
-        np.einsum("nchwij,ocij->nohw", w, k, optimize=True)
-        for w, k in zip(np.split(windows, groups, axis=1), np.split(weight, groups, axis=0), strict=True)
-    ]
-    out = np.concatenate(parts, axis=1)
-    return out if bias is None else out + bias[None, :, None, None]
 
-
-def batch_norm(x: np.ndarray, mean, var, gamma, beta, eps: float = 1e-5) -> np.ndarray:
-    shape = (1, -1) + (1,) * (x.ndim - 2)
-    scale = np.asarray(gamma) / np.sqrt(np.asarray(var) + eps)
-    return x * scale.reshape(shape) + (np.asarray(beta) - np.asarray(mean) * scale).reshape(shape)
-
-
-def prelu(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
-    return np.where(x >= 0, x, x * np.asarray(slope).reshape((1, -1) + (1,) * (x.ndim - 2)))
-
-
-def hard_sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.clip(x / 6 + 0.5, 0, 1)
-
-
-def hard_swish(x: np.ndarray) -> np.ndarray:
-    return x * hard_sigmoid(x)
-
-
-def squeeze_excite(x: np.ndarray, reduce: tuple, expand: tuple) -> np.ndarray:
-    """reduce, expand: (weight, bias) of the two 1 x 1 convolutions."""
-    s = np.maximum(conv2d(x.mean(axis=(2, 3), keepdims=True), *reduce), 0)
-    return x * hard_sigmoid(conv2d(s, *expand))
-
-
-def inverted_residual(x: np.ndarray, block: dict, activation: Callable = hard_swish) -> np.ndarray:
-    """Expand, depthwise, optional squeeze-excitation, project; added to x where the shapes agree.
-
-    block: weights (`expand`, `depthwise`, `project`), batch norms of the same names with `_bn`
-    behind, `stride`, and `se` as (reduce, expand) or missing.
-    """
-    y = activation(batch_norm(conv2d(x, block["expand"]), **block["expand_bn"])) if "expand" in block else x
-    k, stride = block["depthwise"].shape[-1], block.get("stride", 1)
-    y = batch_norm(conv2d(y, block["depthwise"], stride=stride, padding=(k - 1) // 2, groups=y.shape[1]), **block["depthwise_bn"])
-    y = activation(y)
-    if "se" in block:
-        y = squeeze_excite(y, *block["se"])
-    y = batch_norm(conv2d(y, block["project"]), **block["project_bn"])
-    return x + y if stride == 1 and x.shape == y.shape else y
-
-
-def depthwise_head(x: np.ndarray, depthwise: np.ndarray, linear: np.ndarray, bn: dict) -> np.ndarray:
-    """A depthwise convolution over the whole map, a linear layer and a batch norm: (n, c, s, s) to (n, d)."""
-    return batch_norm(conv2d(x, depthwise, groups=x.shape[1]).reshape(len(x), -1) @ linear.T, **bn)
+def loaded(name: str, weights: str, make: Maker) -> Embedder:
+    """The embedder, built once in each process."""
+    if (name, weights) not in _BUILT:
+        _BUILT[name, weights] = make(weights)
+    return _BUILT[name, weights]
 
 
 class Registry:
-    """Embedders by name; each worker builds the ones it needs once."""
+    """Makers of embedders by name."""
 
     def __init__(self):
-        self._makers: dict[tuple[str, str], Callable[[str], Embedder]] = {}
-        self._kinds: dict[str, Callable[[str], Embedder]] = {}
-        self._loaded: dict[tuple[str, str], Embedder] = {}
+        self._makers: dict[str, Maker] = {}
 
-    def register(self, name: str, make: Callable[[str], Embedder]) -> None:
+    def register(self, name: str, make: Maker) -> None:
         if not callable(make):
             raise TypeError("an embedder is made by a function of the weights' path")
-        self._kinds[name] = make
+        self._makers[name] = make
 
     def names(self) -> list[str]:
-        return sorted(self._kinds)
+        return sorted(self._makers)
 
-    def get(self, name: str, weights: str = "") -> Embedder:
-        if name not in self._kinds:
+    def maker(self, name: str) -> Maker:
+        if name not in self._makers:
             raise KeyError(f"unknown model {name!r}; known are {', '.join(self.names())}")
-        key = (name, weights)
-        if key not in self._loaded:
-            self._loaded[key] = self._kinds[name](weights)
-        return self._loaded[key]
+        return self._makers[name]
+
+    def get(self, name: str, weights: str = "") -> Embedder:
+        return loaded(name, weights, self.maker(name))
 
     def is_loaded(self, name: str, weights: str = "") -> bool:
-        return (name, weights) in self._loaded
+        return (name, weights) in _BUILT
 
     def clear(self) -> None:
-        self._loaded.clear()
+        _BUILT.clear()
 
 
 REGISTRY = Registry()
@@ -122,4 +74,13 @@ def onnx_model(path: str) -> Embedder:
 
 
 REGISTRY.register("seeded_projection", seeded_projection)
+def pixels(_: str) -> Embedder:
+    """The image's own values, for checks of what comes before a network."""
+    return lambda x: x.reshape(len(x), -1)
+
+
+REGISTRY.register("pixels", pixels)
 REGISTRY.register("onnx", onnx_model)
+#: Named networks, whose weights are ONNX files; two names may share a network.
+for _name in ("mobilenetv3_large", "mobilenetv3_small", "mobilenetv3_large_iti", "cosface_resnet50"):
+    REGISTRY.register(_name, onnx_model)

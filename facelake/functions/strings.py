@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,14 +21,42 @@ def allowed_file(name: Column, extensions: tuple[str, ...] = EXTENSIONS) -> Colu
     return F.coalesce(name.contains(".") & extension(name).isin(*extensions), F.lit(False))
 
 
+@lru_cache(maxsize=1)
+def ascii_forms() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves of each character in ASCII: characters and their one letter,
+    and those that leave several."""
+    one, several = {}, {}
+    for code in (c for c in range(128, 0x30000) if not 0xD800 <= c < 0xE000):
+        left = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if left:
+            (one if len(left) == 1 else several)[chr(code)] = left
+    return "".join(one), "".join(one.values()), several
+
+
+def to_ascii(text: Column) -> Column:
+    """Letters without their accents, ligatures and the like as letters; what has no such form goes."""
+    ones, letters, several = ascii_forms()
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    plain = F.translate(text, ones, letters)
+    each = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    wide = F.when(plain.rlike(r"[^\x00-\x7F]"), each).otherwise(plain)
+    return F.regexp_replace(wide, r"[^\x00-\x7F]", "")
+
+
 def secure_filename(name: Column) -> Column:
     """A name safe as a file name: ASCII letters, digits, dot, dash and underscore, no leading or trailing dots."""
-    spaced = F.regexp_replace(name, "[/\\\\]", " ")
-    ascii_only = F.regexp_replace(spaced, r"[^\x00-\x7F]", "")
-    joined = F.regexp_replace(F.trim(ascii_only), r"\s+", "_")
+    spaced = F.regexp_replace(to_ascii(name), "[/\\\\]", " ")
+    joined = F.regexp_replace(F.trim(spaced), r"\s+", "_")
     return F.regexp_replace(F.regexp_replace(joined, r"[^A-Za-z0-9_.-]", ""), r"^[._]+|[._]+$", "")
 
 
+def safe_name(name: str) -> str:
+    """secure_filename of one name, on the driver."""
+    plain = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().replace("/", " ").replace("\\", " ")
+    joined = re.sub(r"\s+", "_", plain.strip(" "))
+    return re.sub(r"^[._]+|[._]+$", "", re.sub(r"[^A-Za-z0-9_.-]", "", joined))
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

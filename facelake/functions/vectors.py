@@ -9,6 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def cosine_of_halves(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Cosine of (a, b) and (c, d) put together, with the halves held apart; null where one is zero."""
+    product = F.sqrt(dot(a, a) + dot(b, b)) * F.sqrt(dot(c, c) + dot(d, d))
+    return F.when(product > 0, clamp((dot(a, c) + dot(b, d)) / F.nullif(product, F.lit(0.0))))
+
+
 def literal(vector: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facelake.operators.search import FIELDS, search
+from facelake.session import stored
 
 SCHEMA = T.StructType(
     [
@@ -42,9 +43,14 @@ class Collection:
     Ids follow on from the greatest one, so one writer at a time appends.
     """
 
-    def __init__(self, spark: SparkSession, name: str, dim: int):
+    def __init__(self, spark: SparkSession, name: str, dim: int, create: bool = True):
         self.spark, self.name, self.dim = spark, name, dim
-        self.ensure()
+        if create:
+            self.ensure()
+
+    def within(self, spark: SparkSession) -> Collection:
+        """The same table in another session of the application, such as that of a micro-batch."""
+        return Collection(spark, self.name, self.dim, create=False)
 
     def ensure(self) -> None:
         """Creates the table where it is missing; an existing one must hold vectors of this length."""
@@ -59,11 +65,17 @@ class Collection:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def refreshed(self) -> Collection:
+        """This collection with what other sessions have appended."""
+        self.spark.catalog.refreshTable(self.name)
+        return self
+
     def insert(self, rows: DataFrame) -> int:
         """Appends rows (embedding, person_id, image_path) and returns their number.
 
         One timestamp for the call; missing names become "None"; a vector of another length is an error.
         """
+        self.spark.catalog.refreshTable(self.name)  # another session may have appended
         offset = self.read().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         now = self.spark.sql(f"SELECT date_format(current_timestamp(), '{STAMP}')").first()[0]
         vector = F.when(F.size("embedding") == self.dim, F.col("embedding").cast("array<float>")).otherwise(
@@ -73,15 +85,16 @@ class Collection:
         def name(column: str) -> Column:
             return F.coalesce(F.col(column).cast("string"), F.lit("None")).alias(column)
 
-        # consecutive ids need one place per row: numbered inside partitions, shifted by the rows before
+        # consecutive ids need one place per row: numbered inside partitions, shifted by the rows before; written
+        # first, so that whatever made the rows runs once and both passes see the same partitions
         placed = rows.select(vector.alias("embedding"), name("person_id"), name("image_path"), F.monotonically_increasing_id().alias("place"))
-        from pyspark.sql import Observation
-
+        placed = stored(placed, "insert")
         seen = Observation()
         numbered = numbered_rows(placed, "place").select(
             (F.col("number") + F.lit(offset)).alias("id"), "embedding", "person_id", "image_path", F.lit(now).alias("created_at")
         )
         numbered.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
         return int(seen.get["n"])
 
     def insert_single(self, embedding: Sequence[float], person_id: str, image_path: str) -> int:
@@ -119,7 +132,7 @@ def numbered_rows(rows: DataFrame, order: str) -> DataFrame:
     """rows with `number` from 1 in the order of monotonically increasing ids, without gathering them.
 
     The upper bits of such an id name the partition, so a count for each partition is all that is
-    put in sequence.
+    put in sequence. rows are evaluated twice: give a scan or a written table.
     """
     part = F.shiftrightunsigned(F.col(order), 33)
     place = F.col(order).bitwiseAND(F.lit((1 << 33) - 1))

@@ -5,41 +5,73 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facelake.config import EngineConfig
+from facelake.functions.layers import REGISTRY
 from facelake.operators import faces
 
 
 def select_face(rows: DataFrame, config: EngineConfig) -> DataFrame:
-    """rows with `face` chosen from `faces`, and status no_face where detection finds none."""
+    """rows with `face` chosen from `faces`, `num_faces`, and status no_face where detection finds none."""
     if not config.face_detection or "faces" not in rows.columns:
-        return rows.withColumn("face", F.lit(None).cast("struct<box:array<double>,landmarks:array<array<double>>,score:double>"))
+        return rows.withColumns({"face": F.lit(None).cast(faces.FACE), "num_faces": F.lit(None).cast("int")})
     found = faces.usable(F.col("faces"), config.confidence)
+    rows = rows.withColumn("num_faces", F.coalesce(F.size(found), F.lit(0)))
     chosen = faces.largest(found) if config.select_largest else faces.most_confident(found)
     with_face = rows.withColumn("face", chosen)
     missing = (F.col("status") == "ok") & F.col("face").isNull()
     return with_face.withColumn("status", F.when(missing, "no_face").otherwise(F.col("status")))
 
 
+def tensors(images: DataFrame, size: int) -> DataFrame:
+    """images (.., height, width, channels, data, status) with `tensor`, channels first, in place of the image; null
+    where it cannot be decoded."""
+    keep = [c for c in images.columns if c not in ("data", "height", "width", "channels", "tensor")]
+    rows = images.select(F.struct(*keep).alias("row"), "height", "width", "channels", "data", "status")
+
+    def run(batches):
+        import pyarrow as pa
+
+        from facelake.functions import images as im
+
+        for batch in batches:
+            out = []
+            for height, width, channels, data, status in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                try:
+                    image = im.from_row(height, width, channels, data) if status == "ok" else None
+                    out.append(None if image is None else im.to_tensor(image if image.shape[:2] == (size, size) else im.resize(image, size, size)).ravel().tolist())
+                except (ValueError, IndexError, TypeError):
+                    out.append(None)
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.float32()))], names=["row", "tensor"])
+
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("tensor", T.ArrayType(T.FloatType()))])
+    return rows.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in keep], "tensor")
+
+
 def embed(images: DataFrame, model: str, config: EngineConfig, weights: str = "", batch: int = 64) -> DataFrame:
-    """images (path, height, width, channels, data, status, optionally faces) with embedding and was_aligned.
+    """images (path, height, width, channels, data, status, optionally faces) with embedding, was_aligned, and the
+    face that was taken (`face_box`, `face_score`) of `num_faces`.
 
-    Rows whose status is not ok keep a null embedding; a bad image never ends the job. Images are
-    decoded once, and the flipped ones go through the network in the same batch.
+    Rows whose status is not ok keep a null embedding; a bad image never ends the job, an unknown model does
+    before it starts. Images are decoded once, and the flipped ones go through the network in the same batch.
     """
     rows = select_face(images, config)
     size, use_tta = config.image_size, config.use_tta
     reference = np.array(faces.reference_points(size))
-    keep = [c for c in rows.columns if c not in ("data", "faces", "face")]
+    keep = [c for c in rows.columns if c not in ("data", "faces", "face", "embedding", "was_aligned")]
+    maker = REGISTRY.maker(model)  # sent along, since a worker imports its own registry
+    rows = rows.withColumns({"face_box": F.col("face.box"), "face_score": F.col("face.score")})
+    keep += [c for c in ("face_box", "face_score") if c not in keep]
     slim = rows.select(F.struct(*keep).alias("row"), "data", F.col("face.landmarks").alias("landmarks"))
 
     def run(batches):
         import pyarrow as pa
 
         from facelake.functions import images as im
-        from facelake.functions.layers import REGISTRY
+        from facelake.functions.layers import loaded
 
-        network = REGISTRY.get(model, weights)
+        network = loaded(model, weights, maker)
         for record in batches:
             rows, data, marks = (record.column(i).to_pylist() for i in range(3))
             out: list[list[float] | None] = [None] * len(rows)
@@ -66,7 +98,10 @@ def embed(images: DataFrame, model: str, config: EngineConfig, weights: str = ""
                         out[i] = v.astype(np.float32).tolist()
             yield pa.record_batch([record.column(0), pa.array(out, pa.list_(pa.float32())), pa.array(aligned), pa.array(status)], names=["row", "embedding", "was_aligned", "status"])
 
-    schema = slim.select("row", F.array().cast("array<float>").alias("embedding"), F.lit(True).alias("was_aligned"), F.lit("").alias("status")).schema
+    schema = T.StructType([
+        T.StructField("row", slim.schema["row"].dataType), T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("was_aligned", T.BooleanType()), T.StructField("status", T.StringType()),
+    ])
     done = slim.mapInArrow(run, schema)
     fields = [F.col("row").getField(c).alias(c) for c in keep if c != "status"]
     return done.select(*fields, "embedding", "was_aligned", "status")

@@ -7,6 +7,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+FACE = T.StructType([
+    T.StructField("box", T.ArrayType(T.DoubleType())), T.StructField("landmarks", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("score", T.DoubleType()),
+])
+
+
+def arrow_face():
+    """FACE as an Arrow type."""
+    import pyarrow as pa
+
+    return pa.struct([("box", pa.list_(pa.float64())), ("landmarks", pa.list_(pa.list_(pa.float64()))), ("score", pa.float64())])
+
 
 #: The five reference landmarks of a 112 x 112 face.
 REFERENCE = ((38.2946, 51.6963), (73.5318, 51.5014), (56.0252, 71.7366), (41.5493, 92.3655), (70.7299, 92.2041))
@@ -63,33 +76,70 @@ def reference_points(size: int) -> list[tuple[float, float]]:
 
 
 def fit_similarity(points: DataFrame, key: str, x: str, y: str, u: str, v: str) -> DataFrame:
-    """(key, a, b, tx, ty): the similarity [[a, -b, tx], [b, a, ty]] that maps (x, y) to (u, v) best.
+    """(key, n, a, b, tx, ty): the similarity [[a, -b, tx], [b, a, ty]] that maps (x, y) to (u, v) best.
 
-    Least squares in closed form from sums, one aggregation for all groups; null where all of a group's
-    points coincide.
+    Least squares in closed form from covariances, one aggregation for all groups, which large coordinates
+    do not upset; n is the number of points; null where all of a group's points coincide.
     """
     c = {n: F.col(f"`{n}`").cast("double") for n in (x, y, u, v)}
     sums = points.groupBy(key).agg(
         F.count("*").alias("n"),
-        *[F.sum(c[n]).alias(f"s_{i}") for i, n in enumerate((x, y, u, v))],
-        F.sum(c[x] * c[u] + c[y] * c[v]).alias("dot"),
-        F.sum(c[x] * c[v] - c[y] * c[u]).alias("cross"),
-        F.sum(c[x] * c[x] + c[y] * c[y]).alias("square"),
+        *[F.avg(c[n]).alias(f"m_{i}") for i, n in enumerate((x, y, u, v))],
+        (F.covar_pop(c[x], c[u]) + F.covar_pop(c[y], c[v])).alias("dot"),
+        (F.covar_pop(c[x], c[v]) - F.covar_pop(c[y], c[u])).alias("cross"),
+        (F.var_pop(c[x]) + F.var_pop(c[y])).alias("spread"),
     )
-    spread = F.col("square") - (F.col("s_0") * F.col("s_0") + F.col("s_1") * F.col("s_1")) / F.col("n")
-    spread = F.when(F.abs(spread) > 1e-9 * F.col("square"), spread)
-    a = (F.col("dot") - (F.col("s_0") * F.col("s_2") + F.col("s_1") * F.col("s_3")) / F.col("n")) / spread
-    b = (F.col("cross") - (F.col("s_0") * F.col("s_3") - F.col("s_1") * F.col("s_2")) / F.col("n")) / spread
-    fitted = sums.select(key, "n", "s_0", "s_1", "s_2", "s_3", a.alias("a"), b.alias("b"))
+    spread = F.when(F.col("spread") > 0, F.col("spread"))
+    fitted = sums.select(key, "n", "m_0", "m_1", "m_2", "m_3", (F.col("dot") / spread).alias("a"), (F.col("cross") / spread).alias("b"))
     return fitted.select(
         key,
+        "n",
         "a",
         "b",
-        ((F.col("s_2") - F.col("a") * F.col("s_0") + F.col("b") * F.col("s_1")) / F.col("n")).alias("tx"),
-        ((F.col("s_3") - F.col("b") * F.col("s_0") - F.col("a") * F.col("s_1")) / F.col("n")).alias("ty"),
+        (F.col("m_2") - F.col("a") * F.col("m_0") + F.col("b") * F.col("m_1")).alias("tx"),
+        (F.col("m_3") - F.col("b") * F.col("m_0") - F.col("a") * F.col("m_1")).alias("ty"),
     )
 
 
+def parsed(boxes: dict[str, Column], points: dict[str, Column], scores: dict[str, Column]) -> Column:
+    """A face from a detector's output whose fields go by several names: the first that is given of each.
+
+    boxes and points: flat arrays or arrays of points by name, tried in this order; scores: numbers, 1 without one.
+    """
+    box, score = F.coalesce(*boxes.values()), F.coalesce(*scores.values(), F.lit(1.0))
+    marks = F.coalesce(*[F.when(F.size(p) > 0, p) for p in points.values()])
+    return F.when(box.isNotNull(), F.struct(box.cast("array<double>").alias("box"), marks.cast("array<array<double>>").alias("landmarks"), score.cast("double").alias("score")))
+
+
+def explode_faces(images: DataFrame, confidence: float = 0.0) -> DataFrame:
+    """One row for each usable face of images (.., faces): its place by falling score, box, area, landmarks and score."""
+    found = ranked(usable(F.col("faces"), confidence))
+    rest = [c for c in images.columns if c not in ("faces", "data")]
+    rows = images.select(*rest, F.posexplode(found).alias("face_no", "f"))
+    return rows.select(*rest, "face_no", "f.box", area(F.col("f")).alias("area"), "f.landmarks", "f.score")
+
+
+def bright_detector(images: DataFrame, least: float = 0.3) -> DataFrame:
+    """images with `faces`, a detector backend without weights: an image whose mean brightness is `least` of the
+    greatest or more is one face of its own size, scored by the brightness."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n in ("height", "width", "data", "status")}
+            out = []
+            for height, width, data, status in zip(col["height"], col["width"], col["data"], col["status"], strict=True):
+                score = float(np.frombuffer(data, np.uint8).mean()) / 255 if status == "ok" and data else 0.0
+                marks = [[x * width / 112, y * height / 112] for x, y in REFERENCE]
+                out.append([{"box": [0.0, 0.0, float(width), float(height)], "landmarks": marks, "score": score}] if score >= least else [])
+            yield pa.record_batch([*batch.columns, pa.array(out, pa.list_(arrow_face()))], names=[*batch.schema.names, "faces"])
+
+    schema = T.StructType([*images.drop("faces").schema.fields, T.StructField("faces", T.ArrayType(FACE))])
+    return images.drop("faces").mapInArrow(run, schema)
+
+
 def landmark_points(values: Column) -> Column:
     """The first ten numbers of a flat array as five points."""
     first = F.slice(values, 1, 10)

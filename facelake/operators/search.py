@@ -24,11 +24,25 @@ def search(collection: DataFrame, query: Sequence[float], k: int = 5, fields: Se
     return scored.orderBy(F.desc_nulls_last("distance"), key).limit(k)
 
 
+def similarities(rows, matrix: np.ndarray) -> np.ndarray:
+    """Cosines of an Arrow list array's vectors (columns) to unit vectors (rows); not a number without one."""
+    lengths = rows.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    whole = lengths == matrix.shape[1]
+    x = np.asarray(rows.filter(whole).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(int(whole.sum()), matrix.shape[1])
+    out = np.full((len(matrix), len(whole)), np.nan)
+    length = np.linalg.norm(x, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out[:, whole] = np.where(length > 0, np.clip((matrix @ x.T) / length, -1, 1), np.nan)
+    return out
+
+
 def search_many(collection: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "id", query_key: str = "query_id") -> DataFrame:
     """(query_key, key, distance, rank): the k nearest rows of each query.
 
-    queries: (query_key, vector), taken in blocks of BLOCK. Each task multiplies its batches with a
-    block and keeps k candidates per query, so that what is shuffled grows with queries, not with pairs.
+    queries: (query_key, vector), taken in blocks of BLOCK, each of which is one scan of the collection. A
+    task multiplies its batches with a block and keeps k candidates per query, equal ones by key, so that what
+    is shuffled grows with queries, not with pairs. Vectors that are null, zero or of another length than the
+    block's queries have no similarity and come last; rows without a key are left out.
     """
     spark = collection.sparkSession
     key_type = dict(collection.dtypes)[key]
@@ -39,27 +53,16 @@ def search_many(collection: DataFrame, queries: DataFrame, k: int = 5, vector: s
             import pyarrow as pa
 
             ids, matrix = sent.value
-            best: list[tuple] | None = None
+            best: tuple[np.ndarray, np.ndarray] | None = None
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                rows = batch.column(1)
-                x = np.asarray(rows.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-                length = np.linalg.norm(x, axis=1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = np.clip((matrix @ x.T) / length, -1, 1)
-                s[:, length == 0] = np.nan
-                keys = np.array(batch.column(0).to_pylist(), object)
+                s = similarities(batch.column(1), matrix)
+                keys = np.broadcast_to(np.array(batch.column(0).to_pylist()), s.shape)
                 if best is not None:
-                    s, keys_all = np.hstack([best[0], s]), np.hstack([best[1], np.tile(keys, (len(ids), 1))])
-                else:
-                    keys_all = np.tile(keys, (len(ids), 1))
-                order = np.argsort(-np.nan_to_num(s, nan=-2.0), axis=1, kind="stable")
-                # rows as similar as the k-th stay, since the key decides among them
-                cut = np.take_along_axis(np.nan_to_num(s, nan=-2.0), order, 1)[:, min(k, s.shape[1]) - 1]
-                width = int((np.nan_to_num(s, nan=-2.0) >= cut[:, None]).sum(axis=1).max())
-                order = order[:, :width]
-                best = np.take_along_axis(s, order, 1), np.take_along_axis(keys_all, order, 1)
+                    s, keys = np.hstack([best[0], s]), np.hstack([best[1], keys])
+                order = np.lexsort((keys, -np.nan_to_num(s, nan=-2.0)), axis=1)[:, :k]
+                best = np.take_along_axis(s, order, 1), np.take_along_axis(keys, order, 1)
             if best is not None:
                 n, width = best[0].shape
                 yield pa.record_batch(
@@ -75,11 +78,12 @@ def search_many(collection: DataFrame, queries: DataFrame, k: int = 5, vector: s
     def flush():
         nonlocal parts
         ids = np.array([i for i, _ in held], object)
-        m = np.array([v for _, v in held], np.float64)
+        dim = max((len(v) for _, v in held if v is not None), default=0)
+        m = np.array([v if v is not None and len(v) == dim and None not in v else [np.nan] * dim for _, v in held], np.float64).reshape(len(held), dim)
         length = np.linalg.norm(m, axis=1, keepdims=True)
         with np.errstate(invalid="ignore", divide="ignore"):
             sent = spark.sparkContext.broadcast((ids, np.where(length > 0, m / length, np.nan)))
-        part = collection.select(key, vector).mapInArrow(run(sent), f"{query_key} {id_type}, {key} {key_type}, distance double")
+        part = collection.where(F.col(key).isNotNull()).select(key, vector).mapInArrow(run(sent), f"{query_key} {id_type}, {key} {key_type}, distance double")
         parts = part if parts is None else parts.unionByName(part)
         held.clear()
 

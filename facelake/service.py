@@ -1,14 +1,12 @@
 """Endpoint-shaped functions over DataFrame pipelines: each returns a plain dictionary and never raises for a bad request.
 
-Uploads are (name, bytes) pairs. They are staged to a folder that Spark reads, so that a request of
-many files is one job.
+Uploads are (name, bytes) pairs. They are staged to the folder that driver and executors share, so that a
+request of many files is one job, and removed when it is answered. `handle` answers any route, as JSON.
 """
 
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -17,20 +15,33 @@ from pyspark.sql import functions as F
 
 from facelake.config import EngineConfig
 from facelake.functions.layers import REGISTRY
+from facelake.functions.strings import safe_name
 from facelake.operators.collections import Collection
 from facelake.operators.embed import embed
-from facelake.session import ship
+from facelake.session import remove, scratch, ship
 from facelake.sources.images import read_images
 
 Upload = tuple[str, bytes]
+#: What is said of a status that no route has answered itself.
+ERRORS = {404: "no such endpoint", 413: "upload too large", 422: "the image cannot be processed", 500: "internal error"}
+ROUTES = ("health", "models", "face_detection_status", "embedding", "embeddings_batch", "insert", "search", "stats")
 
 
 class Service:
-    def __init__(self, spark: SparkSession, config: EngineConfig, weights: dict[str, str] | None = None, detector=None, staging: str | None = None):
-        """detector: a function of the images DataFrame that adds `faces`; staging: a folder that driver and executors share."""
+    def __init__(self, spark: SparkSession, config: EngineConfig, weights: dict[str, str] | None = None, detector=None):
+        """detector: a function of the images DataFrame that adds `faces`."""
         ship(spark)
         self.spark, self.config, self.weights, self.detector = spark, config, weights or {}, detector
-        self.staging = Path(staging or tempfile.mkdtemp(prefix="facelake-uploads-"))
+
+    def handle(self, route: str, *args, **named) -> str:
+        """The answer of a route as JSON, of any error as well."""
+        if route not in ROUTES:
+            return json.dumps({"status": 404, "error": ERRORS[404]})
+        try:
+            answer = getattr(self, route)(*args, **named)
+        except Exception as error:
+            answer = {"status": 500, "error": ERRORS[500], "message": str(error)[:500]}
+        return json.dumps(answer, default=str)
 
     def _collection(self, model: str) -> Collection:
         return Collection(self.spark, self.config.collection(model), self.config.dim)
@@ -42,7 +53,7 @@ class Service:
         if len(files) > self.config.max_batch:
             return {"status": 400, "error": f"more than {self.config.max_batch} images"}
         if sum(len(data) for _, data in files) > self.config.max_upload_bytes:
-            return {"status": 413, "error": f"more than {self.config.max_upload_bytes >> 20} MB"}
+            return {"status": 413, "error": ERRORS[413], "max_size_mb": self.config.max_upload_bytes / (1 << 20)}
         if model not in {m.name for m in self.config.models}:
             return {"status": 400, "error": f"unknown model {model!r}"}
         return None
@@ -52,17 +63,24 @@ class Service:
 
     def _embedded(self, files: list[Upload], model: str) -> list[dict]:
         """filename, status and embedding of each file, in order."""
-        folder = self.staging / uuid.uuid4().hex
-        folder.mkdir(parents=True)
+        from pyarrow import fs
+
+        files = [(safe_name(name or ""), data) for name, data in files]
+        folder = scratch(self.spark, "uploads")
+        filesystem, base = fs.FileSystem.from_uri(folder if ":" in folder else Path(folder).absolute().as_uri())
+        filesystem.create_dir(base, recursive=True)
         for i, (name, data) in enumerate(files):
             if self._allowed(name):
-                (folder / f"{i:06d}.{name.rpartition('.')[2].lower()}").write_bytes(data)
-        images: DataFrame = read_images(self.spark, str(folder))
-        if self.detector:
+                with filesystem.open_output_stream(f"{base}/{i:06d}.{name.rpartition('.')[2].lower()}") as out:
+                    out.write(data)
+        images: DataFrame = read_images(self.spark, folder)
+        if self.detector and self.config.face_detection:
             images = self.detector(images)
-        config = self.config
-        done = embed(images, model, config, self.weights.get(model, ""))
-        found = {int(Path(r["path"]).stem): r for r in done.select("path", "status", "embedding").collect()}  # a request's files
+        try:
+            done = embed(images, model, self.config, self.weights.get(model, ""))
+            found = {int(Path(r["path"]).stem): r for r in done.select("path", "status", "embedding").collect()}  # a request's files
+        finally:
+            remove(self.spark, folder)
         return [
             {"filename": name, "status": found[i]["status"], "embedding": found[i]["embedding"]}
             if i in found
@@ -90,11 +108,11 @@ class Service:
     def embedding(self, file: Upload | None, model: str) -> dict:
         if refused := self._refusal([file] if file else [], model):
             return refused
-        if not self._allowed(file[0]):
+        if not self._allowed(safe_name(file[0])):
             return {"status": 400, "error": "extension not allowed"}
         row = self._embedded([file], model)[0]
         if row["status"] != "ok":
-            return {"status": 422 if row["status"] == "no_face" else 500, "error": row["status"]}
+            return {"status": 422, "error": ERRORS[422], "message": row["status"]} if row["status"] == "no_face" else {"status": 500, "error": row["status"]}
         return {"status": 200, "success": True, "embedding": row["embedding"], "embedding_dim": len(row["embedding"]), "model": model, "filename": row["filename"]}
 
     def embeddings_batch(self, files: list[Upload], model: str) -> dict:

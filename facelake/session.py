@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "facelake", **conf: str) -> SparkSession:
@@ -23,13 +25,53 @@ def session(app: str = "facelake", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a local session (tests) gets a temporary folder of its own; any other
+    master is an error, since machine-local folders are not seen by other executors.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="facelake-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    except Exception:  # the session may be gone at exit
+        pass
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, removed when the driver's process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read back: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the session's Python workers, once for each application."""
+    """Sends this package's sources to the session's Python workers, once for each application."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
-        name = f"{tempfile.mkdtemp(prefix='facelake-code-')}/facelake_code"
-        spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", Path(__file__).resolve().parents[1], "facelake"))
+        folder = Path(tempfile.mkdtemp(prefix="facelake-code-"))
+        package = Path(__file__).resolve().parent
+        shutil.copytree(package, folder / "code" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(str(folder / "facelake_code"), "zip", folder / "code"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GLOB = "*.{jpg,JPG,jpeg,JPEG,png,PNG,bmp,BMP,tiff,TIFF}"
@@ -17,8 +17,14 @@ def list_images(spark: SparkSession, folder: str, limit: int | None = None) -> D
     return ordered.limit(limit) if limit else ordered
 
 
-def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, height, width, channels, data, status): decoded images, status decode_error for broken ones."""
+def one_source(*sources: Column) -> Column:
+    """Whether exactly one of an image's sources is given."""
+    return sum((s.isNotNull().cast("int") for s in sources), F.lit(0)) == 1
+
+
+def read_images(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """(path, height, width, channels, data, status): decoded images below a folder, or those of some paths; status
+    decode_error for broken ones."""
     rows = (
         spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(folder)
     )

@@ -15,16 +15,23 @@ from facelake.sources.images import GLOB
 IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 
 
+def named(done: DataFrame, base: str) -> DataFrame:
+    """Collection rows (embedding, person_id, image_path) of embedded images."""
+    ok = done.where("status = 'ok'")
+    return ok.select("embedding", person_id(F.col("path"), base).alias("person_id"), F.col("path").alias("image_path"))
+
+
 def to_rows(images: DataFrame, base: str, model: str, config: EngineConfig, weights: str = "") -> DataFrame:
     """Collection rows (embedding, person_id, image_path) of the images that could be embedded."""
-    done = embed(images, model, config, weights).where("status = 'ok'")
-    return done.select("embedding", person_id(F.col("path"), base).alias("person_id"), F.col("path").alias("image_path"))
+    return named(embed(images, model, config, weights), base)
 
 
 def stream_folder(spark: SparkSession, folder: str, collection: Collection, model: str, config: EngineConfig, checkpoint: str, weights: str = "") -> StreamingQuery:
     """Appends each new image below folder once; the checkpoint remembers which were seen.
 
-    A micro-batch that fails after its append can be appended again, as collections are bags.
+    A micro-batch that fails after its append can be appended again, as collections are bags. The batch has a
+    session of its own; the collection's session sees the rows once it is refreshed, which the caller's
+    `collection.refreshed()` does.
     """
     files = spark.readStream.format("image").schema(IMAGE).option("dropInvalid", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(folder)
     images = files.select(
@@ -33,6 +40,6 @@ def stream_folder(spark: SparkSession, folder: str, collection: Collection, mode
     )
 
     def append(batch: DataFrame, _: int) -> None:
-        collection.insert(to_rows(batch, folder, model, config, weights))
+        collection.within(batch.sparkSession).insert(to_rows(batch, folder, model, config, weights))
 
     return images.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -110,7 +110,9 @@ def test_stream(spark, folder):
     for _ in range(2):
         q = stream_folder(spark, str(folder), c, "seeded_projection", CONFIG, str(folder.parent / f"{folder.name}-check"))
         q.awaitTermination(120)
+    c.refreshed()
     assert {r["person_id"] for r in c.read().collect()} == {"a", "b", "c"} and c.read().count() == 3
+    assert sorted(r["id"] for r in c.read().collect()) == [1, 2, 3]
     c.drop()
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facelake.functions import images, layers, vectors
+from facelake.functions import images, vectors
 from facelake.operators import faces
 from facelake.operators.search import search, search_many
 
@@ -98,15 +98,3 @@ def test_resize_keeps_constant_images():
     assert (images.resize(np.full((31, 17, 3), 77, np.uint8), 112, 112) == 77).all()
     assert images.to_tensor(np.zeros((4, 5, 3), np.uint8)).shape == (3, 4, 5)
 
-
-def test_convolution_against_loops():
-    x, w = RNG.standard_normal((2, 4, 6, 6)), RNG.standard_normal((6, 2, 3, 3))
-    got = layers.conv2d(x, w, stride=2, padding=1, groups=2)
-    p = np.pad(x, ((0, 0), (0, 0), (1, 1), (1, 1)))
-    for n in range(2):
-        for o in range(6):
-            for i in range(3):
-                for j in range(3):
-                    part = p[n, (o // 3) * 2 : (o // 3) * 2 + 2, 2 * i : 2 * i + 3, 2 * j : 2 * j + 3]
-                    assert np.isclose(got[n, o, i, j], (part * w[o]).sum())
-    assert layers.squeeze_excite(x, (np.zeros((1, 4, 1, 1)), None), (np.zeros((4, 1, 1, 1)), None)).shape == x.shape
