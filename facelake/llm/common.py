@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facelake import session
+from facelake.session import scratch, stored  # noqa: F401  the operators take them from here
+
 #: A-Z to a-z, every other byte as it is.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -20,44 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a local session (tests) gets a temporary folder of its own; any other
-    master is an error, since machine-local folders are not seen by other executors.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="facelake-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
-    except Exception:  # the session may be gone at exit
-        pass
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, removed when the driver's process ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_column(df: DataFrame, column: str = "text"):
     """The column as a string, null as the empty string."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).alias(column)
@@ -78,22 +39,12 @@ def spans_of(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: Rows of an Arrow batch at most: a worker holds a batch several times over, as columns and as objects.
 BATCH_ROWS = 1000
-_shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the session's Python workers, once for each application, and bounds the batches
-    that they get by BATCH_ROWS where the session allows more."""
-    import shutil
-    from pathlib import Path
-
+    """Sends this package to the session's Python workers and bounds the batches that they get by BATCH_ROWS
+    where the session allows more."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, BATCH_ROWS)
-
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        _shipped.add(app)
-        root = Path(__file__).resolve().parents[2]
-        name = f"{tempfile.mkdtemp(prefix='facelake-code-')}/facelake_code"
-        spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", root, "facelake"))
+    session.ship(spark)
