@@ -11,16 +11,19 @@ lines the first stays, and of near ones the earlier. Lines below `min_chars` and
 text stay as they are. Built-in column expressions only; texts move only for lines that met another.
 
 Lines that make up more than a thousandth of all lines, of which there can be no more than a
-thousand, take part in the near join once, so that no line's copies gather in one task.
+thousand, take part in the near join once, so that no line's copies gather in one task. A segment that
+many distinct lines share is dealt again by blocks of the lines' signatures, one of which agrees in any
+pair within the edits.
 
 Defined results: a null text is empty; lines are compared without leading and trailing blanks; rows
 that repeat both doc_id and text count as one document; rows without doc_id come before all others;
-an empty table gives an empty result.
+texts and lines of any length are compared whole; an empty table gives an empty result. Columns of the
+input that are called n_lines or n_removed give way to the new ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facelake.llm.common import stored, text_column
@@ -32,6 +35,8 @@ FULL = (1 << WIDTH) - 1
 HOT_SHARE = 1000
 #: A table of row keys and line numbers with no more rows than this (16 MB) is broadcast.
 SMALL_ROWS = 500_000
+#: A key with more lines than this is dealt again by blocks of signatures.
+SHARED_LINES = 50
 
 
 def shifts(delta: int, i: int, max_edits: int) -> range:
@@ -43,28 +48,19 @@ def shifts(delta: int, i: int, max_edits: int) -> range:
 def keys(lines: DataFrame, max_edits: int) -> DataFrame:
     """(id, key, own): index keys (own = 1) and probe keys of each of lines (id, line).
 
-    The even segments' edges, for each length that a line can have come from, are columns of their own,
-    worked out once a line.
+    The ways to cut a line are rows of a constant, so that one short expression makes all keys.
     """
-    parts, n = max_edits + 1, F.col("n")
-
-    def edge(delta: int, i: int) -> Column:
-        return F.lit(0) if i == 0 else n - delta if i == parts else F.col(f"edge_{delta}_{i}")
-
-    edges = {f"edge_{d}_{i}": F.floor((n - d) * i / parts).cast("int") for d in range(parts) for i in range(1, parts)}
-    out = []
-    for delta in range(parts):
-        for i in range(parts):
-            first, size = edge(delta, i), edge(delta, i + 1) - edge(delta, i)
-            for shift in shifts(delta, i, max_edits):
-                at = first + shift
-                key = F.xxhash64(n - delta, F.lit(i), F.substring("line", at + 1, size))
-                own = 1 if delta == 0 and shift == 0 else 0
-                # outside the line there is nothing to probe: no key
-                inside = (at >= 0) & (at + size <= n) & (n - delta >= parts)
-                out.append(F.struct(F.when(inside, key).alias("key"), F.lit(own).alias("own")))
-    cut = lines.select("id", "line", F.length("line").alias("n")).withColumns(edges)
-    return cut.select("id", F.explode(F.array(*out)).alias("k")).where("k.key is not null").select("id", "k.key", "k.own")
+    parts = max_edits + 1
+    ways = [(d, i, shift, int(d == shift == 0)) for d in range(parts) for i in range(parts) for shift in shifts(d, i, max_edits)]
+    names = ("delta", "part", "shift", "own")
+    way = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, w, strict=True)]) for w in ways])
+    cut = lines.select("id", "line", F.length("line").alias("n"), F.explode(way).alias("w")).select("id", "line", "n", "w.*")
+    cut = cut.withColumn("whole", F.col("n") - F.col("delta")).where(F.col("whole") >= parts)
+    first = F.call_function("div", F.col("whole") * F.col("part"), F.lit(parts)).cast("int")
+    end = F.call_function("div", F.col("whole") * (F.col("part") + 1), F.lit(parts)).cast("int")
+    cut = cut.withColumns({"at": first + F.col("shift"), "size": end - first})
+    cut = cut.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))  # outside the line there is nothing to probe
+    return cut.select("id", F.xxhash64("whole", "part", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), "own")
 
 
 def within_edits(longer: Column, shorter: Column, max_edits: int) -> Column:
@@ -144,10 +140,10 @@ def near_lines(lines: DataFrame, firsts: DataFrame, rows: DataFrame, max_edits:
         .repartition("key")
     )
     number = F.col("line").bitwiseAND(F.lit(-2))
-    # most keys belong to one line; the others are told by fixed-size aggregates over the key, dealt once
-    own_key = Window.partitionBy("key")
-    kept = keyed.withColumns({"low": F.min(number).over(own_key), "high": F.max(number).over(own_key)}).where("low <> high").select("key", "line").distinct()
-    kept = stored(kept.select("key", number.alias("short_id"), (F.col("line") != number).alias("own")), "line-keys")
+    # most keys belong to one line; those of several are told by fixed-size aggregates over the same dealing
+    shared = keyed.groupBy("key").agg(F.min(number).alias("low"), F.max(number).alias("high"), F.count("*").alias("n")).where("low <> high")
+    kept = keyed.join(shared.select("key", "n").hint("shuffle_hash"), "key").distinct()
+    kept = stored(kept.select("key", "n", number.alias("short_id"), (F.col("line") != number).alias("own")), "line-keys")
     ids = kept.select("short_id").distinct()
     n_ids = ids.count()
     numbered = firsts.withColumn("short_id", F.col("id").bitwiseAND(F.lit(-2)))
@@ -190,6 +186,12 @@ def _near_pairs(kept: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
     never made.
     """
     signed = kept.join(texts.select("short_id", "size", "chars", "grams"), "short_id")
+    # two edits flip few of the bits, so of more blocks of bits than that one stays as it is
+    blocks = 2 * max_edits + 1
+    masks = [sum(1 << bit for bit in range(b, 64, blocks)) for b in range(blocks)]
+    fine = [F.xxhash64("key", F.lit(b), F.col("chars").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for b, m in enumerate(masks)]
+    key = F.explode(F.when(F.col("n") > SHARED_LINES, F.array(*fine)).otherwise(F.array("key")))
+    signed = signed.withColumn("key", key)
 
     def side(role: Column, name: str) -> DataFrame:
         return signed.where(role).select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("short_id", "size", "chars", "grams")])
@@ -238,11 +240,12 @@ def dedup_lines(
         raise ValueError("max_edits must be from 1 to 10")
     if min_chars <= max_edits:
         raise ValueError("min_chars must exceed max_edits")
-    kept = [c for c in docs.columns if c not in (id_col, text_col)]
+    kept = [c for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_removed")]
     text = text_column(docs, text_col)
     doc = F.col(f"`{id_col}`")
+    key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.length(doc.cast("string")), F.lit(-1)).cast("string"), doc.cast("string"), text)))
     rows = docs.select(
-        F.xxhash64(doc, text).alias("row"), doc.alias("doc"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest") if kept else F.lit(None).alias("rest")
+        key.alias("row"), doc.alias("doc"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest") if kept else F.lit(None).alias("rest")
     )
     gone = repeated_lines(rows.select("row", "doc", "text"), min_chars, max_edits)
     joined = _join_rows(rows, gone, "row", "left", gone.count())
