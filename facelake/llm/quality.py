@@ -1,21 +1,24 @@
 """Quality classifier by co-training of a text view and a page-metadata view.
 
 Each view is a logistic regression over hashed binary features: prefixes of the text's words and
-measures of its style, or language, source and length. In a round each view's confident predictions
-on unlabelled documents become labels for the other view. The features with the most significant
-association are chosen from counts over all labelled and pseudo-labelled documents, added up per
-task and then per feature; their weights are fitted on a bounded sample of the labelled documents and
-one of the view's pseudo-labelled ones, each drawn for itself, so that pseudo-labels thin no labels. At the
-end the views are calibrated and combined on labelled documents that no round has learned from, and
-score all documents.
+measures of its style, or language, source and length. Features are worked out once and written. In a
+round each view's confident predictions on unlabelled documents become labels for the other view. The
+features with the most significant association are chosen from counts over all labelled and
+pseudo-labelled documents, added up per task and then per feature; their weights are fitted on a bounded
+sample of the labelled documents and one of the view's pseudo-labelled ones, each drawn for itself, so
+that pseudo-labels thin no labels. At the end the views are calibrated and combined on labelled documents
+that no round has learned from, and score all documents.
 
 A document is bad if it is labelled as of low quality or as toxic. Labels are a bounded sample:
-about `max_labels` of them at most, drawn by a hash of doc_id, are sent to the tasks.
-
-Defined results: null, empty and blank texts have no word features; unknown metadata is a value of
-its own; several labels of a document count as bad if one is; null labels and labels of other
-documents are ignored; without both kinds of labels nothing can be learned and every document is
-kept with probability 0; repeated rows stay repeated; an empty table gives an empty result.
+about `max_labels` of them at most, drawn by a hash of doc_id, are sent to the tasks. Only the chosen
+features and the bounded samples reach the driver.
+
+Defined results: null, empty and blank texts have no word features; very long texts are read whole;
+unknown or missing metadata is a value of its own; several labels of a document count as bad if one is;
+null labels and labels of other documents are ignored; equal scores are equal probabilities; without both
+kinds of labels nothing can be learned and every document is kept with probability 0; repeated rows stay
+repeated; an empty table gives an empty result. Columns of the input that are called p_text, p_meta, p_bad
+or keep give way to the new ones.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facelake.llm.common import raw_bytes, text_column
+from facelake.llm.common import raw_bytes, stored, text_column
 
 BITS = 18
 SIZE = 1 << BITS
@@ -95,26 +98,6 @@ class View:
         return self.slope * score + self.shift
 
 
-def telling(counts: np.ndarray, totals: np.ndarray, most: int, least: int = 5, significant: float = 15.0) -> np.ndarray:
-    """The features most associated with the label, by the likelihood-ratio statistic.
-
-    counts[label, feature] and totals[label] are numbers of documents.
-    """
-    n0, n1 = totals.astype(float)
-    if not n0 or not n1:
-        return np.zeros(0, np.int64)
-    c0, c1 = counts.astype(float)
-
-    def term(c, expected):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(c > 0, c * np.log(c / expected), 0)
-
-    share = (c0 + c1) / (n0 + n1)
-    test = 2 * sum(term(c, n * share) + term(n - c, n * (1 - share)) for c, n in ((c0, n0), (c1, n1)))
-    use = np.flatnonzero((c0 + c1 >= least) & (test >= significant))
-    return np.sort(use[np.argsort(-test[use], kind="stable")[:most]])
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> np.ndarray:
     """Weights of a logistic regression by Newton's method, the intercept last."""
     n = x.shape[1]
@@ -169,7 +152,7 @@ def _rows(docs: DataFrame, labels: DataFrame, max_labels: int) -> DataFrame:
     return joined.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(5)) == 0)
 
 
-def _featured(batch):
+def _features(batch):
     """(text features, metadata features) of each row of a batch (.., text, lang, source, n_chars)."""
     col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
     meta = zip(*(col[n].to_pylist() for n in ("lang", "source", "n_chars")), strict=True)
@@ -177,39 +160,63 @@ def _featured(batch):
         yield text_features(text), meta_features(values)
 
 
+def _stored_features(rows: DataFrame) -> DataFrame:
+    """(id, bad, held, text, meta) of each row, features as packed 32-bit integers."""
+
+    def compute(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            both = [tuple(np.unique(x).astype("<u4").tobytes() for x in f) for f in _features(batch)]
+            new = [pa.array([x[i] for x in both], pa.binary()) for i in range(2)]
+            yield pa.record_batch([*(batch.column(i) for i in range(3)), *new], names=["id", "bad", "held", "text", "meta"])
+
+    found = rows.select("id", "bad", "held", "text", "lang", "source", "n_chars").mapInArrow(compute, "id long, bad int, held boolean, text binary, meta binary")
+    return stored(found, "features")
+
+
 def _labels(batches, before, sure: float):
-    """(text features, metadata features, label for the text view, label for the metadata view) of each row.
+    """(own label, text features, metadata features, label for the text view, label for the metadata view) of each row.
 
     Without a label of its own a row gets for each view what the other view is sure of, or None.
     """
     limit = math.log(sure / (1 - sure))
     for batch in batches:
-        labels = batch.column(batch.schema.names.index("bad")).to_pylist()
-        for label, (text, meta) in zip(labels, _featured(batch), strict=True):
+        col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+        for label, *both in zip(col["bad"], col["text"], col["meta"], strict=True):
+            text, meta = (np.frombuffer(x, "<u4") for x in both)
             if label is None and before is not None:
                 t, m = before[0].odds(before[0].score(text)), before[1].odds(before[1].score(meta))
-                yield text, meta, int(m > 0) if abs(m) >= limit else None, int(t > 0) if abs(t) >= limit else None
+                yield label, text, meta, int(m > 0) if abs(m) >= limit else None, int(t > 0) if abs(t) >= limit else None
             else:
-                yield text, meta, label, label
+                yield label, text, meta, label, label
+
+
+def association(n0, n1, c0, c1) -> Column:
+    """The likelihood-ratio statistic of a feature: in c0 of n0 and c1 of n1 documents."""
 
+    def term(c, expected):
+        return F.when(c > 0, c * F.ln(c / expected)).otherwise(F.lit(0.0))
+
+    share = (c0 + c1) / (n0 + n1)
+    return 2 * sum(term(c, n * share) + term(n - c, n * (1 - share)) for c, n in ((c0, n0), (c1, n1)))
 
-def _choose(rows: DataFrame, sent, sure: float, most: int) -> tuple[list[np.ndarray], np.ndarray, int]:
-    """The features of either view, totals[view] of the documents that they were chosen from, and how many of
-    those are labelled, which are the same for both."""
+
+def _choose(rows: DataFrame, sent, sure: float, most: int, least: int = 5, significant: float = 15.0) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """The features of either view that are most associated with its labels, the numbers of the documents that
+    they were chosen from, and how many of those are labelled, which are the same for both."""
 
     def count(batches):
         import pyarrow as pa
 
         counts, totals, known = np.zeros((2, 2, SIZE), np.int64), np.zeros((2, 2), np.int64), np.zeros(2, np.int64)
-        for batch in batches:
-            own = batch.column(batch.schema.names.index("bad")).to_pylist()
-            for given, (text, meta, *labels) in zip(own, _labels([batch], sent.value if sent else None, sure), strict=True):
-                if given is not None:
-                    known[given] += 1
-                for view, (features, label) in enumerate(zip((text, meta), labels, strict=True)):
-                    if label is not None:
-                        counts[view, label, features] += 1
-                        totals[view, label] += 1
+        for given, text, meta, *labels in _labels(batches, sent.value if sent else None, sure):
+            if given is not None:
+                known[given] += 1
+            for view, (features, label) in enumerate(zip((text, meta), labels, strict=True)):
+                if label is not None:
+                    counts[view, label, features] += 1
+                    totals[view, label] += 1
         # features that a task has seen; place SIZE holds the number of documents, SIZE + 1 that of labelled ones
         for view in range(2):
             at = np.flatnonzero(counts[view].sum(axis=0))
@@ -217,23 +224,26 @@ def _choose(rows: DataFrame, sent, sure: float, most: int) -> tuple[list[np.ndar
             yield pa.record_batch([*map(pa.array, (np.full(len(at) + 2, view), np.append(at, [SIZE, SIZE + 1]), *both))], names=["view", "feature", "good", "bad"])
 
     found = rows.mapInArrow(count, "view long, feature long, good long, bad long")
-    # no more rows than there are features
-    table = found.groupBy("view", "feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()
-    chosen, all_totals, labelled = [], np.zeros(2, np.int64), 0
+    table = stored(found.groupBy("view", "feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "feature-counts")
+    sums = {(r.view, r.feature - SIZE): (r.good, r.bad) for r in table.where(F.col("feature") >= SIZE).collect()}  # four rows
+    chosen = []
     for view in range(2):
-        own = table[table["view"] == view]
-        counts = np.zeros((2, SIZE + 2), np.int64)
-        counts[0, own["feature"]], counts[1, own["feature"]] = own["good"], own["bad"]
-        all_totals[view], labelled = counts[:, SIZE].sum(), int(counts[:, SIZE + 1].sum())
-        chosen.append(telling(counts[:, :SIZE], counts[:, SIZE], most))
-    return chosen, all_totals, labelled
+        n0, n1 = sums.get((view, 0), (0, 0))
+        if not n0 or not n1:
+            chosen.append(np.zeros(0, np.int64))
+            continue
+        value = association(F.lit(float(n0)), F.lit(float(n1)), F.col("good"), F.col("bad"))
+        own = table.where((F.col("view") == view) & (F.col("feature") < SIZE) & (F.col("good") + F.col("bad") >= least))
+        own = own.select("feature", value.alias("value")).where(F.col("value") >= significant).orderBy(F.desc("value"), "feature").limit(most)
+        chosen.append(np.sort(np.array([r.feature for r in own.collect()], np.int64)))  # `most` rows at most
+    return chosen, np.array([sum(sums.get((view, 0), (0, 0))) for view in range(2)]), sum(sums.get((0, 1), (0, 0)))
 
 
 def _learn(rows: DataFrame, sent, sure: float, most: int, max_fit: int) -> tuple[View, View]:
     """One round: both views anew from the labels and from what the other view is sure of."""
     spark = rows.sparkSession
-    used = (rows.where("not held or bad is null") if sent else rows.where("not held and bad is not null")).select("id", "text", "lang", "source", "n_chars", "bad")
-    chosen, totals, labelled = _choose(used.drop("id"), sent, sure, most)
+    used = rows.where("not held or bad is null") if sent else rows.where("not held and bad is not null")
+    chosen, totals, labelled = _choose(used.select("bad", "text", "meta"), sent, sure, most)
     picked = spark.sparkContext.broadcast(chosen)
     # places of 1 << 20 that enter the fit: of labels, and of each view's pseudo-labels
     label_places, *pseudo_places = (int(min(1.0, max_fit / max(1, int(n))) * (1 << 20)) for n in (labelled, *(totals - labelled)))
@@ -241,30 +251,30 @@ def _learn(rows: DataFrame, sent, sure: float, most: int, max_fit: int) -> tuple
     def gather(batches):
         import pyarrow as pa
 
-        out = []
         for batch in batches:
-            own, places = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("bad", "place"))
-            for given, place, (text, meta, *labels) in zip(own, places, _labels([batch], sent.value if sent else None, sure), strict=True):
+            out = []
+            places = batch.column(batch.schema.names.index("place")).to_pylist()
+            for place, (given, text, meta, *labels) in zip(places, _labels([batch], sent.value if sent else None, sure), strict=True):
                 for view, (features, label) in enumerate(zip((text, meta), labels, strict=True)):
                     if label is not None and (given is not None or place < pseudo_places[view]):
-                        at = np.searchsorted(picked.value[view], features)
-                        at[at == len(picked.value[view])] = 0
-                        out.append((view, label, at[picked.value[view][at] == features] if len(picked.value[view]) else at[:0]))
-        view, label, at = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.record_batch([pa.array(view, pa.int64()), pa.array(label, pa.int64()), pa.array(list(at), pa.list_(pa.int32()))], names=["view", "label", "at"])
+                        both = np.searchsorted(picked.value[view], np.intersect1d(picked.value[view], features, assume_unique=True))
+                        out.append((view, label, both.astype("<u2").tobytes()))
+            view, label, at = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.record_batch([pa.array(view, pa.int32()), pa.array(label, pa.int32()), pa.array(at, pa.binary())], names=["view", "label", "at"])
 
     placed = used.withColumn("place", F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)))
-    sample = placed.where(F.col("place") < F.when(F.col("bad").isNull(), max(pseudo_places)).otherwise(label_places)).drop("id")
-    table = sample.mapInArrow(gather, "view long, label long, at array<int>").toPandas()
+    sample = placed.where(F.col("place") < F.when(F.col("bad").isNull(), max(pseudo_places)).otherwise(label_places)).select("bad", "text", "meta", "place")
+    # about 2 * max_fit rows a view at most
+    table = sample.mapInArrow(gather, "view int, label int, at binary").orderBy("view", "label", "at").toArrow()
     views = []
     for view in range(2):
-        own = table[table["view"] == view]
-        y, features = own["label"].to_numpy(float), chosen[view]
+        own = table.filter(np.asarray(table.column("view")) == view)
+        y, features = np.asarray(own.column("label"), float), chosen[view]
         model = View()
         if len(y) and 0 < y.mean() < 1:
             x = np.zeros((len(y), len(features)), np.uint8)
-            for i, at in enumerate(own["at"]):
-                x[i, at] = 1
+            for i, at in enumerate(own.column("at")):
+                x[i, np.frombuffer(at.as_py(), "<u2")] = 1
             w = logistic(x, y, ridge=1.0)
             model.weights[features], model.prior = w[:-1], float(w[-1])
         views.append(model)
@@ -272,18 +282,18 @@ def _learn(rows: DataFrame, sent, sure: float, most: int, max_fit: int) -> tuple
 
 
 def _scored(rows: DataFrame, sent) -> DataFrame:
-    """(id, bad, text, meta) with each view's log-odds."""
+    """(bad, text, meta) with each view's log-odds, of stored features."""
 
     def score(batches):
         import pyarrow as pa
 
         text_view, meta_view = sent.value
         for batch in batches:
-            scores = [(text_view.score(t), meta_view.score(m)) for t, m in _featured(batch)]
+            scores = [(text_view.score(t), meta_view.score(m)) for _, t, m, _, _ in _labels([batch], None, 0.5)]
             both = np.array(scores, np.float64).reshape(-1, 2)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["id", "bad", "text", "meta"])
+            yield pa.record_batch([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["bad", "text", "meta"])
 
-    return rows.select("id", "bad", "text", "lang", "source", "n_chars").mapInArrow(score, "id long, bad int, text double, meta double")
+    return rows.select("bad", "text", "meta").mapInArrow(score, "bad int, text double, meta double")
 
 
 def train(
@@ -293,24 +303,28 @@ def train(
 
     rounds: exchanges of pseudo-labels. sure: the probability from which a prediction is one.
     most: features of a view. max_labels: about the most labels that are used. max_fit: about the most
-    labelled, and the most pseudo-labelled, documents that a view's weights are fitted on; features are chosen from all of them. max_held: the most
-    documents that calibrate.
+    labelled, and the most pseudo-labelled, documents that a view's weights are fitted on; features are chosen from all of them. max_held: about the
+    most documents that calibrate.
     """
     spark = docs.sparkSession
-    rows = _rows(docs, labels, max_labels)
+    rows = _stored_features(_rows(docs, labels, max_labels))
     views = _learn(rows, None, sure, most, max_fit)
     for _ in range(rounds):
         views = _learn(rows, spark.sparkContext.broadcast(views), sure, most, max_fit)
-    held = _scored(rows.where("held and bad is not null"), spark.sparkContext.broadcast(views))
-    sample = held.select("bad", "text", "meta").limit(max_held).toPandas()
+    known = rows.where("held and bad is not null")
+    places = int(min(1.0, max_held / max(1, known.count())) * (1 << 20))
+    known = known.where(F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(1 << 20)) < places)
+    # about max_held rows of numbers
+    table = _scored(known, spark.sparkContext.broadcast(views)).orderBy("bad", "text", "meta").toArrow()
+    sample = {c: np.asarray(table.column(c), float) for c in ("bad", "text", "meta")}
     model = Classifier(*views)
-    y = sample["bad"].to_numpy(float)
+    y = sample["bad"]
     if not len(y) or y.min() == y.max():
         model.trained = any(v.weights.any() for v in views)
         return model
     for view, name in zip(views, ("text", "meta"), strict=True):
-        view.slope, view.shift = logistic(sample[[name]].to_numpy(), y)
-    odds = np.column_stack([v.odds(sample[n].to_numpy()) for v, n in zip(views, ("text", "meta"), strict=True)])
+        view.slope, view.shift = logistic(sample[name][:, None], y)
+    odds = np.column_stack([v.odds(sample[n]) for v, n in zip(views, ("text", "meta"), strict=True)])
     model.combined = logistic(odds, y)
     return model
 
@@ -330,7 +344,7 @@ def classify(docs: DataFrame, model: Classifier, threshold: float = 0.6) -> Data
 
         fitted = sent.value
         for batch in batches:
-            scores = [(fitted.text.score(t), fitted.meta.score(m)) for t, m in _featured(batch)]
+            scores = [(fitted.text.score(t), fitted.meta.score(m)) for t, m in _features(batch)]
             both = np.array(scores, np.float64).reshape(-1, 2)
             found = fitted.probabilities(both[:, 0], both[:, 1])
             yield pa.record_batch([batch.column(0), *map(pa.array, found)], names=["row", "p_text", "p_meta", "p_bad"])
