@@ -1,23 +1,31 @@
 """Main text of web pages from streamed parser events and smoothed text-to-tag ratios.
 
 The standard library's parser reports tags and text one after the other; block tags end a line.
-Each line keeps its text, the tags that fell into it and the element that holds it. The ratios of
-text to tags, smoothed by a Gaussian so that short lines among long ones are carried along, are
-split at a threshold into content and the rest. The content lines name the region: the outermost
-main or article element that holds nearly all of their text, or on a page without one the innermost
-element that holds all of it. All lines of that region are the result, so that a heading, a lead or
-a short paragraph stays, while navigation, notices, adverts, forms, comments and the like, told by
-tag, role or name, never become lines.
+Each line keeps its text, the tags that fell into it, how much of it is link text, and the element that
+holds it. The ratios of text to tags, smoothed by a Gaussian so that short lines among long ones are
+carried along, are parted into two clusters, content and the rest, at the threshold halfway between the
+clusters' means. Content lines say where the article is:
+
+* Elements that by tag, role, name or style look like navigation, notices, adverts, forms, comments and the
+  like are suspects. A suspect goes, unless nearly all content is in it and no main or article element with
+  content is outside: then it only wraps the page, whatever it is called.
+* The region is the outermost main or article element with nearly all of the content that is left, or on a
+  page without one the innermost element that holds all of it. All of its lines are the result, so that a
+  heading, a lead or a short paragraph stays; where no main or article names the region, lines outside the
+  content cluster that are nothing but links go.
 
 Defined results: null, empty and text-free pages give the empty string; a page without any markup
-gives its text; unclosed and stray tags end where the next structural tag says; repeated rows stay
-repeated; an empty table gives an empty result.
+gives its text; unclosed and stray tags end where the next structural tag says; a comment without an end
+and a tag without one reach to the end of the page; should the parser refuse a page, what it had read until
+then counts; time grows with the page's length only; repeated rows stay repeated; an empty table gives an
+empty result. A column of the input that is called main_text gives way to the new one.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,14 +35,13 @@ from pyspark.sql import functions as F
 from facelake.llm.common import text_column
 
 # Element names of the HTML standard by what they do to the text.
-INVISIBLE = frozenset("script style noscript template iframe object svg math canvas audio video select option datalist textarea button title".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
+INVISIBLE = frozenset("script style noscript template iframe object svg canvas audio video select option datalist textarea button title".split())
+BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset header".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGION = frozenset("html body main article section div td center blockquote".split())
 #: Start tags that an open element of the same kind ends.
 SELF_ENDING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -52,20 +59,24 @@ NEUTRAL = frozenset("area box item items links list posts section slot".split())
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Reach and width of the smoothing, in lines.
 REACH, SIGMA = 2, 1.0
-#: An article's element holds so much of the content lines' text.
+#: An article's element, or one that wraps the page, holds so much of the content lines' text.
 SHARE = 0.8
+#: Characters for each tag from which a line is running text beside whatever other lines.
+TEXT = 100
+#: A line of links has so much of its text in them.
+LINKS = 0.8
 
 
-def _hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether an element's attributes take it out of the article."""
+def _suspect(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element's attributes speak against its being part of the article."""
     for key, value in attrs:
-        if key in ("hidden",) or (key == "aria-hidden" and value == "true"):
+        if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
         if key == "role" and (value or "").lower() in ROLES:
             return True
         if key == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id") and value and tag not in ("html", "body", "main", "article"):
+        if key in ("class", "id") and value:
             for name in value.split():
                 parts = {part.lower() for part in _NAME_PARTS.findall(name)}
                 if parts & NAMES and parts <= NAMES | NEUTRAL:
@@ -74,66 +85,83 @@ def _hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """The lines of a page: texts, tags in each, and the element each belongs to."""
+    """The lines of a page: texts, tags and link text in each, and the element each belongs to."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, region, taken out
+        self.stack: list[tuple[str, int]] = []  # tag, element
+        self.open: Counter[str] = Counter()
+        self.invisible = 0
         self.parents: list[int] = [-1]
-        self.articles: list[int] = []  # regions that are a main or article element
+        self.suspects: list[int] = []
+        self.articles: list[int] = []  # elements that are a main or article
         self.texts: list[str] = []
         self.tags: list[int] = []
-        self.regions: list[int] = []
+        self.linked: list[int] = []
+        self.elements: list[int] = []
         self.parts: list[str] = []
-        self.n_tags = 0
+        self.n_tags = self.n_linked = self.links = 0
 
-    def _region(self) -> int:
-        return self.stack[-1][1] if self.stack else 0
+    # a declaration is a comment, and what has no end reaches to the end of the page
+    def parse_html_declaration(self, i):
+        return self.parse_comment(i) if self.rawdata.startswith("<!--", i) else self.parse_bogus_comment(i)
 
-    def _out(self) -> bool:
-        return bool(self.stack) and self.stack[-1][2]
+    def parse_comment(self, i, report=1):
+        end = self.rawdata.find("-->", i + 2)
+        return len(self.rawdata) if end < 0 else end + 3
 
     def _end_line(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
                 self.texts.append(text)
                 self.tags.append(self.n_tags)
-                self.regions.append(self._region())
-                self.n_tags = 0
+                self.linked.append(self.n_linked)
+                self.elements.append(self.stack[-1][1] if self.stack else 0)
+                self.n_tags = self.n_linked = 0
             self.parts = []
 
+    def _pop(self) -> None:
+        tag, _ = self.stack.pop()
+        self.open[tag] -= 1
+        self.invisible -= tag in INVISIBLE
+
     def handle_starttag(self, tag, attrs):
         self.n_tags += 1
         if tag in VOID:
             if tag == "hr":
                 self._end_line()
-            elif tag == "br" and not self._out():
+            elif tag == "br":
                 self.parts.append(" ")
             return
         block = tag in BLOCK
+        self.links += tag == "a"
+        suspect = bool(attrs) and _suspect(attrs)
         if block:
             self._end_line()
-        elif tag not in INVISIBLE:
+        elif tag not in INVISIBLE and not suspect:
             return  # phrasing markup holds no lines of its own
-        if tag in ("article", "main", "body"):
+        if tag in ("article", "main") and not self.open["article"]:
             # what was left open before the article does not reach into it
-            while self.stack and self.stack[-1][2] and not any(t == "article" for t, _, _ in self.stack):
-                self.stack.pop()
+            while self.stack and self.stack[-1][0] in BOILERPLATE - {"form"}:
+                self._pop()
         ends = SELF_ENDING.get(tag, ())
         while self.stack and (self.stack[-1][0] in ends or (block and self.stack[-1][0] == "p")):
-            self.stack.pop()
-        region, out = self._region(), self._out() or tag in INVISIBLE or tag in BOILERPLATE
-        if tag == "header" and not out:
-            out = True
-        if out and tag in HEADINGS and self.stack and self.stack[-1][0] == "header":
-            out = not any(t in ("article", "main") for t, _, _ in self.stack)  # an article's own heading
-        out = out or (bool(attrs) and _hidden(tag, attrs))
-        if tag in REGION and not out:
-            self.parents.append(region)
-            region = len(self.parents) - 1
+            self._pop()
+        own = self.stack[-1][1] if self.stack else 0
+        if tag in BOILERPLATE and not (tag == "header" and (self.open["article"] or self.open["main"])):
+            suspect = True
+        if tag in REGION or suspect:
+            if not block:
+                self._end_line()
+            self.parents.append(own)
+            own = len(self.parents) - 1
+            if suspect:
+                self.suspects.append(own)
             if tag in ARTICLE:
-                self.articles.append(region)
-        self.stack.append((tag, region, out))
+                self.articles.append(own)
+        self.stack.append((tag, own))
+        self.open[tag] += 1
+        self.invisible += tag in INVISIBLE
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -141,18 +169,23 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.n_tags += 1
+        if tag == "a":
+            self.links = max(0, self.links - 1)
         if tag in BLOCK:
             self._end_line()
-        elif tag not in INVISIBLE:
-            return
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                del self.stack[at:]
-                break
+        if self.open[tag]:
+            if tag not in BLOCK and tag not in INVISIBLE:
+                self._end_line()
+            ended = False
+            while not ended:
+                ended = self.stack[-1][0] == tag
+                self._pop()
 
     def handle_data(self, data):
-        if not self._out():
+        if not self.invisible:
             self.parts.append(data)
+            if self.links:
+                self.n_linked += len(data.strip())
 
     def close(self):
         super().close()
@@ -160,38 +193,85 @@ class Lines(HTMLParser):
 
 
 def content_lines(lengths: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """Which lines are content: smoothed text-to-tag ratios at or above their standard deviation."""
+    """Which lines are content: smoothed text-to-tag ratios in the upper of two clusters of their logarithms, parted
+    halfway between the clusters' means, or at TEXT where the clusters lie above it."""
     ratio = lengths / np.maximum(tags, 1)
     kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
     weight = np.convolve(np.ones(len(ratio)), kernel)[REACH : REACH + len(ratio)]
     smooth = np.convolve(ratio, kernel)[REACH : REACH + len(ratio)] / weight
-    return smooth >= min(float(smooth.std()), float(smooth.max()))
+    smooth = np.log1p(smooth)
+    threshold = smooth.mean()
+    for _ in range(50):
+        upper = smooth >= threshold
+        if upper.all():
+            break
+        before, threshold = threshold, (smooth[upper].mean() + smooth[~upper].mean()) / 2
+        if abs(threshold - before) < 1e-9:
+            break
+    return smooth >= min(threshold, smooth.max(), math.log1p(TEXT))
+
+
+def parse(html: str) -> Lines:
+    """The lines of a page."""
+    tail = html.rfind(">") + 1
+    if unended := re.compile(r"<[A-Za-z/!?]").search(html, tail):
+        html = html[: unended.start()]
+    page = Lines()
+    try:
+        page.feed(html)
+        page.close()
+    except (AssertionError, ValueError):
+        page._end_line()
+    return page
 
 
 def main_text(html: str) -> str:
     """The article's blocks in page order, one a line."""
-    page = Lines()
-    page.feed(html)
-    page.close()
+    page = parse(html)
     if not page.texts:
         return ""
     lengths = np.fromiter(map(len, page.texts), np.int64, len(page.texts))
     core = content_lines(lengths, np.array(page.tags))
-    held = np.zeros(len(page.parents), np.int64)
-    np.add.at(held, np.array(page.regions)[core], lengths[core])
-    for region in range(len(held) - 1, 0, -1):  # children come after their parents
-        held[page.parents[region]] += held[region]
+    elements, parents = np.array(page.elements), page.parents
+
+    def summed(at: np.ndarray, values) -> np.ndarray:
+        """The values of each element and of all that it holds."""
+        held = np.zeros(len(parents), np.int64)
+        np.add.at(held, at, values)
+        for element in range(len(held) - 1, 0, -1):  # children come after their parents
+            held[parents[element]] += held[element]
+        return held
+
+    def handed_down(values: np.ndarray) -> np.ndarray:
+        """The values of each element and of all that it is in."""
+        out = values.astype(np.int64)
+        for element in range(1, len(parents)):
+            out[element] += out[parents[element]]
+        return out
+
+    content = np.where(core, lengths, 0)
+    held = summed(elements, content)
+    named = np.zeros(len(parents), np.int64)
+    named[[e for e in page.articles if held[e]]] = 1
+    around, within = handed_down(named) - named, summed(np.arange(len(parents)), named)
+    suspect = np.zeros(len(parents), np.int64)
+    for e in page.suspects:  # a wrapper holds nearly all content, and every article is in it or around it
+        wraps = held[e] >= SHARE * held[0] and within[e] + around[e] == within[0]
+        suspect[e] = not wraps
+    gone = handed_down(suspect) > 0
+    kept = ~gone[elements]
+    held = summed(elements, np.where(kept, content, 0))
     need = math.ceil(SHARE * held[0])
-    chosen = next((region for region in page.articles if held[region] >= need), 0)
+    chosen = next((e for e in page.articles if not gone[e] and held[e] >= need and held[e]), 0)
     if not chosen:
-        for region in range(1, len(held)):
-            if page.parents[region] == chosen and held[region] == held[0]:
-                chosen = region
-    inside = np.zeros(len(held), bool)
-    inside[chosen] = True
-    for region in range(chosen + 1, len(held)):
-        inside[region] = inside[page.parents[region]]
-    return "\n".join(t for t, r in zip(page.texts, page.regions, strict=True) if inside[r])
+        for element in range(1, len(held)):
+            if parents[element] == chosen and held[element] == held[0] > 0:
+                chosen = element
+        kept &= core | (np.array(page.linked) < LINKS * lengths)
+    root = np.zeros(len(parents), np.int64)
+    root[chosen] = 1
+    kept &= handed_down(root)[elements] > 0
+    return "\n".join(t for t, k in zip(page.texts, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
