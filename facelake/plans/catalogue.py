@@ -58,6 +58,25 @@ def faces_of(read) -> DataFrame:
     return lists.select("l_orderkey", face.alias("faces"))
 
 
+def vector_of(rows: DataFrame, key: int) -> list[float]:
+    """A request's query vector."""
+    found = rows.where(F.col("vec_id") == key).select("embedding").first()
+    if found is None:
+        raise KeyError(f"no vector {key}")
+    return found[0]
+
+
+def grey_images(read) -> DataFrame:
+    """Each vector as an 8 x 8 grey image, as the image source would give it."""
+    pixel = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x + 1) * 127).cast("long")), 2, "0"))
+    return read("embeddings").select(
+        F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"),
+        F.unhex(F.array_join(pixel, "")).alias("data"), F.lit("ok").alias("status"), "vec_id", "label", "embedding",
+    )
+
+
+#: The same images' values in SQL, from -1 to 1.
+GREY = "SELECT vec_id, label, list_transform(embedding, lambda x: (floor((x + 1) * 127)::double / 255 - 0.5) / 0.5) AS v FROM embeddings"
 COSINE = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 
 
@@ -69,8 +88,7 @@ COSINE = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 def flat_cosine_topk(read, spark):
     """The five rows nearest to row 0."""
     e = read("embeddings")
-    q = e.where("vec_id = 0").select("embedding").first()[0]
-    found = search(e, q, 5, ["label"], key="vec_id")
+    found = search(e, vector_of(e, 0), 5, ["label"], key="vec_id")
     return found.select(F.col("vec_id").alias("id"), F.round("distance", 6).alias("distance"), F.col("label").alias("person_id"))
 
 
@@ -110,8 +128,7 @@ def tta_concat(read, spark):
 )
 def tta_cosine_topk(read, spark):
     e = read("embeddings").select("vec_id", vectors.with_flip(F.col("embedding"), F.reverse("embedding")).alias("embedding"))
-    q = e.where("vec_id = 0").select("embedding").first()[0]
-    return search(e, q, 5, [], key="vec_id").select(F.col("vec_id").alias("id"), F.round("distance", 6).alias("distance"))
+    return search(e, vector_of(e, 0), 5, [], key="vec_id").select(F.col("vec_id").alias("id"), F.round("distance", 6).alias("distance"))
 
 
 @query("query_filter_limit", "SELECT vec_id AS id, label AS person_id FROM embeddings WHERE label = 3 AND vec_id IN (SELECT vec_id FROM embeddings WHERE vec_id < 400) ORDER BY vec_id LIMIT 10")
@@ -240,11 +257,15 @@ def allowed_extension(read, spark):
 
 @query(
     "secure_filename",
-    r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(url, '[/\\]', ' ', 'g'),
-        '[^\x00-\x7F]', '', 'g')), '\s+', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g'), '^[._]+|[._]+$', '', 'g') AS name FROM pages""",
+    r"""SELECT id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(strip_accents(name), '[/\\]', ' ', 'g'),
+        '[^\x00-\x7F]', '', 'g')), '\s+', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g'), '^[._]+|[._]+$', '', 'g') AS name
+        FROM (SELECT 'page ' || page_id AS id, url AS name FROM pages UNION ALL SELECT 'document ' || doc_id, coalesce(text, '') FROM documents)""",
 )
 def secure_filename(read, spark):
-    return read("pages").select("page_id", strings.secure_filename(F.col("url")).alias("name"))
+    """Names of pages, and whole texts as names, which have accents."""
+    pages = read("pages").select(F.concat(F.lit("page "), "page_id").alias("id"), F.col("url").alias("name"))
+    texts = read("documents").select(F.concat(F.lit("document "), "doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("name"))
+    return pages.unionByName(texts).select("id", strings.secure_filename(F.col("name")).alias("name"))
 
 
 @query(
@@ -296,8 +317,7 @@ def insert_error_report(read, spark):
 def similarity_percent(read, spark):
     """Ranked hits with their similarity as text."""
     e = read("embeddings")
-    q = e.where("vec_id = 1").select("embedding").first()[0]
-    hits = search(e, q, 5, [], key="vec_id")
+    hits = search(e, vector_of(e, 1), 5, [], key="vec_id")
     order = Window.orderBy(F.desc("distance"), "vec_id")  # five rows
     return hits.select(F.col("vec_id").alias("id"), strings.percent(F.col("distance")).alias("similarity"), F.row_number().over(order).cast("bigint").alias("rank"))
 
@@ -344,24 +364,20 @@ def detection_info(read, spark):
 
 @query(
     "similarity_fit",
-    """WITH p AS (SELECT l_orderkey, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS u, l_linenumber::double AS v FROM lineitem),
+    """WITH p AS (SELECT l_orderkey, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 / 3 AS u, l_linenumber::double / 7 AS v FROM lineitem),
     s AS (SELECT l_orderkey, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM p GROUP BY 1),
     f AS (SELECT p.l_orderkey, sum((x - mx) * (u - mu) + (y - my) * (v - mv)) AS d, sum((x - mx) * (v - mv) - (y - my) * (u - mu)) AS c,
         sum((x - mx) ** 2 + (y - my) ** 2) AS q FROM p JOIN s USING (l_orderkey) GROUP BY 1)
-    SELECT l_orderkey, round(d / q + 1e-9, 4) + 0.0 AS a, round(c / q + 1e-9, 4) + 0.0 AS b, round(mu - d / q * mx + c / q * my + 1e-9, 4) + 0.0 AS tx,
-        round(mv - c / q * mx - d / q * my + 1e-9, 4) + 0.0 AS ty FROM f JOIN s USING (l_orderkey) WHERE n >= 5""",
+    SELECT l_orderkey, round(d / q, 7) + 0.0 AS a, round(c / q, 7) + 0.0 AS b, round(mu - d / q * mx + c / q * my, 7) + 0.0 AS tx,
+        round(mv - c / q * mx - d / q * my, 7) + 0.0 AS ty FROM f JOIN s USING (l_orderkey) WHERE n >= 5""",
 )
 def similarity_fit(read, spark):
-    """The similarity that maps each image's landmarks to their places best.
-
-    The data has ties at the rounded digit, which a billionth more decides alike in either engine.
-    """
+    """The similarity that maps each image's landmarks to their places best."""
     p = read("lineitem").select(
-        "l_orderkey", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_tax") * 100).alias("u"), F.col("l_linenumber").cast("double").alias("v")
+        "l_orderkey", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_tax") * 100 / 3).alias("u"), (F.col("l_linenumber").cast("double") / 7).alias("v")
     )
-    many = p.groupBy("l_orderkey").count().where("count >= 5").select("l_orderkey")
-    fit = faces.fit_similarity(p.join(many, "l_orderkey", "left_semi"), "l_orderkey", "x", "y", "u", "v")
-    return fit.select("l_orderkey", *[(F.round(F.col(c) + 1e-9, 4) + 0.0).alias(c) for c in ("a", "b", "tx", "ty")])
+    fit = faces.fit_similarity(p, "l_orderkey", "x", "y", "u", "v").where("n >= 5")
+    return fit.select("l_orderkey", *[(F.round(F.col(c), 7) + 0.0).alias(c) for c in ("a", "b", "tx", "ty")])
 
 
 @query(
@@ -444,13 +460,105 @@ def json_paths(read, spark):
 
 @query(
     "consistency_check",
-    """SELECT label, bool_and(len(embedding) = 64) AS same, count(*)::bigint AS n FROM embeddings GROUP BY label""",
+    """SELECT label, true AS same, count(*)::bigint AS n, sum(list_sum(list_transform(embedding, lambda x: floor((x + 1) * 127)::bigint)))::bigint AS total
+    FROM embeddings GROUP BY label""",
 )
 def consistency_check(read, spark):
-    """Whether a vector read in two ways is the same for all rows of a label."""
-    e = F.col("embedding")
-    same = F.flatten(F.array(F.slice(e, 1, 32), F.slice(e, 33, 32))) == e
-    return read("embeddings").groupBy("label").agg(F.bool_and(same & (F.size(e) == 64)).alias("same"), F.count("*").alias("n"))
+    """Whether an image's tensor is the same when decoded from its bytes and when taken from its values."""
+    from facelake.operators.embed import tensors
+
+    decoded = tensors(grey_images(read), 8)
+    values = vectors.normalise_pixels(F.transform("embedding", lambda x: F.floor((x + 1) * 127)))
+    apart = F.zip_with(F.slice("tensor", 1, 64), values, lambda a, b: F.abs(a - b))
+    same = (F.size("tensor") == 192) & (F.array_max(apart) < 1e-6)
+    total = F.aggregate(F.slice("tensor", 65, 64), F.lit(0).cast("bigint"), lambda t, x: t + F.round((x * 0.5 + 0.5) * 255).cast("bigint"))
+    return decoded.groupBy("label").agg(F.bool_and(same).alias("same"), F.count("*").alias("n"), F.sum(total).alias("total"))
+
+
+@query("tensor_range", f"""SELECT vec_id, round(list_min(v), 5) AS low, round(list_max(v), 5) AS high FROM ({GREY})""")
+def tensor_range(read, spark):
+    """The least and the greatest value of each image's tensor."""
+    from facelake.operators.embed import tensors
+
+    t = F.transform("tensor", lambda x: x.cast("double"))
+    return tensors(grey_images(read), 8).select("vec_id", F.round(F.array_min(t), 5).alias("low"), F.round(F.array_max(t), 5).alias("high"))
+
+
+@query(
+    "tta_halves_topk",
+    f"""SELECT b.vec_id AS id, round({COSINE}, 6) AS distance FROM embeddings a, embeddings b
+    WHERE a.vec_id = 2 ORDER BY {COSINE} DESC, b.vec_id LIMIT 5""",
+)
+def tta_halves_topk(read, spark):
+    """Search where the halves of the augmented vector are stored apart."""
+    e = read("embeddings")
+    q = vector_of(e, 2)
+    halves = e.select("vec_id", F.slice("embedding", 1, 32).alias("plain"), F.slice("embedding", 33, 32).alias("flipped"))
+    score = vectors.cosine_of_halves(F.col("plain"), F.col("flipped"), vectors.literal(q[:32]), vectors.literal(q[32:]))
+    found = halves.select("vec_id", score.alias("s")).orderBy(F.desc_nulls_last("s"), "vec_id").limit(5)
+    return found.select(F.col("vec_id").alias("id"), F.round("s", 6).alias("distance"))
+
+
+@query(
+    "detect_faces",
+    f"""SELECT vec_id, 0 AS face_no, 64.0::double AS area, round(s, 6) AS score, round(38.2946 * 8 / 112, 6) AS eye FROM
+    (SELECT vec_id, list_sum(list_transform(embedding, lambda x: floor((x + 1) * 127)::double)) / 64 / 255 AS s FROM embeddings) WHERE s >= 0.5""",
+)
+def detect_faces(read, spark):
+    """All faces that a detector backend finds, one row each."""
+    found = faces.explode_faces(faces.bright_detector(grey_images(read), 0.3), 0.5)
+    eye = F.round(F.get(F.get("landmarks", F.lit(0)), F.lit(0)), 6)
+    return found.select("vec_id", "face_no", "area", F.round("score", 6).alias("score"), eye.alias("eye"))
+
+
+@query(
+    "embed_pixels",
+    f"""SELECT vec_id::varchar AS path, 384::bigint AS dim, round(sqrt(6 * list_sum(list_transform(v, lambda x: x * x))), 3) AS norm,
+        false AS was_aligned, 'ok' AS status FROM ({GREY})""",
+)
+def embed_pixels(read, spark):
+    """The whole way from bytes to stored vector, with an embedder that keeps the values."""
+    from facelake.config import EngineConfig
+    from facelake.operators.embed import embed
+
+    done = embed(grey_images(read), "pixels", EngineConfig(face_detection=False, image_size=8))
+    return done.select("path", F.size("embedding").cast("bigint").alias("dim"), F.round(vectors.norm(F.col("embedding")), 3).alias("norm"), "was_aligned", "status")
+
+
+@query(
+    "embed_faces",
+    """SELECT vec_id::varchar AS path, CASE WHEN s >= 0.5 THEN 1 ELSE 0 END AS num_faces, CASE WHEN s >= 0.5 THEN round(s, 6) END AS face_score,
+        s >= 0.5 AS was_aligned, CASE WHEN s >= 0.5 THEN 'ok' ELSE 'no_face' END AS status, CASE WHEN s >= 0.5 THEN 1024 ELSE 0 END::bigint AS dim FROM
+    (SELECT vec_id, list_sum(list_transform(embedding, lambda x: floor((x + 1) * 127)::double)) / 64 / 255 AS s FROM embeddings)""",
+)
+def embed_faces(read, spark):
+    """Detection, alignment and embedding, with what is known of the face that was taken."""
+    from facelake.config import EngineConfig
+    from facelake.operators.embed import embed
+
+    found = faces.bright_detector(grey_images(read).drop("embedding"), 0.3)
+    done = embed(found, "seeded_projection", EngineConfig(confidence=0.5))
+    dim = F.coalesce(F.size("embedding"), F.lit(0)).cast("bigint")
+    return done.select("path", "num_faces", F.round("face_score", 6).alias("face_score"), "was_aligned", "status", dim.alias("dim"))
+
+
+@query(
+    "detector_fields",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 2 THEN NULL ELSE l_quantity * l_extendedprice END AS area,
+        CASE WHEN l_linenumber % 2 = 0 THEN l_tax WHEN l_linenumber % 4 = 1 THEN l_discount ELSE 1.0 END::double AS score FROM lineitem""",
+)
+def detector_fields(read, spark):
+    """Faces of a detector whose fields go by several names or are missing."""
+    n, zero = F.col("l_linenumber"), F.lit(0.0)
+    box = F.array(zero, zero, F.col("l_quantity"), F.col("l_extendedprice"))
+    marks = F.array(*[F.array(zero, zero)] * 5)
+    face = faces.parsed(
+        {"bbox": F.when(n % 3 == 0, box), "box": F.when(n % 3 == 1, box)},
+        {"kps": F.when(n % 2 == 0, marks), "keypoints": marks},
+        {"det_score": F.when(n % 2 == 0, F.col("l_tax")), "confidence": F.when(n % 4 == 1, F.col("l_discount"))},
+    )
+    f = read("lineitem").select("l_orderkey", "l_linenumber", face.alias("f"), F.when(n % 2 == 0, F.col("l_tax")).when(n % 4 == 1, F.col("l_discount")).otherwise(1.0).alias("score"))
+    return f.select("l_orderkey", "l_linenumber", faces.area(F.col("f")).alias("area"), F.coalesce("f.score", "score").alias("score"))
 
 
 @query(
@@ -470,10 +578,5 @@ def embed_seeded(read, spark):
     from facelake.config import EngineConfig
     from facelake.operators.embed import embed
 
-    pixel = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x + 1) * 127).cast("long")), 2, "0"))
-    images = read("embeddings").select(
-        F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"),
-        F.unhex(F.array_join(pixel, "")).alias("data"), F.lit("ok").alias("status"),
-    )
-    done = embed(images, "seeded_projection", EngineConfig(face_detection=False), weights="7")
+    done = embed(grey_images(read), "seeded_projection", EngineConfig(face_detection=False), weights="7")
     return done.select("path", F.size("embedding").cast("bigint").alias("dim"), F.round(vectors.norm(F.col("embedding")), 3).alias("norm"), "was_aligned", "status")
