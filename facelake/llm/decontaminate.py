@@ -7,13 +7,15 @@ looked for by its rarest. Where that occurs, the shingle's place in the window g
 window must take (positional bound), which must lie inside the document (length bound), and all of
 its words are then compared.
 
-The items are a stated query set: they are taken in blocks of at most `block_windows` windows, so
-that what is sent to the tasks has a fixed bound, and each block passes over all documents. Texts
+The items are a stated query set: they are taken in blocks of at most `block_windows` windows, long
+items in parts, so that what is sent to the tasks has a fixed bound, and each block passes over all
+documents; the driver holds one block at a time, and what was found is written between blocks. Texts
 never move between tasks; a window that occurs everywhere costs its occurrences and nothing else.
 
-Defined results: null or empty texts have no words and no windows; repeated items count once;
-items without an id mark words but are not listed; repeated documents stay repeated; without items
-or documents nothing is hit.
+Defined results: null or empty texts have no words and no windows; texts of any length are read whole;
+repeated items count once; of shingles equally rare a window's first is looked for; items without an id mark
+words but are not listed; repeated documents stay repeated; without items or documents nothing is hit. Columns
+of docs other than its id and text are held in `row` if `carry` names them, so that none can clash.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facelake.llm.common import raw_bytes, spans_of, text_column
+from facelake.llm.common import raw_bytes, spans_of, stored, text_column
 
 #: Letters, digits and whatever lies above ASCII stay, A-Z in lower case; the rest parts words.
 WORDS = bytes(
@@ -57,21 +59,34 @@ class Windows:
         self.lengths = {k: (np.array(v), np.array([keys[i] for i in v], np.int64)) for k, v in by_length.items()}
         self.codes: dict[int, np.ndarray] = {}
         self.anchors: dict[int, tuple] = {}
-        wide = {min(shingle, k) for k in self.lengths}
+        wide = sorted({min(shingle, k) for k in self.lengths})
+        #: for each further word of a shingle, the numbers of the runs up to it
+        self.runs: list[np.ndarray] = []
+        for n in range(2, max(wide, default=0)):
+            runs = [self.code(m, n).ravel() for k, (_, m) in self.lengths.items() if k >= n]
+            self.runs.append(np.unique(np.concatenate(runs)))
         for w in wide:
             own = [self.code(m, w).ravel() for k, (_, m) in self.lengths.items() if min(shingle, k) == w]
             self.codes[w] = np.unique(np.concatenate(own))
 
     def code(self, words: np.ndarray, width: int) -> np.ndarray:
-        """One number for each run of so many words along the last axis; -1 where a word is unknown."""
-        n, base = words.shape[-1] - width + 1, len(self.number)
-        code, known = np.zeros((*words.shape[:-1], max(n, 0)), np.int64), True
+        """One number for each run of so many words along the last axis; -1 where none of the block's has it.
+
+        A run's number is that of all but its last word, as its place among the block's runs of that length,
+        and its last word: both lie below the number of the block's words, and so their product below 2**63.
+        """
+        n, base = words.shape[-1] - width + 1, max(1, len(self.number))
         if n <= 0:
-            return code
-        for i in range(width):
+            return np.zeros((*words.shape[:-1], 0), np.int64)
+        code = words[..., :n]
+        for i in range(1, width):
+            if i > 1:
+                place = np.searchsorted(self.runs[i - 2], code)
+                place[place == len(self.runs[i - 2])] = 0
+                code = np.where((code >= 0) & (self.runs[i - 2][place] == code), place, -1)
             part = words[..., i : i + n]
-            code, known = code * base + part, known & (part >= 0)
-        return np.where(known, code, -1)
+            code = np.where((code >= 0) & (part >= 0), code * base + part, -1)
+        return code
 
     def look_up(self, code: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of code that hold a shingle of this block, and that shingle's rank."""
@@ -130,9 +145,13 @@ def _numbered(texts: list[bytes], number: dict[bytes, int]) -> Iterator[tuple[in
 def _blocks(items: DataFrame, window: int, shingle: int, most: int) -> Iterator[Windows]:
     held, n = [], 0
     for item, text in items.toLocalIterator():
-        if words := text.encode().translate(WORDS).split():
-            held.append((item, words))
-            n += max(1, len(words) - window + 1)
+        words = text.encode().translate(WORDS).split()
+        windows = max(1, len(words) - window + 1) if words else 0
+        at = 0
+        while at < windows:
+            part = min(windows - at, most - n)
+            held.append((item, words[at : at + part + window - 1]))
+            at, n = at + part, n + part
             if n >= most:
                 yield Windows(held, window, shingle)
                 held, n = [], 0
@@ -213,17 +232,23 @@ def find_windows(
     """(id, row, n_words, starts, ends, items): for each row of docs the spans of words, by their places in
     the text, that lie inside an occurrence of an item's window, and the items they come from.
 
-    block_windows: the most windows (plus one item's) that are sent to the tasks at once. carry: columns
-    of docs that `row` holds.
+    block_windows: the most windows that are sent to the tasks at once. carry: columns of docs that `row` holds.
     """
     spark = docs.sparkSession
     none = F.array().cast("array<int>")
     kept = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), kept.alias("row"), text_column(docs, text_col))
     queries = items.select(F.col(f"`{item_col}`").cast("string"), text_column(items, item_text_col)).distinct()
-    blocks = list(_blocks(queries, window, shingle, block_windows)) or [Windows([], window, shingle)]
+    blocks = _blocks(queries, window, shingle, block_windows)
+    block = next(blocks, Windows([], window, shingle))
     found = rows.select("id", "row", "text", none.alias("starts"), none.alias("ends"), F.array().cast("array<string>").alias("items"))
-    for i, block in enumerate(blocks):
-        block.choose(_count(rows, spark.sparkContext.broadcast(block)) if block.items else {})
-        found = _mark(found, spark.sparkContext.broadcast(block), i == len(blocks) - 1)
-    return found
+    while True:
+        if block.items:
+            sent = spark.sparkContext.broadcast(block)
+            block.choose(_count(rows, sent))
+            sent.destroy()
+        sent, block = spark.sparkContext.broadcast(block), next(blocks, None)
+        if block is None:
+            return _mark(found, sent, True)
+        found = stored(_mark(found, sent, False), "windows")
+        sent.destroy()
