@@ -6,8 +6,9 @@ digests only; one row of each missing digest is sent to the library and its coun
 digest's rows are never gathered: the joins deal them by digest and id.
 
 Defined results: a null text counts as empty, with 0 bytes and 0 tokens; equal texts share one
-entry whatever their ids, null ids included; repeated rows stay repeated; an empty table gives an
-empty result and appends nothing.
+entry whatever their ids, null ids included; texts of any length are counted whole; repeated rows stay
+repeated; an empty table gives an empty result and appends nothing. Only id, digest, n_bytes and n_tokens are
+returned, so that no further column can clash.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from facelake.llm.common import stored, text_column
 
+#: A digest with more than this share of the rows is joined by itself.
+HOT_SHARE = 1000
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
 
 
@@ -51,7 +54,9 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
     try:
         return spark.read.schema(CACHE_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE_SCHEMA)
 
 
@@ -70,7 +75,8 @@ def token_counts(
     rows = rows.withColumn("digest", F.sha2("text", 256))
     keys = stored(rows.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-    misses = keys.groupBy("digest").agg(F.min("id").alias("id")).join(known, "digest", "left_anti").alias("m")
+    sizes = keys.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    misses = sizes.select("digest", "id").join(known, "digest", "left_anti").alias("m")
     texts = rows.alias("r").join(
         misses.hint("shuffle_hash"), (F.col("r.digest") == F.col("m.digest")) & F.col("r.id").eqNullSafe(F.col("m.id")), "left_semi"
     )
@@ -86,4 +92,10 @@ def token_counts(
     fresh = texts.select("digest", "text").mapInArrow(encode, "digest string, n_tokens long").dropDuplicates(["digest"])
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).dropDuplicates(["digest"])
-    return keys.join(counts.select("digest", "n_tokens"), "digest", "left").select("id", "digest", "n_bytes", "n_tokens")
+    counts = counts.select("digest", "n_tokens")
+    # digests of more than a thousandth of all rows, of which there are no more than a thousand, stay where they are
+    hot = sizes.where(F.col("n") > keys.count() / HOT_SHARE).join(counts, "digest").select("digest", F.col("n_tokens").alias("hot"))
+    marked = keys.join(F.broadcast(stored(hot, "hot-digests")), "digest", "left")
+    columns = ("id", "digest", "n_bytes", "n_tokens")
+    apart = marked.where("hot is not null").withColumnRenamed("hot", "n_tokens").select(*columns)
+    return marked.where("hot is null").join(counts, "digest", "left").select(*columns).unionByName(apart)
