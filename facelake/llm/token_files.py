@@ -3,7 +3,7 @@
 A file holds the ids of a range of documents in ascending order of doc_id, concatenated as 16- or
 32-bit integers, and two Elias-Fano sequences: where each document starts, and the documents' ids.
 n values below u take about n * (2 + log2(u / n)) bits; a sample of the upper half's ones lets
-`select` reach any document by looking at a few bytes.
+`select` reach any document by looking at a few bytes. A reader takes every offset from there.
 
 Layout, little-endian: magic `FLTOK1`, byte width of an id (uint16), number of rows without doc_id,
 smallest doc_id (int64 each), byte lengths of the two sequences (int64 each), the sequences, the ids.
@@ -12,7 +12,9 @@ Files are written by tasks under names no other attempt uses; the manifest, writ
 have ended, names those that count, so a lost executor or a repeated task leaves nothing wrong.
 
 Defined results: a null text is empty and gives just the end id; rows without doc_id come first and
-keep their null; repeated rows stay repeated; an empty table gives no file and an empty result.
+keep their null; rows of one doc_id are in the order of a hash of their texts; repeated rows stay repeated;
+texts of any length are encoded whole; an empty table gives no file and an empty result. Other columns than id
+and text are not read, so that none can clash.
 """
 
 from __future__ import annotations
@@ -48,9 +50,11 @@ class EliasFano:
         shifts = np.arange(low_bits, dtype=np.int64)
         low = np.packbits((values[:, None] >> shifts & 1).astype(np.uint8).ravel(), bitorder="little")
         ones = (values >> low_bits) + np.arange(n)
+        if n and ones[-1] >= 1 << 32:
+            raise ValueError("too many values for a 32-bit directory")
         upper = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         upper[ones] = 1
-        return cls(n, universe, low_bits, low, np.packbits(upper, bitorder="little"), ones[::SAMPLE].astype("<u8"))
+        return cls(n, universe, low_bits, low, np.packbits(upper, bitorder="little"), ones[::SAMPLE].astype("<u4"))
 
     def to_bytes(self) -> bytes:
         head = SEQUENCE.pack(self.n, self.universe, self.low_bits, len(self.high))
@@ -63,7 +67,7 @@ class EliasFano:
         n_low = (n * low_bits + 7) // 8
         low = np.frombuffer(data, np.uint8, n_low, at)
         high = np.frombuffer(data, np.uint8, n_high, at + n_low)
-        return cls(n, universe, low_bits, low, high, np.frombuffer(data, "<u8", -1, at + n_low + n_high))
+        return cls(n, universe, low_bits, low, high, np.frombuffer(data, "<u4", -1, at + n_low + n_high))
 
     def select(self, i: int) -> int:
         """Value i, read from the sampled place before it on."""
@@ -96,16 +100,35 @@ def pack(doc_ids: list[int | None], encoded: list[bytes], width: int) -> bytes:
     return b"".join([head, starts, docs, *encoded])
 
 
-def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """doc_ids, boundaries (one more than documents) and ids of a file."""
-    magic, width, n_null, least, n_starts, n_docs = HEADER.unpack_from(data)
-    if magic != MAGIC:
-        raise ValueError("not a token file")
-    at = HEADER.size
-    starts = EliasFano.from_bytes(data[at : at + n_starts]).values()
-    docs = EliasFano.from_bytes(data[at + n_starts : at + n_starts + n_docs]).values() + least
-    ids = np.frombuffer(data, f"<u{width}", -1, at + n_starts + n_docs)
-    return [None] * n_null + docs.tolist(), starts, ids
+class TokenFile:
+    """A file's documents, each reached by its place through the encoded sequences."""
+
+    def __init__(self, data: bytes):
+        magic, self.width, self.n_null, self.least, n_starts, n_docs = HEADER.unpack_from(data)
+        if magic != MAGIC:
+            raise ValueError("not a token file")
+        at = HEADER.size
+        self.starts = EliasFano.from_bytes(data[at : at + n_starts])
+        self.docs = EliasFano.from_bytes(data[at + n_starts : at + n_starts + n_docs])
+        self.ids = np.frombuffer(data, f"<u{self.width}", -1, at + n_starts + n_docs)
+
+    def __len__(self) -> int:
+        return self.starts.n - 1
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.n_null else self.docs.select(i - self.n_null) + self.least
+
+    def documents(self):
+        """(doc_id, start, ids) of each document in order."""
+        start = 0
+        for i in range(len(self)):
+            end = self.starts.select(i + 1)
+            yield self.doc_id(i), start, self.ids[start:end]
+            start = end
+
+    def document(self, i: int) -> np.ndarray:
+        """The ids of document i alone."""
+        return self.ids[self.starts.select(i) : self.starts.select(i + 1)]
 
 
 def _filesystem(path: str):
@@ -123,7 +146,8 @@ def write_tokens(
     file_bytes: a file ends with the document that brings its ids to this size.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_column(docs, text_col))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id")
+    # a doc_id that many rows have is dealt on by their texts
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").drop("tie")
 
     def write(batches):
         import pyarrow as pa
@@ -176,12 +200,9 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with filesystem.open_input_file(f"{base}/{name}") as file:
-                    docs, bounds, ids = unpack(file.readall())
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield pa.record_batch(
-                    [pa.array(docs, pa.int64()), pa.array(bounds[:-1] + first), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
-                    names=["id", "start", "n_tokens", "ids_crc32"],
-                )
+                    held = TokenFile(file.readall())
+                found = [(doc, first + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, start, ids in held.documents()]
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["id", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("file", "start")
     return files.repartition(files.sparkSession.sparkContext.defaultParallelism).mapInArrow(
