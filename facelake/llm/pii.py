@@ -1,19 +1,24 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
-Patterns find four kinds of values (`KINDS`), whose spans stay whatever follows. Each value is a
-protected entity. How much a term tells of an entity is estimated from the whole corpus, by the
-documents in which both occur: with p the share of documents, the term's pointwise mutual information
-with the entity, log(p(t, e) / (p(t) p(e))), is set against the entity's information content,
--log p(e). A quotient of 1 means that the term never occurs without the entity. Terms above the
-threshold, in at least `min_support` documents with the entity, become spans of kind `term` there;
-`sanitise` removes the most revealing and generalises the others.
-
-Everything is built-in column expressions. Only documents with an entity carry their text on, and
-what is counted per term and entity is folded before it moves.
-
-Defined results: a null text is empty and has no spans; equal texts get equal spans, and each of
-their rows counts in the corpus; repeated rows stay repeated; an empty table gives an empty result.
-Positions are code points, the end exclusive.
+Patterns find four kinds of values (`KINDS`), whose spans stay whatever follows. Protected entities are the
+values and what narrows them down (`entities`): an email's domain, a network, a number without its last
+digits. How much a term tells of an entity is estimated from the whole corpus, by the documents in which
+both occur, all values blanked out. An entity in a share p of the documents has an information content of
+-log p; a document in which the term is seen leaves -log q of it, where q, the share of the term's n
+documents that have the entity, is drawn to p as by `PRIOR` further documents, so that terms seen once or
+twice count for less. The term's disclosure is the part of the content that it gives away, 1 - log q / log p,
+which is the pointwise mutual information of both over the content. Terms above the threshold, in at least
+`min_support` documents with the entity, become spans of kind `term` there; `sanitise` removes the most
+revealing and generalises the others.
+
+Everything is built-in column expressions. Only documents with an entity carry their text on, what is
+counted per term and entity is folded before it moves, and entities without support go before terms are
+paired with them.
+
+Defined results: a null text is empty and has no spans; texts of any length are read whole; equal texts get
+equal spans, and each of their rows counts in the corpus; repeated rows stay repeated; an empty table gives an
+empty result. Positions are code points, the end exclusive. Only id, digest, base, spans and the
+text that they are of are returned, so that no further column can clash.
 """
 
 from __future__ import annotations
@@ -36,7 +41,9 @@ PATTERNS = {
 #: What a text must contain for its pattern to be tried at all.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = r"[\p{L}\p{N}]{3,}"
-SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
+SPAN = "array<struct<kind:int,start:int,end:int,value:string,score:double>>"
+#: Documents without evidence that a term's share is drawn by.
+PRIOR = 0.5
 #: Spans are gathered in runs of this length, as a growing array is copied with each value.
 RUN = 512
 
@@ -54,7 +61,7 @@ def matches(text: Column, pattern: str, kind: int) -> Column:
     def step(acc, piece):
         start = acc["at"] + piece["gap"]
         end = start + F.length(piece["value"])
-        span = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), piece["value"].alias("value"))).cast(SPAN)
+        span = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), piece["value"].alias("value"), F.lit(1.0).alias("score"))).cast(SPAN)
         full = F.size(acc["run"]) >= RUN
         grown = F.struct(
             end.alias("at"),
@@ -94,28 +101,48 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def splice(text: Column, spans: Column, put) -> Column:
-    """text with put(span) in place of each span; spans ordered by start, later ones that overlap are skipped."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def merged(spans: Column) -> Column:
+    """Spans by their place, those that overlap as one: it has the kind and score of the first by start, kind and end."""
+    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "kind", "end", "value", "score")])))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,score:double>>")
+    zero = F.struct(none.alias("done"), F.get(keyed, F.lit(0)).alias("last"))
 
     def step(acc, s):
-        return F.when(s["start"] < acc["at"], acc).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), put(s))).alias("out"),
-            )
-        )
+        last = acc["last"]
+        wider = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"), last["value"].alias("value"), last["score"].alias("score"))
+        apart = s["start"] >= last["end"]
+        return F.struct(F.when(apart, F.concat(acc["done"], F.array(last))).otherwise(acc["done"]).alias("done"), F.when(apart, s).otherwise(wider).alias("last"))
+
+    return F.when(F.size(spans) > 0, F.aggregate(keyed, zero, step, lambda acc: F.concat(acc["done"], F.array(acc["last"])))).otherwise(none)
+
+
+def splice(text: Column, spans: Column, put) -> Column:
+    """text with put(span) in place of each of some merged spans."""
+    pairs = F.zip_with(F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"])), spans, lambda at, s: F.struct(at.alias("at"), s.alias("s")))
 
-    def finish(acc):
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    def piece(p):
+        gap = F.substring(text, p["at"] + 1, F.coalesce(p["s"]["start"], F.length(text)) - p["at"])
+        return F.concat(gap, F.when(p["s"].isNull(), F.lit("")).otherwise(put(p["s"])))
 
-    return F.aggregate(spans, zero, step, finish)
+    return F.array_join(F.transform(pairs, piece), "")
 
 
-def by_start(spans: Column) -> Column:
-    """The same spans ordered by their place in the text."""
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
-    return F.array_sort(keyed)
+def entities(spans: Column) -> Column:
+    """The protected entities of base spans: values, and what narrows them down."""
+
+    def wider(s):
+        value = s["value"]
+        digits = F.regexp_replace(value, "[^0-9]", "")
+        return (
+            F.when(s["kind"] == KINDS.index("email"), F.substring_index(value, "@", -1))
+            .when(s["kind"] == KINDS.index("ip"), F.substring_index(value, ".", 3))
+            .otherwise(F.substring(digits, F.lit(1), F.length(digits) - 4))
+        )
+
+    def named(tag, s, value):
+        return F.concat_ws(":", F.lit(tag), s["kind"].cast("string"), F.lower(value))
+
+    return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.array(named("value", s, s["value"]), named("part", s, wider(s))))))
 
 
 def _terms(text: Column) -> Column:
@@ -125,13 +152,14 @@ def _terms(text: Column) -> Column:
 def revealing_terms(docs: DataFrame, entity_docs: DataFrame, threshold: float, min_support: int) -> DataFrame:
     """(entity, term, disclosure) above the threshold.
 
-    docs: (text), the whole corpus. entity_docs: (entities, terms), the distinct entities and terms of
-    each document that has an entity.
+    docs: (text), the whole corpus. entity_docs: (text, masked, entities) of each document that has an entity,
+    masked without the values.
     """
-    entities = entity_docs.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    known = entities.where(F.col("n_e") >= min_support)
+    own = entity_docs.select("entities", _terms(F.col("masked")).alias("terms"), _terms(F.col("text")).alias("unmasked"))
+    counted = own.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    known = counted.where(F.col("n_e") >= min_support)
     both = (
-        entity_docs.select("terms", F.explode("entities").alias("entity"))
+        own.select("terms", F.explode("entities").alias("entity"))
         .join(known, "entity")
         .select("entity", "n_e", F.explode("terms").alias("term"))
         .groupBy("entity", "n_e", "term")
@@ -139,22 +167,27 @@ def revealing_terms(docs: DataFrame, entity_docs: DataFrame, threshold: float, m
         .where(F.col("n_te") >= min_support)
     )
     candidates = stored(both, "pii-pairs")
-    n_t = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n_t = n_t.where(F.col("n_t") >= min_support)
+    # documents by term: all texts, and the difference that the masks make
+    seen = docs.select(F.explode(_terms(F.col("text"))).alias("term"), F.lit(1).alias("n"))
+    less = own.select(F.explode(F.array_except("unmasked", "terms")).alias("term"), F.lit(-1).alias("n"))
+    more = own.select(F.explode(F.array_except("terms", "unmasked")).alias("term"), F.lit(1).alias("n"))
+    n_t = seen.unionByName(less).unionByName(more).groupBy("term").agg(F.sum("n").alias("n_t")).where(F.col("n_t") >= min_support)
     total = docs.agg(F.count("*").alias("n"))
-    scored = candidates.join(n_t, "term").join(F.broadcast(total))
-    content = F.ln(F.col("n") / F.col("n_e"))
-    score = F.ln(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.nullif(content, F.lit(0.0))
+    scored = candidates.join(n_t, "term").join(F.broadcast(total))  # one row
+    share = F.col("n_e") / F.col("n")
+    drawn = (F.col("n_te") + PRIOR * share) / (F.col("n_t") + PRIOR)
+    score = F.when(share < 1, 1 - F.ln(drawn) / F.ln(share))
     return scored.select("entity", "term", score.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
 def find_personal_data(
-    docs: DataFrame, threshold: float = 0.95, min_support: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, threshold: float = 0.95, min_support: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, digest, base, spans) of each row; base and spans are arrays of (kind, start, end, value).
+    """(id, digest, base, spans, text) of each row; base and spans are arrays of (kind, start, end, value, score).
 
-    kind is a place in ORDER; spans are base and then the terms. threshold: the disclosure from which a
-    term is a span. min_support: the fewest documents that a term shares with the entity.
+    kind is a place in ORDER; spans are base and then the terms, whose score is their disclosure; text is null
+    without spans. threshold: the disclosure from which a term is a span. min_support: the fewest documents that
+    a term shares with the entity.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_column(docs, text_col))
     seen = rows.withColumn("base", base_spans(F.col("text")))
@@ -165,30 +198,27 @@ def find_personal_data(
         ),
         "pii-base",
     )
-    blank = splice(F.col("text"), by_start(F.col("base")), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
-    some = base.where("digest is not null").select(
-        "digest",
-        F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), s["value"]))).alias("entities"),
-        blank.alias("masked"),
-    )
-    some = some.withColumn("terms", _terms(F.col("masked")))
-    told = stored(revealing_terms(rows.select("text"), some.select("entities", "terms"), threshold, min_support), "pii-told")
-    texts = some.dropDuplicates(["digest"])
+    blank = splice(F.col("text"), merged(F.col("base")), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
+    some = base.where("digest is not null").select("digest", "text", entities(F.col("base")).alias("entities"), blank.alias("masked"))
+    told = stored(revealing_terms(rows.select("text"), some.select("text", "masked", "entities"), threshold, min_support), "pii-told")
+    texts = stored(some.select("digest", "masked", "entities").dropDuplicates(["digest"]), "pii-texts")
     revealed = (
-        texts.select("digest", F.explode("entities").alias("entity"), "terms")
-        .select("digest", "entity", F.explode("terms").alias("term"))
+        texts.select("digest", "masked", F.explode("entities").alias("entity"))
+        .join(told.select("entity").distinct(), "entity", "left_semi")
+        .select("digest", "entity", F.explode(_terms(F.col("masked"))).alias("term"))
         .join(told, ["entity", "term"])
-        .groupBy("digest")
-        .agg(F.collect_set("term").alias("revealed"))  # no more than the text has terms
+        .groupBy("digest", "term")
+        .agg(F.max("disclosure").alias("score"))
     )
+    revealed = stored(revealed, "pii-revealed")
     kind = ORDER.index("term")
-    marked = texts.join(revealed, "digest").select(
-        "digest",
-        F.filter(matches(F.col("masked"), TERM, kind), lambda s: F.array_contains("revealed", F.lower(s["value"]))).alias("found"),
-    )
+    places = texts.join(revealed.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode(matches(F.col("masked"), TERM, kind)).alias("s"))
+    found = places.select("digest", F.lower("s.value").alias("term"), "s").join(revealed, ["digest", "term"])
+    span = F.struct("s.kind", "s.start", "s.end", "s.value", "score")
+    marked = found.groupBy("digest").agg(F.array_sort(F.collect_list(span)).cast(SPAN).alias("found"))  # no more than the text has words
     # written, so that what meets here is a plain join, whose hot digests Spark splits
-    out = base.select("id", "digest", "base").join(stored(marked, "pii-marked"), "digest", "left")
-    return out.select("id", "digest", "base", F.concat("base", F.coalesce("found", F.array().cast(SPAN))).alias("spans"))
+    out = base.join(stored(marked, "pii-marked"), "digest", "left")
+    return out.select("id", "digest", "base", F.concat("base", F.coalesce("found", F.array().cast(SPAN))).alias("spans"), "text")
 
 
 def label(spans: Column) -> Column:
@@ -199,16 +229,17 @@ def label(spans: Column) -> Column:
     )
 
 
-def sanitise(text: Column, spans: Column) -> Column:
-    """text with each value as its kind's name; terms become a number, a name or a word mark."""
+def sanitise(text: Column, spans: Column, remove: float = 0.99) -> Column:
+    """text with each value as its kind's name; a term with a disclosure of `remove` or more goes, others become
+    a number, a name or a word mark. Spans that overlap are replaced as one."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def put(s):
         general = F.when(s["value"].rlike("[0-9]"), F.lit("<NUMBER>")).when(s["value"].rlike(r"^\p{Lu}"), F.lit("<NAME>")).otherwise(F.lit("<WORD>"))
-        return F.when(s["kind"] < len(KINDS), F.get(names, s["kind"])).otherwise(general)
+        return F.when(s["kind"] < len(KINDS), F.get(names, s["kind"])).when(s["score"] >= remove, F.lit("")).otherwise(general)
 
-    return splice(text, by_start(spans), put)
+    return splice(text, merged(spans), put)
 
 
 def count_kind(spans: Column, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+    return F.size(F.filter(spans, lambda s: s["kind"] == ORDER.index(kind))).cast("long")
