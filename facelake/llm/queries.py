@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facelake.llm.common import scratch, table
+from facelake.llm.rules import BLOCKED, RULES
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,12 +70,14 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from facelake.llm import pii
 
-    found = pii.find_personal_data(table(spark, sf_dir, "documents"), threshold=0.95, min_support=5)
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), threshold=0.95, min_support=2)
     return found.select(
         F.col("id").alias("doc_id"),
         *[pii.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(pii.label(F.col("base")), 256).alias("base_sha256"),
         pii.label(F.col("spans")).alias("spans"),
+        pii.count_kind(F.col("spans"), "term").alias("n_term"),
+        F.when(F.size("spans") > 0, pii.sanitise(F.col("text"), F.col("spans"))).alias("sanitised"),
     )
 
 
@@ -114,4 +117,37 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_html_text": op10_html_text,
 }
-ORACLE_SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BENCH_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(RULES.values()))
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": rf"""
+    WITH d AS (SELECT doc_id, {BENCH_WORDS} AS w FROM documents),
+    b AS (SELECT item_id::varchar AS item, {BENCH_WORDS} AS w FROM benchmark),
+    windows AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM
+        (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+    grams AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM
+        (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+    hits AS (SELECT doc_id, item, k, i FROM grams JOIN windows USING (k, g)),
+    places AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS place FROM hits) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+        sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_rules": rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+    windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM
+        (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d))),
+    inside AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS place FROM windows WHERE n > 1) GROUP BY doc_id),
+    m AS (SELECT doc_id, len(w)::bigint AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols, len(lines)::bigint AS n_lines,
+        (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines, coalesce(inside.n, 0)::bigint AS n_repeat_words,
+        length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+        length(regexp_replace(text, '[^!-@\x5B-\x60\x7B-\x7E]', '', 'g')) AS n_marks,
+        len(list_filter(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z]+'), lambda x: x IN ({", ".join(f"'{x}'" for x in sorted(BLOCKED))}))) AS n_blocked
+        FROM d LEFT JOIN inside USING (doc_id)),
+    f AS (SELECT *, ({_BITS})::bigint AS failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+        failed = 0 AS kept, failed, 2 AS policy FROM f""",
+}

@@ -6,8 +6,9 @@ one, comparing versions and ablating rules are bitwise operations on the stored
 at a text again.
 
 Words are runs of characters other than ASCII white space. Defined results: null, empty and blank
-texts have no words and fail `few_words`; repeated rows stay repeated; an empty table gives an empty
-ledger. Ratios of a text without words are 0.
+texts have no words and fail `few_words`; texts of any length are measured whole; equal lines count as
+repeated from the second on; repeated rows stay repeated; an empty table gives an empty ledger. Ratios of a
+text without words are 0. Other columns than id and text are not read, so that none can clash.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facelake.llm.common import text_column
+from facelake.llm.common import stored, text_column
 
 SYMBOLS = b"#*$%&|<>"
 #: English insults that count as blocked terms.
@@ -88,7 +89,10 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, one column for each measurement, failed): bit i of failed is set if rule i fails."""
+    """(id, one column for each measurement, failed): bit i of failed is set if rule i fails.
+
+    It is written once; policies and ablations read it from there.
+    """
 
     def compute(batches):
         import pyarrow as pa
@@ -106,7 +110,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     failed = bits[0]
     for bit in bits[1:]:
         failed = failed.bitwiseOR(bit)
-    return measured.withColumn("failed", failed)
+    return stored(measured.withColumn("failed", failed), "rule-ledger")
 
 
 def mask(rules) -> int:
