@@ -1,14 +1,17 @@
-"""Near copies by exact similarity of word-shingle sets; MinHash fingerprints only name who to compare.
-
-Texts of equal shingle sets are one class from the start. The minima of a set under fixed mixtures of its
-shingles' hashes are dealt in bands; classes that share a band of minima are candidates, so that a pair at
-Jaccard j stays unseen with probability (1 - j**ROWS)**BANDS: 0.000015 at 0.8. Candidates and their
-candidates make a family. The sets of a family meet once in a task, and a link is a pair whose exact
-similarity suffices; a family too large for a task is dealt as pairs of its blocks. Links join rows to
-components, of which the row of the smallest doc_id stays.
-
-Defined results: texts without words have equal (empty) sets; rows without doc_id come after all others of
-their component; repeated rows are copies of each other; an empty table gives an empty result.
+"""Near copies by exact similarity of word-shingle sets; SimHash and MinHash only name who to compare.
+
+Texts of equal shingle sets are one class from the start. The Gray-order index of `simhash` names the classes
+whose SimHashes differ in few bits. A pair at Jaccard 0.8 differs in about ten of 64 bits, too many for any
+index of them, so the minima of a set under fixed mixtures of its shingles' hashes are dealt in bands as well:
+classes that share a band of minima are candidates too, and a pair at Jaccard j stays unseen by them with
+probability (1 - j**ROWS)**BANDS: 0.000015 at 0.8. Candidates and their candidates make a family. The sets of
+a family meet once in a task, and a link is a pair whose exact similarity suffices; a family too large for a
+task is dealt as pairs of its blocks. Links join rows to components, of which the row of the smallest doc_id
+stays.
+
+Defined results: texts without words have equal (empty) sets; texts of any length are compared whole; rows
+without doc_id come after all others of their component, and of rows of one doc_id a first one stays; repeated
+rows are copies of each other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,11 +22,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facelake.llm import simhash
 from facelake.llm.common import LOWER, raw_bytes, stored
 from facelake.llm.graph import components
 
 #: Minima in a band, and bands.
 ROWS, BANDS = 5, 28
+#: Bits in which SimHashes of candidates differ at most.
+BITS = 3
 #: Shingles of a family that meet in a task at most.
 FAMILY = 1_000_000
 #: Odd multipliers.
@@ -55,7 +61,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """docs with `row`, a key of each row, `digest` and `n` of its shingle set, and `bands`; written once."""
+    """docs with `row`, a key of each row, `digest` and `n` of its shingle set, `bands` and the SimHash `fp`; written once."""
 
     def compute(batches):
         import pyarrow as pa
@@ -68,11 +74,12 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                 pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
+                pa.array(np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)),
             ]
-            yield pa.record_batch([*batch.columns, *new], names=[*batch.schema.names, "digest", "n", "bands"])
+            yield pa.record_batch([*batch.columns, *new], names=[*batch.schema.names, "digest", "n", "bands", "fp"])
 
     rows = docs.withColumn("row", F.monotonically_increasing_id())
-    schema = rows.select("*", F.lit(b"").alias("digest"), F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("bands")).schema
+    schema = rows.select("*", F.lit(b"").alias("digest"), F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("bands"), F.lit(0).cast("long").alias("fp")).schema
     return stored(rows.mapInArrow(compute, schema), "sketched")
 
 
@@ -131,11 +138,20 @@ def _verified(batches, width: int, similarity: Fraction):
     yield from linked(ids, sets)
 
 
+def alike(prints: DataFrame) -> DataFrame:
+    """(src, dst) stars of the rows (row, fp) whose SimHashes differ in BITS bits at most."""
+    prints = stored(prints, "prints")
+    first = stored(prints.groupBy("fp").agg(F.min("row").alias("id")), "distinct-prints")
+    same = prints.join(first, "fp").where("row <> id").select(F.col("row").alias("src"), F.col("id").alias("dst"))
+    return same.unionByName(simhash.links(first.select("fp", "id"), BITS, first.count()))
+
+
 def links(rows: DataFrame, reps: DataFrame, width: int, similarity: Fraction) -> DataFrame:
     """(src, dst) row keys of classes, of which reps has one row key each: stars of the verified links."""
     keyed = stored(rows.select("row", "bands").join(reps.select("row"), "row", "left_semi").select("row", F.explode("bands").alias("band")), "bands")
     first = keyed.groupBy("band").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = keyed.join(first, "band").where("row <> first").select("row", "first")
+    edges = keyed.join(first, "band").where("row <> first").select(F.col("row").alias("src"), F.col("first").alias("dst"))
+    edges = edges.unionByName(alike(rows.select("row", "fp").join(reps.select("row"), "row", "left_semi")))
     families = stored(components(edges).withColumnRenamed("node", "row"), "families")
     weights = families.join(rows.select("row", "n"), "row").groupBy("root").agg(F.sum("n").alias("n"))
     parts = families.join(weights.select("root", F.ceil(F.col("n") / FAMILY).cast("int").alias("k")), "root")

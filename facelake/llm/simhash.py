@@ -10,9 +10,10 @@ member only while the differences accumulated on shared bits stay within the dis
 Each group gives back one star per set of linked fingerprints instead of all pairs, which keeps
 every connection; connected components then run over those stars.
 
-Defined results: a null or empty text has fingerprint zero and links like any other; a row without
-doc_id gets its fingerprint and the class of equal fingerprints of other rows, if any, else null;
-repeated rows stay repeated; an empty table gives an empty result.
+Defined results: a null or empty text has fingerprint zero and links like any other; texts of any length are
+read whole; a bit that just half of the shingles have is not set; a row without doc_id gets its fingerprint
+and the class of equal fingerprints of other rows, if any, else null; repeated rows stay repeated; an empty
+table gives an empty result. Other columns than id and text are not read, so that none can clash.
 """
 
 from __future__ import annotations
@@ -54,20 +55,22 @@ def fingerprint(text: bytes, width: int, prints: int = 1) -> list[int]:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     hashes = np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64)
-    found = []
-    for k in range(prints):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 1 << 16):
-            part = hashes[at : at + (1 << 16)]
-            if k:
-                part = (part ^ (part >> np.uint64(31))) * MIXERS[k - 1]
-                part = (part ^ (part >> np.uint64(29))) * MIXERS[k - 1]
-                part ^= part >> np.uint64(32)
-            bits = part.astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        bits = (2 * ones > len(hashes)).astype(np.uint8)
-        found.append(int(np.packbits(bits, bitorder="little").view("<u8")[0]))
-    return found
+    return [majority(hashes, k) for k in range(prints)]
+
+
+def majority(hashes: np.ndarray, k: int = 0) -> int:
+    """The bits that more than half of some hashes have, or of their mixtures by multiplier k - 1."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
+        if k:
+            part = (part ^ (part >> np.uint64(31))) * MIXERS[k - 1]
+            part = (part ^ (part >> np.uint64(29))) * MIXERS[k - 1]
+            part ^= part >> np.uint64(32)
+        bits = part.astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = (2 * ones > len(hashes)).astype(np.uint8)
+    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
