@@ -16,7 +16,7 @@ model's file. `decode` looks pieces up in a constant table, in column expression
 
 Defined results: a null or empty text has no ids; characters outside the vocabulary become bytes where
 the model has them, else the unknown id; blanks, tabs and line ends keep their number; a word of any
-length is folded whole (in n log n steps); texts of any length are taken in runs of some megabytes or one text;
+length is folded whole (in n log n steps); texts of any length are taken in runs of a megabyte or one text;
 repeated rows stay repeated; an empty table gives an empty result. Decoding gives the text back, with
 U+2581 as a blank. A column of the input that is called `ids` (or, in `decode`, as `into` says) gives
 way to the new one.
@@ -46,7 +46,7 @@ WORDS = rf"{BLANK}*[^{BLANK}]+|{BLANK}+"
 #: Words that a task holds before it empties its memo or hands on its counts.
 HELD = 100_000
 #: Bytes of texts that are cut into words at once.
-RUN = 4_000_000
+RUN = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -288,7 +288,8 @@ def frequent(texts: DataFrame, name: str, most: int) -> DataFrame:
         if left < 0:
             break
         threshold = row["level"]
-    return encode_words(counts.where(level >= threshold).select("word"), name)
+    words = counts.where(level >= threshold).select("word")
+    return encode_words(words.repartition(texts.sparkSession.sparkContext.defaultParallelism, "word"), name)
 
 
 def packed(words: DataFrame, kind: np.dtype) -> dict[str, bytes]:
