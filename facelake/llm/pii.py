@@ -8,8 +8,9 @@ both occur, all values blanked out. An entity in a share p of the documents has
 documents that have the entity, is drawn to p as by `PRIOR` further documents, so that terms seen once or
 twice count for less. The term's disclosure is the part of the content that it gives away, 1 - log q / log p,
 which is the pointwise mutual information of both over the content. Terms above the threshold, in at least
-`min_support` documents with the entity, become spans of kind `term` there; `sanitise` removes the most
-revealing and generalises the others.
+`min_support` documents with the entity, become spans of kind `term` there; what many values share must meet a
+term in `part_support` documents, since terms fall together with it by chance. `sanitise` removes the most
+revealing terms and generalises the others.
 
 Everything is built-in column expressions. Only documents with an entity carry their text on, what is
 counted per term and entity is folded before it moves, and entities without support go before terms are
@@ -149,22 +150,22 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def revealing_terms(docs: DataFrame, entity_docs: DataFrame, threshold: float, min_support: int) -> DataFrame:
+def revealing_terms(docs: DataFrame, own: DataFrame, threshold: float, min_support: int, part_support: int) -> DataFrame:
     """(entity, term, disclosure) above the threshold.
 
-    docs: (text), the whole corpus. entity_docs: (text, masked, entities) of each document that has an entity,
-    masked without the values.
+    docs: (text), the whole corpus. own: (entities, terms, unmasked) of each document that has an entity: its
+    terms without the values, and with them.
     """
-    own = entity_docs.select("entities", _terms(F.col("masked")).alias("terms"), _terms(F.col("text")).alias("unmasked"))
+    support = F.when(F.startswith("entity", F.lit("part")), part_support).otherwise(min_support)
     counted = own.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    known = counted.where(F.col("n_e") >= min_support)
+    known = counted.where(F.col("n_e") >= support)
     both = (
         own.select("terms", F.explode("entities").alias("entity"))
         .join(known, "entity")
         .select("entity", "n_e", F.explode("terms").alias("term"))
         .groupBy("entity", "n_e", "term")
         .agg(F.count("*").alias("n_te"))
-        .where(F.col("n_te") >= min_support)
+        .where(F.col("n_te") >= support)
     )
     candidates = stored(both, "pii-pairs")
     # documents by term: all texts, and the difference that the masks make
@@ -181,13 +182,13 @@ def revealing_terms(docs: DataFrame, entity_docs: DataFrame, threshold: float, m
 
 
 def find_personal_data(
-    docs: DataFrame, threshold: float = 0.95, min_support: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, threshold: float = 0.95, min_support: int = 2, part_support: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, digest, base, spans, text) of each row; base and spans are arrays of (kind, start, end, value, score).
 
     kind is a place in ORDER; spans are base and then the terms, whose score is their disclosure; text is null
     without spans. threshold: the disclosure from which a term is a span. min_support: the fewest documents that
-    a term shares with the entity.
+    a term shares with a value, part_support: with what narrows values down.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_column(docs, text_col))
     seen = rows.withColumn("base", base_spans(F.col("text")))
@@ -199,13 +200,16 @@ def find_personal_data(
         "pii-base",
     )
     blank = splice(F.col("text"), merged(F.col("base")), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
-    some = base.where("digest is not null").select("digest", "text", entities(F.col("base")).alias("entities"), blank.alias("masked"))
-    told = stored(revealing_terms(rows.select("text"), some.select("text", "masked", "entities"), threshold, min_support), "pii-told")
-    texts = stored(some.select("digest", "masked", "entities").dropDuplicates(["digest"]), "pii-texts")
+    some = base.where("digest is not null").select("digest", entities(F.col("base")).alias("entities"), blank.alias("masked"), _terms(F.col("text")).alias("unmasked"))
+    some = stored(some.withColumn("terms", _terms(F.col("masked"))), "pii-texts")
+    told = stored(revealing_terms(rows.select("text"), some, threshold, min_support, part_support), "pii-told")
+    texts = some.select("digest", "entities", "terms", "masked")
+    told_of = texts.select("digest", F.explode("entities").alias("entity")).join(told.select("entity").distinct(), "entity", "left_semi").distinct()
+    told_of = told_of.groupBy("digest").agg(F.collect_set("entity").alias("told"))  # no more than the text has values
+    texts = stored(texts.join(told_of, "digest").dropDuplicates(["digest"]).select("digest", "told", "terms", "masked"), "pii-told-texts")
     revealed = (
-        texts.select("digest", "masked", F.explode("entities").alias("entity"))
-        .join(told.select("entity").distinct(), "entity", "left_semi")
-        .select("digest", "entity", F.explode(_terms(F.col("masked"))).alias("term"))
+        texts.select("digest", "terms", F.explode("told").alias("entity"))
+        .select("digest", "entity", F.explode("terms").alias("term"))
         .join(told, ["entity", "term"])
         .groupBy("digest", "term")
         .agg(F.max("disclosure").alias("score"))

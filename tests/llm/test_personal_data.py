@@ -28,7 +28,7 @@ def brute_order(kind):
     return [*brute.PATTERNS, "term"].index(kind)
 
 
-def plain(docs, threshold=0.95, min_support=2):
+def plain(docs, threshold=0.95, min_support=2, part_support=5):
     """doc: (base spans, term spans with their disclosure)."""
     held = {}
     n_t, n_e, n_te = Counter(), Counter(), Counter()
@@ -49,7 +49,7 @@ def plain(docs, threshold=0.95, min_support=2):
     told = defaultdict(dict)
     for (e, t), n in n_te.items():
         p = n_e[e] / len(docs)
-        if n >= min_support and p < 1:
+        if n >= (part_support if e[0] == "part" else min_support) and p < 1:
             score = 1 - math.log((n + pii.PRIOR * p) / (n_t[t] + pii.PRIOR)) / math.log(p)
             if score >= threshold:
                 told[e][t] = score
