@@ -14,6 +14,7 @@ text without words are 0. Other columns than id and text are not read, so that n
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from facelake.llm.common import stored, text_column
 
 SYMBOLS = b"#*$%&|<>"
-#: English insults that count as blocked terms.
+#: English insults, the default of `ledger`'s blocked terms.
 BLOCKED = frozenset("idiot idiots stupid moron morons loser losers worthless pathetic scum trash disgusting clown".split())
 LONG = 1000
 
@@ -48,7 +49,6 @@ MEASURES = "n_words n_chars word_chars n_symbols n_lines n_dup_lines n_repeat_wo
 _LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122))
 _UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 _MARKS = bytes(b for b in range(256) if not (33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126 or 48 <= b <= 57))
-_BLOCKED = re.compile(rb"(?<![a-z])(?:" + "|".join(sorted(BLOCKED)).encode() + rb")(?![a-z])", re.I)
 _SPACE = b" \t\n\v\f\r"
 _CONTINUED = bytes(b for b in range(256) if not 128 <= b <= 191)
 
@@ -67,7 +67,12 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
     return int(inside.sum())
 
 
-def measure(text: bytes) -> tuple[int, ...]:
+def term_pattern(terms: Iterable[str]) -> re.Pattern[bytes]:
+    """Finds terms as whole runs of ASCII letters, whatever their case; no terms, no finds."""
+    return re.compile(rb"(?<![a-z])(?:" + "|".join(map(re.escape, sorted(terms))).encode() + rb")(?![a-z])" if terms else rb"(?!)", re.I)
+
+
+def measure(text: bytes, blocked: re.Pattern[bytes]) -> tuple[int, ...]:
     """The measurements of one text, in the order of MEASURES."""
     words = text.split()
     lines = [x for x in text.split(b"\n") if x.strip()]
@@ -84,23 +89,25 @@ def measure(text: bytes) -> tuple[int, ...]:
         len(text.translate(None, _LETTERS)),
         len(text.translate(None, _UPPER)),
         len(text.translate(None, _MARKS)),
-        sum(1 for _ in _BLOCKED.finditer(text)),
+        sum(1 for _ in blocked.finditer(text)),
     )
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, blocked: Iterable[str] = BLOCKED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, one column for each measurement, failed): bit i of failed is set if rule i fails.
 
-    It is written once; policies and ablations read it from there.
+    It is written once; policies and ablations read it from there. blocked: the terms that n_blocked counts.
     """
+    blocked = frozenset(blocked)
 
     def compute(batches):
         import pyarrow as pa
 
         from facelake.llm.common import raw_bytes
 
+        pattern = term_pattern(blocked)
         for batch in batches:
-            flat = np.fromiter(chain.from_iterable(map(measure, raw_bytes(batch.column(1)))), np.int64)
+            flat = np.fromiter(chain.from_iterable(measure(t, pattern) for t in raw_bytes(batch.column(1))), np.int64)
             table = flat.reshape(-1, len(MEASURES))
             yield pa.record_batch([batch.column(0), *(pa.array(table[:, i]) for i in range(len(MEASURES)))], names=["id", *MEASURES])
 

@@ -73,3 +73,10 @@ def test_query_equals_sql(spark, name):
     want = con.execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in want.description]
     assert sorted(map(tuple, found.select(*columns).collect())) == sorted(want.fetchall()) and set(columns) == set(found.columns)
+
+
+def test_blocked_terms_are_a_parameter(spark):
+    docs = spark.createDataFrame([(1, "Foo foo-bar foobar x.y"), (2, "idiot idiots")], "doc_id long, text string")
+    assert {r.id: r.n_blocked for r in rules.ledger(docs, ["foo", "x.y"]).collect()} == {1: 3, 2: 0}
+    assert {r.id: r.n_blocked for r in rules.ledger(docs, []).collect()} == {1: 0, 2: 0}
+    assert {r.id: r.n_blocked for r in rules.ledger(docs).collect()} == {1: 0, 2: 2}
