@@ -265,7 +265,8 @@ def _learn(rows: DataFrame, sent, sure: float, most: int, max_fit: int) -> tuple
     placed = used.withColumn("place", F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)))
     sample = placed.where(F.col("place") < F.when(F.col("bad").isNull(), max(pseudo_places)).otherwise(label_places)).select("bad", "text", "meta", "place")
     # about 2 * max_fit rows a view at most
-    table = sample.mapInArrow(gather, "view int, label int, at binary").orderBy("view", "label", "at").toArrow()
+    table = sample.mapInArrow(gather, "view int, label int, at binary").toArrow()
+    table = table.sort_by([(c, "ascending") for c in ("view", "label", "at")])  # the order in which rows arrive must not count
     views = []
     for view in range(2):
         own = table.filter(np.asarray(table.column("view")) == view)
@@ -315,7 +316,7 @@ def train(
     places = int(min(1.0, max_held / max(1, known.count())) * (1 << 20))
     known = known.where(F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(1 << 20)) < places)
     # about max_held rows of numbers
-    table = _scored(known, spark.sparkContext.broadcast(views)).orderBy("bad", "text", "meta").toArrow()
+    table = _scored(known, spark.sparkContext.broadcast(views)).toArrow().sort_by([(c, "ascending") for c in ("bad", "text", "meta")])
     sample = {c: np.asarray(table.column(c), float) for c in ("bad", "text", "meta")}
     model = Classifier(*views)
     y = sample["bad"]
