@@ -31,7 +31,7 @@ ROWS, BANDS = 5, 28
 #: Bits in which SimHashes of candidates differ at most.
 BITS = 3
 #: Shingles of a family that meet in a task at most.
-FAMILY = 1_000_000
+FAMILY = 250_000
 #: Odd multipliers.
 MIXERS = np.random.Generator(np.random.PCG64(42)).integers(1 << 63, size=ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
