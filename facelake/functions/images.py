@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 
 
@@ -61,9 +64,42 @@ def from_row(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[:, :, 2::-1]
 
 
-def draw(image: np.ndarray, boxes: list[list[float]], landmarks: list[list[list[float]]], color=(0, 255, 0), thickness: int = 2) -> np.ndarray:
-    """A copy with box outlines and landmark dots."""
+#: Digits, point and percent sign as five rows of three dots.
+GLYPHS = dict(zip("0123456789.%", ("75557", "26227", "71747", "71717", "55711", "74717", "74757", "71111", "75757", "75717", "00002", "51245"), strict=True))
+ROWS = {c: [int(x) for x in g] for c, g in GLYPHS.items()}
+
+
+def label(score: float) -> np.ndarray:
+    """A score as the dots of its percentage."""
+    text = f"{score * 100:.1f}%"
+    out = np.zeros((5, 4 * len(text)), bool)
+    for i, c in enumerate(text):
+        for y, row in enumerate(ROWS[c]):
+            for x in range(3):
+                out[y, 4 * i + x] = row >> (2 - x) & 1
+    return out
+
+
+def png(image: np.ndarray) -> bytes:
+    """An RGB image as a PNG file."""
+    height, width, _ = image.shape
+    rows = np.hstack([np.zeros((height, 1), np.uint8), np.ascontiguousarray(image).reshape(height, 3 * width)])
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def draw(image: np.ndarray, boxes: list[list[float]], landmarks: list[list[list[float]]], scores: list[float] = (), color=(0, 255, 0), thickness: int = 2) -> np.ndarray:
+    """A copy with box outlines, landmark dots and the scores inside the boxes' corners."""
     out = image.copy()
+    for (x0, y0, *_), score in zip(boxes, scores, strict=False):
+        dots = label(score)
+        y, x = max(int(y0) + thickness + 1, 0), max(int(x0) + thickness + 1, 0)
+        part = out[y : y + dots.shape[0], x : x + dots.shape[1]]
+        part[dots[: part.shape[0], : part.shape[1]]] = color
     for x0, y0, x1, y1 in (map(int, b) for b in boxes):
         for t in range(thickness):
             out[max(y0 + t, 0) : y0 + t + 1, max(x0, 0) : x1 + 1] = color

@@ -60,6 +60,12 @@ def most_confident(faces: Column) -> Column:
     return F.get(faces, -_best(faces, lambda f: F.coalesce(f["score"], F.lit(1.0))))
 
 
+def best_rows(rows: DataFrame, key: str, rank: list[Column], values: list[Column]) -> DataFrame:
+    """(key, values) of each image's face with the greatest rank, of rows that hold one face each; folded before it moves."""
+    best = F.max_by(F.struct(*values), F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)])).alias("best")
+    return rows.groupBy(key).agg(best).select(key, "best.*")
+
+
 def ranked(faces: Column) -> Column:
     """Faces by falling score, equal ones in their order."""
     keyed = F.transform(faces, lambda f, i: F.struct((-F.coalesce(f["score"], F.lit(1.0))).alias("s"), i.alias("i")))

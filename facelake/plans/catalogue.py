@@ -41,6 +41,11 @@ def big(column: Column) -> Column:
     return column.cast("bigint")
 
 
+def first_of_line() -> list[Column]:
+    """What makes the earlier of equal lines the greater."""
+    return [-F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")]
+
+
 def faces_of(read) -> DataFrame:
     """Each order's lines as detected faces in a fixed order."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax")
@@ -330,8 +335,9 @@ def similarity_percent(read, spark):
 )
 def largest_face(read, spark):
     """The largest face of each image."""
-    best = faces_of(read).select("l_orderkey", faces.largest(F.col("faces")).alias("f")).where("f is not null")
-    return best.select("l_orderkey", "f.part", F.round(faces.area(F.col("f")), 2).alias("area"), "f.score")
+    area = F.col("l_quantity") * F.col("l_extendedprice")
+    rows = read("lineitem").where(area > 0)
+    return faces.best_rows(rows, "l_orderkey", [area, F.col("l_tax"), *first_of_line()], [F.col("l_partkey").alias("part"), F.round(area, 2).alias("area"), F.col("l_tax").alias("score")])
 
 
 @query(
@@ -341,8 +347,8 @@ def largest_face(read, spark):
         FROM lineitem) WHERE r = 1""",
 )
 def most_confident_face(read, spark):
-    best = faces_of(read).select("l_orderkey", faces.most_confident(F.col("faces")).alias("f"))
-    return best.select("l_orderkey", "f.part", "f.score")
+    values = [F.col("l_partkey").alias("part"), F.col("l_tax").alias("score")]
+    return faces.best_rows(read("lineitem"), "l_orderkey", [F.col("l_tax"), *first_of_line()], values)
 
 
 @query(

@@ -10,7 +10,7 @@ from facelake.config import EngineConfig
 from facelake.functions.strings import person_id
 from facelake.operators.collections import Collection
 from facelake.operators.embed import embed
-from facelake.sources.images import GLOB
+from facelake.sources.images import GLOB, path_of
 
 IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 
@@ -35,7 +35,7 @@ def stream_folder(spark: SparkSession, folder: str, collection: Collection, mode
     """
     files = spark.readStream.format("image").schema(IMAGE).option("dropInvalid", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(folder)
     images = files.select(
-        F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"),
+        path_of(F.col("image.origin")).alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"), F.lit("ok").alias("status"),
     )
 

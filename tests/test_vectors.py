@@ -98,3 +98,45 @@ def test_resize_keeps_constant_images():
     assert (images.resize(np.full((31, 17, 3), 77, np.uint8), 112, 112) == 77).all()
     assert images.to_tensor(np.zeros((4, 5, 3), np.uint8)).shape == (3, 4, 5)
 
+
+
+@pytest.mark.parametrize("height,width", [(5, 4), (40, 30), (7, 40)])
+def test_resize_against_loops(height, width):
+    """A triangle filter written out pixel by pixel: as wide as the shrinking, one pixel where an image grows."""
+    image = RNG.integers(0, 255, (17, 13, 3), dtype=np.uint8)
+
+    def weights(size_in, size_out, i):
+        scale = size_in / size_out
+        reach, centre = max(scale, 1.0), (i + 0.5) * scale
+        w = [max(0.0, 1 - abs(j + 0.5 - centre) / reach) for j in range(size_in)]
+        return [x / sum(w) for x in w]
+
+    got = images.resize(image, height, width)
+    for y in range(height):
+        rows = weights(17, height, y)
+        for x in range(width):
+            columns = weights(13, width, x)
+            want = sum(rows[j] * columns[i] * image[j, i].astype(float) for j in range(17) for i in range(13) if rows[j] and columns[i])
+            assert np.abs(got[y, x] - want).max() <= 0.5 + 1e-6
+
+
+def test_warp_against_loops():
+    """Bilinear sampling at the place that the similarity's inverse gives, black outside."""
+    image = RNG.integers(0, 255, (20, 24, 3), dtype=np.uint8)
+    source = np.array([[4.0, 5.0], [15.0, 6.0], [9.0, 12.0], [6.0, 16.0], [14.0, 15.0]])
+    matrix = images.fit_similarity(source, np.array(faces.reference_points(112)) / 7)
+    got, inverse = images.warp(image, matrix, 16), np.linalg.inv(np.vstack([matrix, [0, 0, 1]]))
+
+    def pixel(y, x):
+        return image[y, x].astype(float) if 0 <= y < 20 and 0 <= x < 24 else np.zeros(3)
+
+    for y in range(16):
+        for x in range(16):
+            u, v, _ = inverse @ [x, y, 1]
+            if not (-1 < u < 24 and -1 < v < 20):
+                assert (got[y, x] == 0).all()
+                continue
+            i, j = int(np.floor(u)), int(np.floor(v))
+            du, dv = u - i, v - j
+            want = (pixel(j, i) * (1 - du) + pixel(j, i + 1) * du) * (1 - dv) + (pixel(j + 1, i) * (1 - du) + pixel(j + 1, i + 1) * du) * dv
+            assert np.abs(got[y, x] - want).max() <= 0.5 + 1e-6
