@@ -46,7 +46,7 @@ SPAN = "array<struct<kind:int,start:int,end:int,value:string,score:double>>"
 #: Documents without evidence that a term's share is drawn by.
 PRIOR = 0.5
 #: Spans are gathered in runs of this length, as a growing array is copied with each value.
-RUN = 512
+RUN = 64
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:
@@ -206,7 +206,9 @@ def find_personal_data(
     texts = some.select("digest", "entities", "terms", "masked")
     told_of = texts.select("digest", F.explode("entities").alias("entity")).join(told.select("entity").distinct(), "entity", "left_semi").distinct()
     told_of = told_of.groupBy("digest").agg(F.collect_set("entity").alias("told"))  # no more than the text has values
-    texts = stored(texts.join(told_of, "digest").dropDuplicates(["digest"]).select("digest", "told", "terms", "masked"), "pii-told-texts")
+    texts = texts.join(told_of, "digest").dropDuplicates(["digest"]).select("digest", "told", "terms", "masked")
+    # few bytes, but much to do for each text
+    texts = stored(texts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "digest"), "pii-told-texts")
     revealed = (
         texts.select("digest", "terms", F.explode("told").alias("entity"))
         .select("digest", "entity", F.explode("terms").alias("term"))
