@@ -1,6 +1,7 @@
 """Plain versions of the operators' results, one document after the other, for small tables."""
 
 import hashlib
+import html
 import re
 import zlib
 from itertools import combinations
@@ -77,6 +78,14 @@ def rules(docs):
     return out
 
 
+def flat_article(page):
+    """The blocks of a page whose article has no elements but headings, paragraphs, bold text and line breaks."""
+    inner = re.search(r"<article>(.*)</article>", page or "", re.S)
+    blocks = re.split(r"</?(?:p|h1)>", inner[1]) if inner else []
+    texts = (" ".join(html.unescape(re.sub(r"</?b>", "", b).replace("<br>", " ")).split()) for b in blocks)
+    return "\n".join(t for t in texts if t)
+
+
 def luhn(digits):
     return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
 

@@ -89,8 +89,10 @@ def test_quality(spark):
     assert sum(g < 0.6 for g in good) >= 0.95 * len(good)
 
 
-def test_pages(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet").count()
-    found = queries.op10_html_text(spark, SF).collect()
-    assert len(found) == pages
-    assert all(len(r.text) == r.n_chars and not any(line != " ".join(line.split()) or not line for line in r.text.split("\n") if r.text) for r in found)
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_pages(spark, sf):
+    """The generated pages hold their article in one flat element."""
+    want = {r.page_id: brute.flat_article(r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    found = queries.op10_html_text(spark, sf).collect()
+    assert {r.page_id: r.text for r in found} == want and len(found) == len(want)
+    assert all(len(r.text) == r.n_chars for r in found)
