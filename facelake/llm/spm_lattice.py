@@ -228,7 +228,7 @@ class PieceIds(dict):
         new = list({w for w in [*words, *blanks] if w not in self})
         self.update(zip(new, self._fold(new), strict=True))
         firsts = [i for i, w in enumerate(words) if w[0] == BLANK]
-        for chunk, a, b in zip(chunks, firsts, [*firsts[1:], len(words)], strict=True):
+        for chunk, a, b in zip(chunks, firsts, [*firsts, len(words)][1:], strict=True):
             if b > a + 1:
                 self[chunk] = b"".join(map(self.__getitem__, words[a:b]))
 
