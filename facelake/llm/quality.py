@@ -45,7 +45,7 @@ _ASCII_LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <=
 
 
 def _hashed(names) -> np.ndarray:
-    return np.fromiter(map(crc32, names), np.int64) & (SIZE - 1)
+    return np.unique(np.fromiter(map(crc32, names), np.int64) & (SIZE - 1))
 
 
 def text_features(text: bytes) -> np.ndarray:
@@ -167,7 +167,7 @@ def _stored_features(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            both = [tuple(np.unique(x).astype("<u4").tobytes() for x in f) for f in _features(batch)]
+            both = [tuple(x.astype("<u4").tobytes() for x in f) for f in _features(batch)]
             new = [pa.array([x[i] for x in both], pa.binary()) for i in range(2)]
             yield pa.record_batch([*(batch.column(i) for i in range(3)), *new], names=["id", "bad", "held", "text", "meta"])
 
