@@ -105,6 +105,27 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facelake.llm import centroids
+
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed="3")
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facelake.llm import whitening
+
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), k=8, scale=1024, shift=100_000)
+    return found.select(F.col("id").alias("vec_id"), "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facelake.llm import cuckoo
+
+    found = cuckoo.deduplicate(table(spark, sf_dir, "documents"), scratch(spark, "digest-index"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_sentencepiece": op2_sentencepiece,
@@ -116,6 +137,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_simhash": op9_simhash,
     "op10_html_text": op10_html_text,
+    "op11_centroids": op11_centroids,
+    "op12_whitening": op12_whitening,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BENCH_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -134,6 +158,11 @@ ORACLE_SQL: dict[str, str] = {
     SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
         sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op13_exact_dedup": r"""
+    WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+    SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+    FROM d WINDOW same AS (PARTITION BY text_sha256)""",
     "op6_rules": rf"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
