@@ -23,7 +23,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-tta", action="store_true")
     p.add_argument("--batch-size", type=int, default=50, help="images that go through the network at once")
     p.add_argument("--no-face-detection", action="store_true")
-    p.add_argument("--skip-no-face", action="store_true", help="leave out images without a face; else they are embedded whole")
+    p.add_argument("--skip-no-face", action="store_true", help="kept for scripts that give it: images without a face are left out in any case")
+    p.add_argument("--embed-faceless", action="store_true", help="embed images without a face whole")
     p.add_argument("--face-conf", type=float, default=0.35)
     p.add_argument("--select-largest", action=argparse.BooleanOptionalAction, default=True, help="the largest face, else the most confident")
     return p
@@ -49,7 +50,7 @@ def embedded(spark, a: argparse.Namespace, config: EngineConfig, detector=None):
         return embed(images, a.model, config, a.weights, a.batch_size)
     images = detector(images)
     done = embed(images, a.model, config, a.weights, a.batch_size)
-    if a.skip_no_face:
+    if a.skip_no_face or not a.embed_faceless:
         return done
     # without a face the whole image is what is embedded
     faceless = images.join(done.where("status = 'no_face'").select("path"), "path", "left_semi").withColumn("faces", F.lit(None).cast(images.schema["faces"].dataType))

@@ -26,7 +26,6 @@ class EngineConfig:
     confidence: float = 0.35
     select_largest: bool = True
     image_size: int = 112
-    max_batch: int = 100
     max_upload_bytes: int = 50 << 20
     extensions: tuple[str, ...] = ("png", "jpg", "jpeg", "bmp", "tiff")
 

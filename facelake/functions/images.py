@@ -18,10 +18,15 @@ def _triangle(size_in: int, size_out: int) -> np.ndarray:
     return weights / weights.sum(axis=1, keepdims=True)
 
 
+def whole(values: np.ndarray) -> np.ndarray:
+    """Pixel values as bytes: the nearest, halves to the even one, whatever the last digits of the sums."""
+    return np.clip(np.rint(np.round(values, 6)), 0, 255).astype(np.uint8)
+
+
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     rows, columns = _triangle(image.shape[0], height), _triangle(image.shape[1], width)
     out = np.einsum("hy,yxc,wx->hwc", rows, image.astype(np.float64), columns, optimize=True)
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    return whole(out)
 
 
 def flip(image: np.ndarray) -> np.ndarray:
@@ -55,7 +60,7 @@ def warp(image: np.ndarray, matrix: np.ndarray, size: int) -> np.ndarray:
     du, dv = (u - left)[..., None], (v - top)[..., None]
     upper = padded[top, left] * (1 - du) + padded[top, left + 1] * du
     lower = padded[top + 1, left] * (1 - du) + padded[top + 1, left + 1] * du
-    return np.clip(np.rint(upper * (1 - dv) + lower * dv), 0, 255).astype(np.uint8)
+    return whole(upper * (1 - dv) + lower * dv)
 
 
 def from_row(height: int, width: int, channels: int, data: bytes) -> np.ndarray:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facelake.functions.filters import condition
+from facelake.operators.ledger import Ledger
 from facelake.operators.search import FIELDS, search
 from facelake.session import stored
 
@@ -25,23 +28,8 @@ LIMITS = {"person_id": 256, "image_path": 512, "created_at": 32}
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
-def condition(expression: str) -> Column:
-    """A filter of the vector database's language as a column; anything else in it is SQL."""
-    parts = re.split(r"(\"[^\"]*\"|'[^']*')", expression)
-    for i, part in enumerate(parts):
-        if i % 2:
-            parts[i] = "'" + part[1:-1].replace("\\", "\\\\").replace("'", "\\'") + "'"
-        else:
-            part = part.replace("==", "=").replace("&&", " and ").replace("||", " or ")
-            parts[i] = part.replace("[", "(").replace("]", ")")
-    return F.expr("".join(parts))
-
-
 class Collection:
-    """A table with the columns of SCHEMA and vectors of one length.
-
-    Ids follow on from the greatest one, so one writer at a time appends.
-    """
+    """A table with the columns of SCHEMA and vectors of one length. Ids follow on from the greatest one."""
 
     def __init__(self, spark: SparkSession, name: str, dim: int, create: bool = True):
         self.spark, self.name, self.dim = spark, name, dim
@@ -70,32 +58,60 @@ class Collection:
         self.spark.catalog.refreshTable(self.name)
         return self
 
-    def insert(self, rows: DataFrame) -> int:
+    def location(self) -> str:
+        """The table's folder."""
+        return self.spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Location'").first()["data_type"].rstrip("/")
+
+    def ledger(self) -> Ledger:
+        """The table's commit files, in a folder that its readers pass over."""
+        return Ledger(self.spark, f"{self.location()}/_ledger")
+
+    def insert(self, rows: DataFrame, key: str | None = None) -> int:
         """Appends rows (embedding, person_id, image_path) and returns their number.
 
-        One timestamp for the call; missing names become "None"; a vector of another length is an error.
+        One timestamp for the call; missing names become "None"; a vector of another length or a name beyond its limit is
+        an error. Ids are consecutive and reserved, so that several writers may append at a time. A call with the key of
+        one that has been completed appends nothing and returns 0; what a lost call with the key has left is removed.
         """
-        self.spark.catalog.refreshTable(self.name)  # another session may have appended
-        offset = self.read().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        ledger, table = self.ledger(), self.location()
+        prefix = f"batch-{hashlib.sha256(key.encode()).hexdigest()[:32]}-" if key else f"rows-{uuid.uuid4().hex}-"
+        if key and ledger.done(key) is not None:
+            return 0
+        if key:
+            for old in ledger.fs.globStatus(ledger.jvm.org.apache.hadoop.fs.Path(f"{table}/{prefix}*")):
+                ledger.fs.delete(old.getPath(), False)
         now = self.spark.sql(f"SELECT date_format(current_timestamp(), '{STAMP}')").first()[0]
         vector = F.when(F.size("embedding") == self.dim, F.col("embedding").cast("array<float>")).otherwise(
             F.raise_error(F.lit(f"a vector does not have {self.dim} values"))
         )
 
         def name(column: str) -> Column:
-            return F.coalesce(F.col(column).cast("string"), F.lit("None")).alias(column)
+            text = F.coalesce(F.col(column).cast("string"), F.lit("None"))
+            return F.when(F.length(text) <= LIMITS[column], text).otherwise(F.raise_error(F.lit(f"{column} exceeds {LIMITS[column]} characters"))).alias(column)
 
         # consecutive ids need one place per row: numbered inside partitions, shifted by the rows before; written
         # first, so that whatever made the rows runs once and both passes see the same partitions
         placed = rows.select(vector.alias("embedding"), name("person_id"), name("image_path"), F.monotonically_increasing_id().alias("place"))
         placed = stored(placed, "insert")
-        seen = Observation()
-        numbered = numbered_rows(placed, "place").select(
-            (F.col("number") + F.lit(offset)).alias("id"), "embedding", "person_id", "image_path", F.lit(now).alias("created_at")
-        )
-        numbered.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").insertInto(self.name)
+        n = placed.count()
+        if n:
+            self.spark.catalog.refreshTable(self.name)  # another session may have appended
+            offset = ledger.reserve(n, self.read().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+            numbered = numbered_rows(placed, "place").select(
+                (F.col("number") + F.lit(offset)).alias("id"), "embedding", "person_id", "image_path", F.lit(now).alias("created_at")
+            )
+            # written apart and moved into the table, since writers of one folder would clear each other's files away
+            staged = f"{table}/_staged-{uuid.uuid4().hex}"
+            numbered.write.parquet(staged)
+            path = ledger.jvm.org.apache.hadoop.fs.Path
+            for file in ledger.fs.globStatus(path(f"{staged}/part-*")):
+                if not ledger.fs.rename(file.getPath(), path(f"{table}/{prefix}{file.getPath().getName()}")):
+                    raise OSError(f"{file.getPath()} cannot be moved into {self.name}")
+            ledger.fs.delete(path(staged), True)
+        if key:
+            ledger.finish(key, n)
         self.spark.catalog.refreshTable(self.name)
-        return int(seen.get["n"])
+        return n
 
     def insert_single(self, embedding: Sequence[float], person_id: str, image_path: str) -> int:
         row = self.spark.createDataFrame([(list(map(float, embedding)), person_id, image_path)], "embedding array<float>, person_id string, image_path string")

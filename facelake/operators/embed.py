@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +25,18 @@ def select_face(rows: DataFrame, config: EngineConfig) -> DataFrame:
     return with_face.withColumn("status", F.when(missing, "no_face").otherwise(F.col("status")))
 
 
-def tensors(images: DataFrame, size: int) -> DataFrame:
-    """images (.., height, width, channels, data, status) with `tensor`, channels first, in place of the image; null
-    where it cannot be decoded."""
-    keep = [c for c in images.columns if c not in ("data", "height", "width", "channels", "tensor")]
-    rows = images.select(F.struct(*keep).alias("row"), "height", "width", "channels", "data", "status")
+def tensors(images: DataFrame, size: int, landmarks: str | None = None) -> DataFrame:
+    """images (.., height, width, channels, data, status) with `tensor`, channels first, and `was_aligned` in place of the
+    image; a null tensor and decode_error where it cannot be decoded.
+
+    landmarks: a column of five points that are moved to a face's reference points; where it is null, or its points
+    coincide, the whole image is resized.
+    """
+    keep = [c for c in images.columns if c not in ("data", "height", "width", "channels", "tensor", "was_aligned", "status")]
+    marks = F.col(landmarks) if landmarks else F.lit(None).cast("array<array<double>>")
+    # an empty struct cannot be sent, so the status goes along
+    rows = images.select(F.struct(*keep, "status").alias("row"), "height", "width", "channels", "data", marks.alias("marks"), "status")
+    reference = np.array(faces.reference_points(size))
 
     def run(batches):
         import pyarrow as pa
@@ -36,17 +44,54 @@ def tensors(images: DataFrame, size: int) -> DataFrame:
         from facelake.functions import images as im
 
         for batch in batches:
-            out = []
-            for height, width, channels, data, status in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                try:
-                    image = im.from_row(height, width, channels, data) if status == "ok" else None
-                    out.append(None if image is None else im.to_tensor(image if image.shape[:2] == (size, size) else im.resize(image, size, size)).ravel().tolist())
-                except (ValueError, IndexError, TypeError):
-                    out.append(None)
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.float32()))], names=["row", "tensor"])
+            out, aligned, states = [], [], []
+            for height, width, channels, data, points, status in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
+                tensor, moved = None, False
+                if status == "ok":
+                    try:
+                        image = im.from_row(height, width, channels, data)
+                        matrix = im.fit_similarity(np.array(points, float), reference) if points else None
+                        moved = matrix is not None and bool(np.isfinite(matrix).all())
+                        if moved:
+                            image = im.warp(image, matrix, size)
+                        elif image.shape[:2] != (size, size):
+                            image = im.resize(image, size, size)
+                        tensor = im.to_tensor(image).ravel()
+                    except (ValueError, IndexError, TypeError, np.linalg.LinAlgError):
+                        status, moved = "decode_error", False
+                out.append(tensor)
+                aligned.append(moved)
+                states.append(status)
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.float32())), pa.array(aligned, pa.bool_()), pa.array(states, pa.string())], names=["row", "tensor", "was_aligned", "status"])
+
+    schema = T.StructType([
+        T.StructField("row", rows.schema["row"].dataType), T.StructField("tensor", T.ArrayType(T.FloatType())),
+        T.StructField("was_aligned", T.BooleanType()), T.StructField("status", T.StringType()),
+    ])
+    return rows.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in keep], "status", "tensor", "was_aligned")
+
+
+def embedder(context, model: str, weights: str, size: int, use_tta: bool, batch: int):
+    """Spark's batched inference of a registered model: a column function of tensors, null where the tensor is.
+
+    A worker builds the model once. With test-time augmentation the mirrored image goes through it as well, and its
+    vector follows the image's.
+    """
+    build = REGISTRY.builder(context, model, weights)
+
+    def make_predict():
+        network = build()
 
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("tensor", T.ArrayType(T.FloatType()))])
-    return rows.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in keep], "tensor")
+        def predict(x: np.ndarray) -> np.ndarray:
+            found = network(x)
+            both = np.concatenate([found, network(np.ascontiguousarray(x[..., ::-1]))], axis=1) if use_tta else found
+            return both.astype(np.float32)
+
+        return predict
+
+    run = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=[[3, size, size]])
+    blank = F.array_repeat(F.lit(0.0).cast("float"), 3 * size * size)  # inference takes no nulls
+    return lambda tensor: F.when(tensor.isNotNull(), run(F.coalesce(tensor, blank)))
 
 
 def embed(images: DataFrame, model: str, config: EngineConfig, weights: str = "", batch: int = 64) -> DataFrame:
@@ -54,54 +99,14 @@ def embed(images: DataFrame, model: str, config: EngineConfig, weights: str = ""
     face that was taken (`face_box`, `face_score`) of `num_faces`.
 
     Rows whose status is not ok keep a null embedding; a bad image never ends the job, an unknown model does
-    before it starts. Images are decoded once, and the flipped ones go through the network in the same batch.
+    before it starts. Images are decoded once.
     """
     rows = select_face(images, config)
-    size, use_tta = config.image_size, config.use_tta
-    reference = np.array(faces.reference_points(size))
-    keep = [c for c in rows.columns if c not in ("data", "faces", "face", "embedding", "was_aligned")]
-    maker = REGISTRY.maker(model)  # sent along, since a worker imports its own registry
-    rows = rows.withColumns({"face_box": F.col("face.box"), "face_score": F.col("face.score")})
-    keep += [c for c in ("face_box", "face_score") if c not in keep]
-    slim = rows.select(F.struct(*keep).alias("row"), "data", F.col("face.landmarks").alias("landmarks"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        from facelake.functions import images as im
-        from facelake.functions.layers import loaded
-
-        network = loaded(model, weights, maker)
-        for record in batches:
-            rows, data, marks = (record.column(i).to_pylist() for i in range(3))
-            out: list[list[float] | None] = [None] * len(rows)
-            aligned = [False] * len(rows)
-            status = [r["status"] for r in rows]
-            for first in range(0, len(rows), batch):
-                tensors, places = [], []
-                for i in range(first, min(first + batch, len(rows))):
-                    if status[i] != "ok":
-                        continue
-                    try:
-                        image = im.from_row(rows[i]["height"], rows[i]["width"], rows[i]["channels"], data[i])
-                        matrix = im.fit_similarity(np.array(marks[i], float), reference) if marks[i] else None
-                        aligned[i] = matrix is not None and bool(np.isfinite(matrix).all())
-                        face = im.warp(image, matrix, size) if aligned[i] else im.resize(image, size, size)
-                    except (ValueError, IndexError, np.linalg.LinAlgError):
-                        status[i], aligned[i] = "decode_error", False
-                        continue
-                    tensors += [im.to_tensor(face), im.to_tensor(im.flip(face))] if use_tta else [im.to_tensor(face)]
-                    places.append(i)
-                if places:
-                    vectors = network(np.stack(tensors)).reshape(len(places), -1)
-                    for i, v in zip(places, vectors, strict=True):
-                        out[i] = v.astype(np.float32).tolist()
-            yield pa.record_batch([record.column(0), pa.array(out, pa.list_(pa.float32())), pa.array(aligned), pa.array(status)], names=["row", "embedding", "was_aligned", "status"])
-
-    schema = T.StructType([
-        T.StructField("row", slim.schema["row"].dataType), T.StructField("embedding", T.ArrayType(T.FloatType())),
-        T.StructField("was_aligned", T.BooleanType()), T.StructField("status", T.StringType()),
-    ])
-    done = slim.mapInArrow(run, schema)
-    fields = [F.col("row").getField(c).alias(c) for c in keep if c != "status"]
-    return done.select(*fields, "embedding", "was_aligned", "status")
+    network = embedder(images.sparkSession.sparkContext, model, weights, config.image_size, config.use_tta, batch)
+    rows = rows.withColumns({"face_box": F.col("face.box"), "face_score": F.col("face.score"), "landmarks": F.col("face.landmarks")})
+    shaped = rows.select(*[c for c in rows.columns if c not in ("faces", "face", "embedding", "was_aligned")])
+    sized = ("height", "width", "channels")
+    kept = shaped.withColumn("shape", F.struct(*sized))
+    done = tensors(kept, config.image_size, "landmarks")
+    fields = [F.col("shape").getField(c).alias(c) if c in sized else F.col(c) for c in shaped.columns if c not in ("data", "landmarks", "status")]
+    return done.select(*fields, network(F.col("tensor")).alias("embedding"), "was_aligned", "status")

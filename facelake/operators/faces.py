@@ -14,13 +14,6 @@ FACE = T.StructType([
 ])
 
 
-def arrow_face():
-    """FACE as an Arrow type."""
-    import pyarrow as pa
-
-    return pa.struct([("box", pa.list_(pa.float64())), ("landmarks", pa.list_(pa.list_(pa.float64()))), ("score", pa.float64())])
-
-
 #: The five reference landmarks of a 112 x 112 face.
 REFERENCE = ((38.2946, 51.6963), (73.5318, 51.5014), (56.0252, 71.7366), (41.5493, 92.3655), (70.7299, 92.2041))
 
@@ -81,6 +74,14 @@ def reference_points(size: int) -> list[tuple[float, float]]:
     return [(x * ratio + shift, y * ratio) for x, y in REFERENCE]
 
 
+def reference_array(size: Column) -> Column:
+    """reference_points of a size that is a column: an array of five (x, y)."""
+    wide = (size % 112 != 0) & (size % 128 == 0)
+    ratio = F.when(wide, size / 128.0).otherwise(size / 112.0)
+    shift = F.when(wide, F.lit(8.0)).otherwise(F.lit(0.0)) * size / 128.0
+    return F.array(*[F.array(x * ratio + shift, y * ratio) for x, y in REFERENCE])
+
+
 def fit_similarity(points: DataFrame, key: str, x: str, y: str, u: str, v: str) -> DataFrame:
     """(key, n, a, b, tx, ty): the similarity [[a, -b, tx], [b, a, ty]] that maps (x, y) to (u, v) best.
 
@@ -125,27 +126,6 @@ def explode_faces(images: DataFrame, confidence: float = 0.0) -> DataFrame:
     return rows.select(*rest, "face_no", "f.box", area(F.col("f")).alias("area"), "f.landmarks", "f.score")
 
 
-def bright_detector(images: DataFrame, least: float = 0.3) -> DataFrame:
-    """images with `faces`, a detector backend without weights: an image whose mean brightness is `least` of the
-    greatest or more is one face of its own size, scored by the brightness."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n in ("height", "width", "data", "status")}
-            out = []
-            for height, width, data, status in zip(col["height"], col["width"], col["data"], col["status"], strict=True):
-                score = float(np.frombuffer(data, np.uint8).mean()) / 255 if status == "ok" and data else 0.0
-                marks = [[x * width / 112, y * height / 112] for x, y in REFERENCE]
-                out.append([{"box": [0.0, 0.0, float(width), float(height)], "landmarks": marks, "score": score}] if score >= least else [])
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.list_(arrow_face()))], names=[*batch.schema.names, "faces"])
-
-    schema = T.StructType([*images.drop("faces").schema.fields, T.StructField("faces", T.ArrayType(FACE))])
-    return images.drop("faces").mapInArrow(run, schema)
-
-
 def landmark_points(values: Column) -> Column:
     """The first ten numbers of a flat array as five points."""
     first = F.slice(values, 1, 10)

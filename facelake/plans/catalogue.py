@@ -14,7 +14,7 @@ from facelake.functions import strings, vectors
 from facelake.operators import faces
 from facelake.operators.collections import STAMP, condition
 from facelake.operators.search import search, search_many
-from facelake.session import ship
+from facelake.session import ship, stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -190,7 +190,7 @@ def insert_zip_shortest(read, spark):
         from facelake.operators.collections import numbered_rows
 
         rows = read(table).select(*columns).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-        return numbered_rows(rows.withColumn("at", F.monotonically_increasing_id()), "at").drop("at")
+        return numbered_rows(stored(rows.withColumn("at", F.monotonically_increasing_id()), "placed"), "at").drop("at")
 
     docs, labels = placed("documents", "doc_id"), placed("labels", "doc_id", "quality").drop("doc_id")
     return docs.join(labels, "number").select(
@@ -209,7 +209,7 @@ def insert_auto_id(read, spark):
 
     e = read("embeddings").select("vec_id", "label")
     new = e.where("label < 3").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    numbered = numbered_rows(new.withColumn("at", F.monotonically_increasing_id()), "at")
+    numbered = numbered_rows(stored(new.withColumn("at", F.monotonically_increasing_id()), "placed"), "at")
     top = e.agg(F.max("vec_id").alias("top"))  # one row
     added = numbered.join(F.broadcast(top)).select((F.col("top") + F.col("number")).alias("id"), F.col("label").alias("person_id"))
     return e.select(F.col("vec_id").alias("id"), F.col("label").alias("person_id")).unionByName(added)
@@ -230,7 +230,7 @@ def ingest_batches(read, spark):
     from facelake.operators.collections import numbered_rows
 
     e = read("embeddings").select("vec_id").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    rows = numbered_rows(e.withColumn("at", F.monotonically_increasing_id()), "at")
+    rows = numbered_rows(stored(e.withColumn("at", F.monotonically_increasing_id()), "placed"), "at")
     batches = rows.groupBy(F.floor((F.col("number") - 1) / 50).cast("bigint").alias("batch")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.max("number").alias("total"))
     return batches.select("batch", "n", "first_id", "total")
 
@@ -389,13 +389,14 @@ def similarity_fit(read, spark):
 @query(
     "reference_points",
     """WITH r(i, x, y) AS (VALUES (0, 38.2946, 51.6963), (1, 73.5318, 51.5014), (2, 56.0252, 71.7366), (3, 41.5493, 92.3655), (4, 70.7299, 92.2041)),
-    s(size) AS (VALUES (112), (224), (128), (256), (100))
-    SELECT size, i AS point, round(CASE WHEN size % 112 <> 0 AND size % 128 = 0 THEN (x::double + 8) * size / 128 ELSE x::double * size / 112 END, 4) AS x,
+    s AS (SELECT p_partkey, p_size * 16 AS size FROM part)
+    SELECT p_partkey, i AS point, round(CASE WHEN size % 112 <> 0 AND size % 128 = 0 THEN (x::double + 8) * size / 128 ELSE x::double * size / 112 END, 4) AS x,
         round(CASE WHEN size % 112 <> 0 AND size % 128 = 0 THEN y::double * size / 128 ELSE y::double * size / 112 END, 4) AS y FROM r, s""",
 )
 def reference_points(read, spark):
-    rows = [(size, i, float(x), float(y)) for size in (112, 224, 128, 256, 100) for i, (x, y) in enumerate(faces.reference_points(size))]
-    return spark.createDataFrame(rows, "size int, point int, x double, y double").select("size", "point", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    """A face's reference points in an image of each part's size."""
+    points = F.posexplode(faces.reference_array(F.col("p_size") * 16)).alias("point", "at")
+    return read("part").select("p_partkey", points).select("p_partkey", "point", *[F.round(F.get("at", F.lit(i)), 4).alias(n) for i, n in enumerate("xy")])
 
 
 @query(
@@ -505,16 +506,157 @@ def tta_halves_topk(read, spark):
     return found.select(F.col("vec_id").alias("id"), F.round("s", 6).alias("distance"))
 
 
+def found_sql(candidates: str, confidence: float) -> str:
+    """SQL for kept(o, faces) from candidates (o, h, w, place, prior, score, loc, marks): decoding and greedy suppression, a
+    candidate at a time. To be used behind WITH RECURSIVE."""
+    both = "greatest(0, least(f.x1, k.x1) - greatest(f.x0, k.x0) + 1) * greatest(0, least(f.y1, k.y1) - greatest(f.y0, k.y0) + 1)"
+    one, other = ("(%s.x1 - %s.x0 + 1) * (%s.y1 - %s.y0 + 1)" % ((n,) * 4) for n in "fk")
+    return f"""c AS ({candidates}),
+    levels AS (SELECT *, ceil(w / 8)::bigint AS c1, ceil(w / 16)::bigint AS c2, ceil(w / 32)::bigint AS c3 FROM c),
+    counts AS (SELECT *, ceil(h / 8)::bigint * c1 * 2 AS n1, ceil(h / 16)::bigint * c2 * 2 AS n2, ceil(h / 32)::bigint * c3 * 2 AS n3 FROM levels),
+    spots AS (SELECT *, CASE WHEN prior < n1 THEN prior WHEN prior < n1 + n2 THEN prior - n1 ELSE prior - n1 - n2 END AS i,
+        CASE WHEN prior < n1 THEN 8 WHEN prior < n1 + n2 THEN 16 ELSE 32 END AS stride,
+        CASE WHEN prior < n1 THEN c1 WHEN prior < n1 + n2 THEN c2 ELSE c3 END AS columns,
+        CASE WHEN prior < n1 THEN 16 WHEN prior < n1 + n2 THEN 64 ELSE 256 END AS least
+        FROM counts WHERE prior >= 0 AND prior < n1 + n2 + n3 AND score >= {confidence}),
+    priors AS (SELECT *, (i // 2 % columns + 0.5) * stride / w AS cx, (i // 2 // columns + 0.5) * stride / h AS cy,
+        least * (1 + i % 2) / w::double AS pw, least * (1 + i % 2) / h::double AS ph FROM spots),
+    sized AS (SELECT *, cx + loc[1] * 0.1::double * pw AS x, cy + loc[2] * 0.1::double * ph AS y, pw * exp(loc[3] * 0.2::double) AS bw, ph * exp(loc[4] * 0.2::double) AS bh FROM priors),
+    k AS (SELECT o, score, (x - bw / 2) * w AS x0, (y - bh / 2) * h AS y0, (x + bw / 2) * w AS x1, (y + bh / 2) * h AS y1,
+        (cx + marks[1] * 0.1::double * pw) * w AS eye, row_number() OVER (PARTITION BY o ORDER BY score DESC, place, prior, loc, marks) AS r FROM sized),
+    steps(o, r, faces) AS (
+        SELECT DISTINCT o, 0::bigint, []::STRUCT(x0 double, y0 double, x1 double, y1 double, score double, eye double)[] FROM k UNION ALL
+        SELECT k.o, k.r, CASE WHEN len(list_filter(faces, lambda f: ({both}) / ({one} + {other} - ({both})) > 0.4)) > 0 THEN faces
+            ELSE list_append(faces, {{'x0': k.x0, 'y0': k.y0, 'x1': k.x1, 'y1': k.y1, 'score': k.score, 'eye': k.eye}}) END
+        FROM steps JOIN k ON k.o = steps.o AND k.r = steps.r + 1),
+    kept AS (SELECT o, arg_max(faces, r) AS faces FROM steps GROUP BY o),
+    faces AS (SELECT o, f.i - 1 AS face_no, faces[f.i] AS f FROM kept, (SELECT unnest(range(1, 1000)) AS i) f WHERE f.i <= len(faces))"""
+
+
+#: An image of 64 x 64 or 64 x 96 for each order, with a detector's raw outputs in its lines.
+LINES_SQL = """SELECT l_orderkey AS o, 64::double AS h, 64::double + 32 * (l_orderkey % 2) AS w, l_linenumber AS place,
+    (l_orderkey * 31 + l_linenumber % 3) % 260 AS prior, (l_suppkey % 50) / 50::double AS score,
+    [l_discount * 20 - 1, l_tax * 20 - 0.8, l_quantity / 10 - 2.5, l_discount * l_quantity / 2]::double[] AS loc,
+    [l_tax * 10, l_discount * 10, l_tax * 20, l_discount * 20, l_tax * 30, l_discount * 30, l_tax * 40, l_discount * 40, l_tax * 50, l_discount * 50]::double[] AS marks
+    FROM lineitem"""
+
+
+@query(
+    "detect_raw_outputs",
+    f"""WITH RECURSIVE {found_sql(LINES_SQL, 0.1)}
+    SELECT o AS l_orderkey, face_no::int AS face_no, round(f.x0, 4) + 0.0 AS x0, round(f.y0, 4) + 0.0 AS y0, round(f.x1, 4) + 0.0 AS x1,
+        round(f.y1, 4) + 0.0 AS y1, f.score AS score, round(f.eye, 4) + 0.0 AS eye FROM faces""",
+)
+def detect_raw_outputs(read, spark):
+    """Boxes, scores and a landmark of each image's faces from a table of a detector's raw outputs."""
+    from facelake.operators.detection import detect
+
+    d, t, q = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
+    candidate = F.struct(
+        F.col("l_linenumber").alias("place"), ((F.col("l_orderkey") * 31 + F.col("l_linenumber") % 3) % 260).alias("prior"),
+        ((F.col("l_suppkey") % 50) / 50).alias("score"), F.array(d * 20 - 1, t * 20 - 0.8, q / 10 - 2.5, d * q / 2).alias("loc"),
+        F.array(*[x * 10 * i for i in range(1, 6) for x in (t, d)]).alias("marks"),
+    )
+    images = read("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(candidate)).alias("found"))
+    width = F.lit(64.0) + 32 * (F.col("l_orderkey") % 2)
+    found = images.select("l_orderkey", detect(F.col("found"), F.lit(64.0), width, 0.1).alias("faces"))
+    rows = found.select("l_orderkey", F.posexplode("faces").alias("face_no", "f"))
+    corner = [(F.round(F.get("f.box", F.lit(i)), 4) + 0.0).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
+    return rows.select("l_orderkey", "face_no", *corner, F.col("f.score").alias("score"), (F.round(F.get(F.get("f.landmarks", F.lit(0)), F.lit(0)), 4) + 0.0).alias("eye"))
+
+
+def raw_outputs(images: DataFrame) -> DataFrame:
+    """images (.., embedding) with `faces`: each sixteen numbers of a vector are the outputs for one of the first four priors."""
+    from facelake.operators.detection import candidates, detect
+
+    def part(first: int, size: int) -> Column:
+        return F.flatten(F.array(*[F.slice("embedding", 16 * i + first, size) for i in range(4)]))
+
+    scores = F.transform(part(15, 1), lambda x: (x.cast("double") + 1) / 2)
+    found = candidates(part(1, 4), scores, part(5, 10), 0.3)
+    return images.withColumn("faces", detect(found, F.lit(8.0), F.lit(8.0), 0.3)).drop("embedding")
+
+
+VECTORS_SQL = """SELECT vec_id AS o, 8::double AS h, 8::double AS w, i AS place, i AS prior, (embedding[16 * i + 15]::double + 1) / 2 AS score,
+    embedding[16 * i + 1:16 * i + 4]::double[] AS loc, embedding[16 * i + 5:16 * i + 14]::double[] AS marks
+    FROM embeddings, (SELECT unnest(range(4)) AS i)"""
+
+
 @query(
     "detect_faces",
-    f"""SELECT vec_id, 0 AS face_no, 64.0::double AS area, round(s, 6) AS score, round(38.2946 * 8 / 112, 6) AS eye FROM
-    (SELECT vec_id, list_sum(list_transform(embedding, lambda x: floor((x + 1) * 127)::double)) / 64 / 255 AS s FROM embeddings) WHERE s >= 0.5""",
+    f"""WITH RECURSIVE {found_sql(VECTORS_SQL, 0.3)}
+    SELECT o AS vec_id, face_no::int AS face_no, round((f.x1 - f.x0) * (f.y1 - f.y0), 4) AS area, round(f.score, 6) AS score, round(f.eye, 5) AS eye
+    FROM faces WHERE f.score >= 0.5""",
 )
 def detect_faces(read, spark):
-    """All faces that a detector backend finds, one row each."""
-    found = faces.explode_faces(faces.bright_detector(grey_images(read), 0.3), 0.5)
-    eye = F.round(F.get(F.get("landmarks", F.lit(0)), F.lit(0)), 6)
-    return found.select("vec_id", "face_no", "area", F.round("score", 6).alias("score"), eye.alias("eye"))
+    """All faces that a detector's outputs hold, one row each."""
+    found = faces.explode_faces(raw_outputs(grey_images(read)), 0.5)
+    eye = F.round(F.get(F.get("landmarks", F.lit(0)), F.lit(0)), 5)
+    return found.select("vec_id", "face_no", F.round("area", 4).alias("area"), F.round("score", 6).alias("score"), eye.alias("eye"))
+
+
+def pixels_sql(table: str) -> str:
+    """SQL for (vec_id, total, weighted, low, high) of images in rows (vec_id, p, value)."""
+    return f"""SELECT vec_id, sum(value)::bigint AS total, sum(value * (p % 97))::bigint AS weighted, min(value)::int AS low, max(value)::int AS high FROM {table} GROUP BY vec_id"""
+
+
+def pixel_sums(pixels: DataFrame) -> DataFrame:
+    """What pixels_sql tells of images in rows (vec_id, p, value)."""
+    v = F.col("value")
+    return pixels.groupBy("vec_id").agg(
+        F.sum(v).cast("bigint").alias("total"), F.sum(v * (F.col("p") % 97)).cast("bigint").alias("weighted"), F.min(v).cast("int").alias("low"), F.max(v).cast("int").alias("high")
+    )
+
+
+def grey_values(read) -> DataFrame:
+    """(vec_id, embedding, height, width, v): the values of the grey images."""
+    v = F.transform("embedding", lambda x: F.floor((x + 1) * 127))
+    return read("embeddings").select("vec_id", "embedding", F.lit(8).alias("height"), F.lit(8).alias("width"), v.alias("v"))
+
+
+@query(
+    "resize_112",
+    f"""WITH a AS (SELECT i, s, w / sum(w) OVER (PARTITION BY i) AS w FROM (SELECT i, s, greatest(0, 1 - abs(s + 0.5 - (i + 0.5) * 8 / 112)) AS w
+        FROM (SELECT unnest(range(112)) AS i), (SELECT unnest(range(8)) AS s)) WHERE w > 0),
+    v AS (SELECT vec_id, place // 8 AS y, place % 8 AS x, floor((e + 1) * 127) AS value FROM (SELECT vec_id, unnest(range(64)) AS place, unnest(embedding) AS e FROM embeddings)),
+    sums AS (SELECT vec_id, b.i * 112 + c.i AS p, sum(value * b.w * c.w) AS value FROM v JOIN a b ON b.s = y JOIN a c ON c.s = x GROUP BY 1, 2),
+    pixels AS (SELECT vec_id, p, round_even(round(value, 6), 0) AS value FROM sums)
+    {pixels_sql("pixels")}""",
+)
+def resize_112(read, spark):
+    """Each image at 112 x 112: every pixel a weighted sum of its sources."""
+    from facelake.functions.sampling import enlarged
+
+    return pixel_sums(enlarged(grey_values(read).drop("embedding"), 112, 112))
+
+
+@query(
+    "warp_align",
+    f"""WITH marks AS (SELECT vec_id, i, (embedding[2 * i - 1]::double + 1) * 4 AS x, (embedding[2 * i]::double + 1) * 4 AS y,
+        [38.2946, 73.5318, 56.0252, 41.5493, 70.7299][i]::double AS u, [51.6963, 51.5014, 71.7366, 92.3655, 92.2041][i]::double AS v
+        FROM embeddings, (SELECT unnest(range(1, 6)) AS i)),
+    means AS (SELECT vec_id, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM marks GROUP BY vec_id),
+    fit AS (SELECT vec_id, mx, my, mu, mv, sum((x - mx) * (u - mu) + (y - my) * (v - mv)) AS d, sum((x - mx) * (v - mv) - (y - my) * (u - mu)) AS c,
+        sum((x - mx) ** 2 + (y - my) ** 2) AS q FROM marks JOIN means USING (vec_id) GROUP BY ALL),
+    m AS (SELECT vec_id, d / q AS a, c / q AS b, mu - d / q * mx + c / q * my AS tx, mv - c / q * mx - d / q * my AS ty FROM fit),
+    spots AS (SELECT vec_id, p, (a * (p % 112 - tx) + b * (p // 112 - ty)) / (a * a + b * b) AS u, (a * (p // 112 - ty) - b * (p % 112 - tx)) / (a * a + b * b) AS v
+        FROM m, (SELECT unnest(range(12544)) AS p)),
+    near AS (SELECT vec_id, p, greatest(-2, least(9, u)) AS u, greatest(-2, least(9, v)) AS v FROM spots),
+    corner AS (SELECT vec_id, p, floor(u)::int AS x, floor(v)::int AS y, u - floor(u) AS du, v - floor(v) AS dv FROM near),
+    four AS (SELECT vec_id, p, x + i AS x, y + j AS y, CASE i WHEN 0 THEN 1 - du ELSE du END * CASE j WHEN 0 THEN 1 - dv ELSE dv END AS w
+        FROM corner, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j)),
+    sums AS (SELECT vec_id, p, sum(CASE WHEN x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7 THEN w * floor((embedding[y * 8 + x + 1] + 1) * 127) ELSE 0 END) AS value
+        FROM four JOIN embeddings USING (vec_id) GROUP BY 1, 2),
+    pixels AS (SELECT vec_id, p, greatest(0, least(255, round_even(round(value, 6), 0))) AS value FROM sums)
+    {pixels_sql("pixels")}""",
+)
+def warp_align(read, spark):
+    """Each image moved so that its five points come to a face's reference points."""
+    from facelake.functions.sampling import fitted, warped
+
+    points = F.transform(faces.landmark_points(F.col("embedding")), lambda p: F.transform(p, lambda x: (x.cast("double") + 1) * 4))
+    rows = grey_values(read).select("vec_id", "height", "width", "v", fitted(points, faces.reference_points(112)).alias("m"))
+    return pixel_sums(warped(rows, 112))
 
 
 @query(
@@ -533,17 +675,18 @@ def embed_pixels(read, spark):
 
 @query(
     "embed_faces",
-    """SELECT vec_id::varchar AS path, CASE WHEN s >= 0.5 THEN 1 ELSE 0 END AS num_faces, CASE WHEN s >= 0.5 THEN round(s, 6) END AS face_score,
-        s >= 0.5 AS was_aligned, CASE WHEN s >= 0.5 THEN 'ok' ELSE 'no_face' END AS status, CASE WHEN s >= 0.5 THEN 1024 ELSE 0 END::bigint AS dim FROM
-    (SELECT vec_id, list_sum(list_transform(embedding, lambda x: floor((x + 1) * 127)::double)) / 64 / 255 AS s FROM embeddings)""",
+    f"""WITH RECURSIVE {found_sql(VECTORS_SQL, 0.3)},
+    best AS (SELECT vec_id, list_filter(coalesce(faces, []), lambda f: f.score >= 0.5) AS usable FROM embeddings LEFT JOIN kept ON o = vec_id),
+    largest AS (SELECT vec_id, len(usable) AS n, list_sort(list_transform(usable, lambda f: {{'area': (f.x1 - f.x0) * (f.y1 - f.y0), 'score': f.score}}), 'DESC')[1] AS f FROM best)
+    SELECT vec_id::varchar AS path, n::int AS num_faces, round(f.score, 6) AS face_score, n > 0 AS was_aligned, CASE WHEN n > 0 THEN 'ok' ELSE 'no_face' END AS status,
+        CASE WHEN n > 0 THEN 1024 ELSE 0 END::bigint AS dim FROM largest""",
 )
 def embed_faces(read, spark):
     """Detection, alignment and embedding, with what is known of the face that was taken."""
     from facelake.config import EngineConfig
     from facelake.operators.embed import embed
 
-    found = faces.bright_detector(grey_images(read).drop("embedding"), 0.3)
-    done = embed(found, "seeded_projection", EngineConfig(confidence=0.5))
+    done = embed(raw_outputs(grey_images(read)), "seeded_projection", EngineConfig(confidence=0.5))
     dim = F.coalesce(F.size("embedding"), F.lit(0)).cast("bigint")
     return done.select("path", "num_faces", F.round("face_score", 6).alias("face_score"), "was_aligned", "status", dim.alias("dim"))
 
@@ -578,7 +721,19 @@ def attribute_fallback(read, spark):
     return read("customer").select("c_custkey", F.coalesce(first, second, F.lit(1.0)).alias("score"))
 
 
-@query("embed_seeded")
+@query(
+    "embed_seeded",
+    """WITH a AS (SELECT i, s, w / sum(w) OVER (PARTITION BY i) AS w FROM (SELECT i, s, greatest(0, 1 - abs(s + 0.5 - (i + 0.5) * 8 / 112)) AS w
+        FROM (SELECT unnest(range(112)) AS i), (SELECT unnest(range(8)) AS s)) WHERE w > 0),
+    v AS (SELECT vec_id, place // 8 AS y, place % 8 AS x, floor((e + 1) * 127) AS value FROM (SELECT vec_id, unnest(range(64)) AS place, unnest(embedding) AS e FROM embeddings)),
+    sums AS (SELECT vec_id, b.i AS y, c.i AS x, sum(value * b.w * c.w) AS value FROM v JOIN a b ON b.s = y JOIN a c ON c.s = x GROUP BY 1, 2, 3),
+    blocks AS (SELECT vec_id, y // 8 AS r, x // 8 AS q, avg((round_even(round(value, 6), 0) / 255 - 0.5) / 0.5) AS m FROM sums GROUP BY 1, 2, 3),
+    weights AS (SELECT b, j, (sin((b + 1) * (j + 8)) + sin((b + 197) * (j + 8)) + sin((b + 393) * (j + 8))) / 24 AS w
+        FROM (SELECT unnest(range(196)) AS b), (SELECT unnest(range(512)) AS j)),
+    parts AS (SELECT vec_id, k.j AS j, sum(m * k.w) AS plain, sum(m * l.w) AS flipped FROM blocks JOIN weights k ON k.b = r * 14 + q JOIN weights l ON l.b = r * 14 + 13 - q AND l.j = k.j GROUP BY ALL)
+    SELECT vec_id::varchar AS path, 2 * count(*) AS dim, round(sqrt(sum(plain * plain + flipped * flipped)), 3) AS norm, false AS was_aligned, 'ok' AS status
+    FROM parts GROUP BY vec_id""",
+)
 def embed_seeded(read, spark):
     """Synthetic grey images, one for each vector, through resizing, normalising and a fixed projection."""
     from facelake.config import EngineConfig

@@ -50,8 +50,6 @@ class Service:
         """The 400 answer to a request that cannot be served."""
         if not files or not any(name for name, _ in files):
             return {"status": 400, "error": "no image given"}
-        if len(files) > self.config.max_batch:
-            return {"status": 400, "error": f"more than {self.config.max_batch} images"}
         if sum(len(data) for _, data in files) > self.config.max_upload_bytes:
             return {"status": 413, "error": ERRORS[413], "max_size_mb": self.config.max_upload_bytes / (1 << 20)}
         if model not in {m.name for m in self.config.models}:
@@ -61,17 +59,19 @@ class Service:
     def _allowed(self, name: str) -> bool:
         return "." in name and name.rpartition(".")[2].lower() in self.config.extensions
 
-    def _embedded(self, files: list[Upload], model: str) -> list[dict]:
-        """filename, status and embedding of each file, in order."""
+    def _embedded(self, files: list[Upload], model: str, given: bool = False) -> list[dict]:
+        """filename, status and embedding of each file, in order; given: whether the name as it was given tells the
+        extension, or else the safe one."""
         from pyarrow import fs
 
+        kinds = [(name if given else safe_name(name or "")) or "" for name, _ in files]
         files = [(safe_name(name or ""), data) for name, data in files]
         folder = scratch(self.spark, "uploads")
         filesystem, base = fs.FileSystem.from_uri(folder if ":" in folder else Path(folder).absolute().as_uri())
         filesystem.create_dir(base, recursive=True)
-        for i, (name, data) in enumerate(files):
-            if self._allowed(name):
-                with filesystem.open_output_stream(f"{base}/{i:06d}.{name.rpartition('.')[2].lower()}") as out:
+        for i, (kind, (_, data)) in enumerate(zip(kinds, files, strict=True)):
+            if self._allowed(kind):
+                with filesystem.open_output_stream(f"{base}/{i:06d}.{kind.rpartition('.')[2].lower()}") as out:
                     out.write(data)
         images: DataFrame = read_images(self.spark, folder)
         if self.detector and self.config.face_detection:
@@ -96,7 +96,7 @@ class Service:
 
     def models(self) -> dict:
         listed = [
-            {"name": m.name, "collection": m.collection, "embedding_dim": self.config.dim, "weights": m.weights, "weights_exist": bool(m.weights) and Path(m.weights).exists(), "loaded": REGISTRY.is_loaded(m.name)}
+            {"name": m.name, "collection": m.collection, "embedding_dim": self.config.dim, "weights": m.weights, "weights_exist": bool(m.weights) and Path(m.weights).exists(), "loaded": REGISTRY.is_loaded(m.name, self.weights.get(m.name, ""))}
             for m in self.config.models
         ]
         return {"models": listed}
@@ -108,9 +108,9 @@ class Service:
     def embedding(self, file: Upload | None, model: str) -> dict:
         if refused := self._refusal([file] if file else [], model):
             return refused
-        if not self._allowed(safe_name(file[0])):
+        if not self._allowed(file[0]):
             return {"status": 400, "error": "extension not allowed"}
-        row = self._embedded([file], model)[0]
+        row = self._embedded([file], model, given=True)[0]
         if row["status"] != "ok":
             return {"status": 422, "error": ERRORS[422], "message": row["status"]} if row["status"] == "no_face" else {"status": 500, "error": row["status"]}
         return {"status": 200, "success": True, "embedding": row["embedding"], "embedding_dim": len(row["embedding"]), "model": model, "filename": row["filename"]}

@@ -29,9 +29,9 @@ def to_rows(images: DataFrame, base: str, model: str, config: EngineConfig, weig
 def stream_folder(spark: SparkSession, folder: str, collection: Collection, model: str, config: EngineConfig, checkpoint: str, weights: str = "") -> StreamingQuery:
     """Appends each new image below folder once; the checkpoint remembers which were seen.
 
-    A micro-batch that fails after its append can be appended again, as collections are bags. The batch has a
-    session of its own; the collection's session sees the rows once it is refreshed, which the caller's
-    `collection.refreshed()` does.
+    A micro-batch is keyed by the checkpoint and its number, so that one that is run again after its append adds
+    nothing. The batch has a session of its own; the collection's session sees the rows once it is refreshed, which the
+    caller's `collection.refreshed()` does.
     """
     files = spark.readStream.format("image").schema(IMAGE).option("dropInvalid", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(folder)
     images = files.select(
@@ -39,7 +39,7 @@ def stream_folder(spark: SparkSession, folder: str, collection: Collection, mode
         F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"), F.lit("ok").alias("status"),
     )
 
-    def append(batch: DataFrame, _: int) -> None:
-        collection.within(batch.sparkSession).insert(to_rows(batch, folder, model, config, weights))
+    def append(batch: DataFrame, number: int) -> None:
+        collection.within(batch.sparkSession).insert(to_rows(batch, folder, model, config, weights), key=f"{checkpoint} {number}")
 
     return images.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,6 +2,7 @@
 
 import struct
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -120,3 +121,39 @@ def test_config():
     c = EngineConfig.from_env({"USE_TTA": "false", "FACE_DETECTION_CONF_THRESHOLD": "0.5", "EMBEDDING_DIM": "256"})
     assert (c.use_tta, c.confidence, c.dim) == (False, 0.5, 256) and EngineConfig().dim == 1024
     assert CONFIG.collection("nobody") == "face_embeddings"
+
+
+def rows_of(spark, n, name):
+    return spark.range(n).select(F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"), F.lit(name).alias("person_id"), F.col("id").cast("string").alias("image_path"))
+
+
+def test_parallel_inserts(spark):
+    """Several writers at a time get consecutive ids of their own, and lose no rows."""
+    c = Collection(spark, "shared_people", 2)
+    c.recreate()
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda i: c.within(spark.newSession()).insert(rows_of(spark, 10 + i, f"w{i}").repartition(3)), range(6)))
+    assert done == [10 + i for i in range(6)]
+    rows = c.refreshed().read().collect()
+    assert sorted(r.id for r in rows) == list(range(1, sum(done) + 1))
+    for i in range(6):
+        own = sorted(r.id for r in rows if r.person_id == f"w{i}")
+        assert own == list(range(own[0], own[0] + 10 + i))
+    assert c.insert(rows_of(spark, 0, "none")) == 0
+    c.drop()
+
+
+def test_batch_is_appended_once(spark):
+    c = Collection(spark, "keyed_people", 2)
+    c.recreate()
+    assert c.insert(rows_of(spark, 5, "a"), key="stream 1") == 5 and c.insert(rows_of(spark, 5, "a"), key="stream 1") == 0
+    assert c.read().count() == 5
+    # a run that was lost between its rows and its mark is replaced
+    ledger = c.ledger()
+    ledger.fs.delete(ledger._path(ledger._mark("stream 1")), False)
+    assert c.insert(rows_of(spark, 4, "a"), key="stream 1") == 4 and c.read().count() == 4
+    assert c.insert(rows_of(spark, 2, "b"), key="stream 2") == 2 and len({r.id for r in c.read().collect()}) == 6
+    with pytest.raises(Exception, match="exceeds 256 characters"):
+        c.insert(rows_of(spark, 1, "x" * 257))
+    assert c.read().count() == 6
+    c.drop()

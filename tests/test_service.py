@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from detectors import bright_detector
 from pyspark.sql import functions as F
 
 from facelake import cli
@@ -34,7 +35,7 @@ def folder(tmp_path, spark):
 
 @pytest.fixture(scope="module")
 def service(spark):
-    return Service(spark, CONFIG, detector=lambda df: faces.bright_detector(df, 0.3))
+    return Service(spark, CONFIG, detector=lambda df: bright_detector(df, 0.3))
 
 
 def test_answers_are_json(service):
@@ -78,7 +79,7 @@ def test_registered_embedders_reach_the_tasks(spark, folder):
 
 
 def test_detection_and_information(spark, folder):
-    found = faces.bright_detector(read_images(spark, str(folder)), 0.3)
+    found = bright_detector(read_images(spark, str(folder)), 0.3)
     listed = {r.path.split("/")[-2]: r for r in faces.explode_faces(found).collect()}
     assert set(listed) == {"ann"} and listed["ann"].box == [0.0, 0.0, 12.0, 16.0] and listed["ann"].area == 192.0
     done = {(r.path.split("/")[-2], r.status): r for r in embed(found, "pixels", CONFIG).collect()}
@@ -90,7 +91,7 @@ def test_detection_and_information(spark, folder):
 def test_drawn_files(spark, folder):
     where = scratch(spark, "drawn-images")
     where = where if ":" in where else f"file://{where}"
-    files = write_drawn(faces.bright_detector(read_images(spark, str(folder)), 0.3), where)
+    files = write_drawn(bright_detector(read_images(spark, str(folder)), 0.3), where)
     assert sorted(r.num_faces for r in files.collect()) == [0, 1]
     again = {r.height: r for r in read_images(spark, where).collect()}
     assert set(again) == {16}
@@ -107,11 +108,12 @@ def test_tensors_of_bad_images(spark, folder):
 def test_loader_options(spark, folder):
     def run(*more):
         a = cli.parser().parse_args(["ingest", "--model", "pixels", "--dir", str(folder), *more])
-        done = cli.embedded(spark, a, cli.config_of(a), lambda df: faces.bright_detector(df, 0.3))
+        done = cli.embedded(spark, a, cli.config_of(a), lambda df: bright_detector(df, 0.3))
         return sorted((r.path.split("/")[-2], r.status) for r in done.collect())
 
     assert run("--skip-no-face") == [("ann", "decode_error"), ("ann", "ok"), ("bob", "no_face")]
-    assert run() == [("ann", "decode_error"), ("ann", "ok"), ("bob", "ok")]
+    assert run() == [("ann", "decode_error"), ("ann", "ok"), ("bob", "no_face")]  # never stored without a face
+    assert run("--embed-faceless") == [("ann", "decode_error"), ("ann", "ok"), ("bob", "ok")]
     assert run("--no-face-detection", "--batch-size", "1") == [("ann", "decode_error"), ("ann", "ok"), ("bob", "ok")]
     assert run("--face-conf", "0.9", "--skip-no-face") == [("ann", "decode_error"), ("ann", "no_face"), ("bob", "no_face")]
     assert run("--limit", "1") == [("ann", "ok")]
@@ -134,6 +136,41 @@ def test_command_line(spark, folder, capsys):
     Collection(spark, "cli_faces", 512).drop()
 
 
+def test_many_files_and_names(service):
+    """A batch has no limit of its own; a single file's name is checked as it was given."""
+    many = service.embeddings_batch([(f"{i}.txt", b"1") for i in range(150)], "pixels")
+    assert (many["total"], many["failed"]) == (150, 150)
+    assert service.embedding(("日本.png", images.png(LIGHT)), "pixels")["success"]
+    assert not service.embeddings_batch([("日本.png", images.png(LIGHT))], "pixels")["successful"]  # whose safe name has no extension
+
+
+def test_loaded_state(spark, service, folder):
+    """Models are built in workers; the driver knows of it after a job, and not after a clearing."""
+    REGISTRY.clear()
+    listed = lambda: {m["name"]: m["loaded"] for m in service.models()["models"]}
+    assert listed() == {"pixels": False}
+    assert service.embedding(("x.png", images.png(LIGHT)), "pixels")["success"]
+    assert listed() == {"pixels": True} and not REGISTRY.is_loaded("pixels", "other weights")
+    REGISTRY.clear()
+    assert listed() == {"pixels": False}
+    built = spark.sparkContext.accumulator(0)
+
+    def make(weights):
+        built.add(1)
+        return lambda x: x[:, :, 0, 0]
+
+    REGISTRY.register("counted", make)
+    config = EngineConfig(face_detection=False, use_tta=False)
+    image = read_images(spark, str(folder)).where("status = 'ok'").coalesce(1)
+    for turn in (1, 2):
+        assert embed(image, "counted", config).count() == 2 and len(embed(image, "counted", config).collect()) == 2
+    before = built.value
+    assert before >= 1 and REGISTRY.is_loaded("counted")
+    REGISTRY.clear()
+    embed(image, "counted", config).collect()
+    assert built.value > before
+
+
 def test_search_with_bad_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [1.0]), (3, [0.0, 0.0]), (4, [0.0, 2.0]), (5, [3.0, 0.0]), (6, [1.0, None]), (None, [1.0, 0.0])]
     data = spark.createDataFrame(rows, "id long, embedding array<float>")
