@@ -6,14 +6,17 @@ through so few edits, shifted by no more than the edits around it. Each distinct
 segments by its length, and probes, for each length it could have come from, the substrings that can
 be a segment there. Pairs that meet are verified by a banded bit-parallel edit distance.
 
+A segment that many distinct lines share, as those of a template with numbers do, is not met pair by pair. Lines with such a
+segment first look for an earlier one that is the same but for a character left out of either: two such lines lie within
+two edits, so the least place among the lines with a variant tells, and no pair is made. Most template lines are settled by that. For
+the lines that are left, a shared segment is split by the residual text around it: the residuals lie within the edits
+as well, so they share a segment in turn, and so on until few lines share what has been cut out.
+
 A line goes if any earlier line, by doc_id and place, equals it or lies within the edits; of repeated
 lines the first stays, and of near ones the earlier. Lines below `min_chars` and everything else of a
 text stay as they are. Built-in column expressions only; texts move only for lines that met another.
 
-Lines that make up more than a thousandth of all lines, of which there can be no more than a
-thousand, take part in the near join once, so that no line's copies gather in one task. A segment that
-many distinct lines share is dealt again by blocks of the lines' signatures, one of which agrees in any
-pair within the edits.
+A line takes part in the near join once, where it stands first, so that no line's copies gather in one task.
 
 Defined results: a null text is empty; lines are compared without leading and trailing blanks; rows
 that repeat both doc_id and text count as one document; rows without doc_id come before all others;
@@ -23,7 +26,7 @@ input that are called n_lines or n_removed give way to the new ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facelake.llm.common import stored, text_column
@@ -31,12 +34,12 @@ from facelake.llm.common import stored, text_column
 #: Width of the bit vectors; the band of 2 * max_edits + 1 must fit.
 WIDTH = 32
 FULL = (1 << WIDTH) - 1
-#: Lines with more than this share of all lines' copies take part once.
-HOT_SHARE = 1000
 #: A table of row keys and line numbers with no more rows than this (16 MB) is broadcast.
 SMALL_ROWS = 500_000
-#: A key with more lines than this is dealt again by blocks of signatures.
+#: A key with more lines than this is split by what is left of the lines.
 SHARED_LINES = 50
+#: Times that this is done at most; each takes a third off the residual.
+LEVELS = 8
 
 
 def shifts(delta: int, i: int, max_edits: int) -> range:
@@ -45,22 +48,30 @@ def shifts(delta: int, i: int, max_edits: int) -> range:
     return range(max(-i, delta - rest), min(i, delta + rest) + 1)
 
 
-def keys(lines: DataFrame, max_edits: int) -> DataFrame:
-    """(id, key, own): index keys (own = 1) and probe keys of each of lines (id, line).
+def cuts(lines: DataFrame, max_edits: int) -> DataFrame:
+    """(id, key, own, rest): index keys (own) and probe keys of each of lines (id, salt, own, line), and the text around them.
 
-    The ways to cut a line are rows of a constant, so that one short expression makes all keys.
+    The ways to cut a line are rows of a constant, so that one short expression makes all keys. Lines that are no index lines
+    (own) give probe keys only.
     """
     parts = max_edits + 1
-    ways = [(d, i, shift, int(d == shift == 0)) for d in range(parts) for i in range(parts) for shift in shifts(d, i, max_edits)]
-    names = ("delta", "part", "shift", "own")
+    ways = [(d, i, shift, d == shift == 0) for d in range(parts) for i in range(parts) for shift in shifts(d, i, max_edits)]
+    names = ("delta", "part", "shift", "straight")
     way = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, w, strict=True)]) for w in ways])
-    cut = lines.select("id", "line", F.length("line").alias("n"), F.explode(way).alias("w")).select("id", "line", "n", "w.*")
+    cut = lines.select("id", "salt", "own", "line", F.length("line").alias("n"), F.explode(way).alias("w")).select("id", "salt", "own", "line", "n", "w.*")
     cut = cut.withColumn("whole", F.col("n") - F.col("delta")).where(F.col("whole") >= parts)
     first = F.call_function("div", F.col("whole") * F.col("part"), F.lit(parts)).cast("int")
     end = F.call_function("div", F.col("whole") * (F.col("part") + 1), F.lit(parts)).cast("int")
     cut = cut.withColumns({"at": first + F.col("shift"), "size": end - first})
     cut = cut.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))  # outside the line there is nothing to probe
-    return cut.select("id", F.xxhash64("whole", "part", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), "own")
+    key = F.xxhash64("salt", "whole", "part", F.substring("line", F.col("at") + 1, F.col("size")))
+    rest = F.concat(F.substring("line", F.lit(1), F.col("at")), F.substring("line", F.col("at") + F.col("size") + 1, F.col("n")))
+    return cut.select("id", key.alias("key"), (F.col("own") & F.col("straight")).alias("own"), rest.alias("rest"))
+
+
+def keys(lines: DataFrame, max_edits: int) -> DataFrame:
+    """(id, key, own) of each of lines (id, line)."""
+    return cuts(lines.select("id", F.lit(0).cast("long").alias("salt"), F.lit(True).alias("own"), "line"), max_edits).drop("rest")
 
 
 def within_edits(longer: Column, shorter: Column, max_edits: int) -> Column:
@@ -126,16 +137,21 @@ def _join_rows(left: DataFrame, right: DataFrame, on: str, how: str, rows: int)
     return left.join(F.broadcast(right) if rows <= SMALL_ROWS else right, on, how)
 
 
+def _kept_lines(lines: Column) -> Column:
+    """Array of struct(line_no, line) of a text's lines but those of the array of places `lines`, which may be null."""
+    parts = F.split("text", "\n", -1)
+    places = F.sequence(F.lit(0), F.size(parts) - 1)
+    kept = F.when(lines.isNull(), places).otherwise(F.array_except(places, lines))
+    both = F.struct(parts.alias("parts"), kept.alias("kept"))
+    picked = F.transform(F.array(both), lambda z: F.transform(z["kept"], lambda i: F.struct(i.alias("line_no"), F.get(z["parts"], i).alias("line"))))
+    return F.get(picked, F.lit(0))
+
+
 def near_lines(lines: DataFrame, firsts: DataFrame, rows: DataFrame, max_edits: int) -> DataFrame:
-    """(row, line_no) of the first occurrences of lines that lie within the edits of an earlier line."""
-    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = firsts.where(F.col("n") > max(total / HOT_SHARE, 1)).select("id", "id2", F.struct("row", "line_no").alias("first"))
-    taken = lines.join(F.broadcast(hot), ["id", "id2"], "left").where(
-        F.col("first").isNull() | (F.col("first") == F.struct("row", "line_no"))
-    )
+    """(row, line_no) of the first occurrences of lines (id, line) that lie within the edits of an earlier line."""
     # the last bit of a line's number gives way to the role of the key
     keyed = (
-        keys(taken, max_edits)
+        keys(lines, max_edits)
         .select("key", F.col("id").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("own").cast("long")).alias("line"))
         .repartition("key")
     )
@@ -179,22 +195,72 @@ def _signatures(line: Column) -> tuple[Column, Column]:
     return parities(codes).alias("chars"), parities(F.get(pairs, F.lit(0))).alias("grams")
 
 
+def _settled(lines: DataFrame) -> DataFrame:
+    """(at) of lines (at, line) that are an earlier one but for a character left out of either or both.
+
+    A line and its variants without one character meet by 128-bit hashes. A variant has no more lines than characters can stand
+    at its places, so that what meets is small.
+    """
+    variant = F.concat(F.substring("line", F.lit(1), F.col("p") - 1), F.substring("line", F.col("p") + 1, F.length("line")))
+    spelled = lines.select("at", "line", F.explode(F.sequence(F.lit(0), F.length("line"))).alias("p"))
+    spelled = spelled.select("at", F.when(F.col("p") == 0, F.col("line")).otherwise(variant).alias("v"))
+    hashed = spelled.select("at", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    first = F.min("at").over(Window.partitionBy("h", "h2"))
+    return hashed.withColumn("first", first).where("first < at").select("at").distinct()
+
+
+def _split_keys(kept: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
+    """(key, n, short_id, own) of keys that few lines share: those of kept, and in place of the others those of the residual
+    texts, where a line of texts (.., open) is still open."""
+    parts = max_edits + 1
+    dense = kept.where(F.col("n") > SHARED_LINES)
+    out = kept.where(F.col("n") <= SHARED_LINES).select("key", "n", "short_id", "own")
+    held = texts.join(dense.select("short_id").distinct(), "short_id", "left_semi")
+    # a key matters where an open line has an earlier one
+    matters = F.max(F.when(F.col("id.open"), F.col("id.at"))) > F.min("id.at")
+    cut = cuts(held.select(F.struct("short_id", "open", "at").alias("id"), F.lit(0).cast("long").alias("salt"), F.lit(True).alias("own"), "line"), max_edits)
+    cut = stored(cut.join(dense.select("key").distinct(), "key", "left_semi").distinct(), "dense-lines")
+    entries = cut.join(cut.groupBy("key").agg(matters.alias("matters")).where("matters").select("key"), "key")
+    if entries.isEmpty():
+        return out.distinct()
+    for level in range(LEVELS):
+        # what is left of a line may be too short to be cut again
+        short = F.length("rest") < F.when(F.col("own"), F.lit(parts)).otherwise(F.lit(parts + max_edits))
+        ends = entries.where(F.length("rest") < parts + max_edits).select(
+            "id", F.xxhash64("key", F.lit("end")).alias("key"), (F.col("own") & short).alias("own"), F.lit(None).cast("string").alias("rest")
+        )
+        again = cuts(entries.select("id", F.col("key").alias("salt"), "own", F.col("rest").alias("line")), max_edits).unionByName(ends).distinct()
+        line = F.col("id.short_id")
+        shared = again.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any_own"), matters.alias("matters"))
+        shared = shared.where("any_own and matters").select("key", "n")
+        both = stored(again.join(shared, "key").select("key", "n", "id", "own", "rest"), "split-lines")
+        few = (F.col("n") <= SHARED_LINES) | F.col("rest").isNull() | F.lit(level == LEVELS - 1)
+        out = out.unionByName(both.where(few).select("key", "n", line.alias("short_id"), "own"))
+        entries = both.where(~few).select("id", "key", "own", "rest")
+        if entries.isEmpty():
+            break
+    return out.distinct()
+
+
 def _near_pairs(kept: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
-    """(later) of the pairs of lines that share a key and lie within the edits: the place of the later line.
+    """(later) of the lines that have an earlier one within the edits: the place of the later line.
 
     Signatures are part of the join's condition, so pairs that share a segment and little else are
     never made.
     """
-    signed = kept.join(texts.select("short_id", "size", "chars", "grams"), "short_id")
-    # two edits flip few of the bits, so of more blocks of bits than that one stays as it is
-    blocks = 2 * max_edits + 1
-    masks = [sum(1 << bit for bit in range(b, 64, blocks)) for b in range(blocks)]
-    fine = [F.xxhash64("key", F.lit(b), F.col("chars").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for b, m in enumerate(masks)]
-    key = F.explode(F.when(F.col("n") > SHARED_LINES, F.array(*fine)).otherwise(F.array("key")))
-    signed = signed.withColumn("key", key)
+    shared = kept.where(F.col("n") > SHARED_LINES).select("short_id").distinct()
+    if max_edits >= 2 and not shared.isEmpty():
+        settled = stored(_settled(texts.join(shared, "short_id", "left_semi").select("at", "line")), "settled-lines")
+        open_texts = texts.join(settled.withColumn("found", F.lit(True)), "at", "left")
+        texts = stored(open_texts.withColumn("open", F.col("found").isNull()).drop("found"), "line-texts")
+    else:
+        settled, texts = None, texts.withColumn("open", F.lit(True))
+    if not shared.isEmpty():
+        kept = stored(_split_keys(kept, texts, max_edits), "line-keys")
+    signed = kept.join(texts.select("short_id", "size", "chars", "grams", "open"), "short_id")
 
     def side(role: Column, name: str) -> DataFrame:
-        return signed.where(role).select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("short_id", "size", "chars", "grams")])
+        return signed.where(role).select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("short_id", "size", "chars", "grams", "open")])
 
     def apart(column: str) -> Column:
         return F.bit_count(F.col(f"{column}_a").bitwiseXOR(F.col(f"{column}_b")))
@@ -202,7 +268,8 @@ def _near_pairs(kept: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
     own, probe = side(F.col("own"), "a"), side(F.lit(True), "b")
     # the last pair of characters counts as one with nothing behind it, which an edit can flip as well
     close = (apart("chars") <= 2 * max_edits) & (apart("grams") <= 4 * max_edits) & (F.abs(F.col("size_a") - F.col("size_b")) <= max_edits)
-    met = own.alias("o").join(probe.alias("p"), (F.col("o.key") == F.col("p.key")) & (F.col("short_id_a") != F.col("short_id_b")) & close)
+    wanted = (F.col("short_id_a") != F.col("short_id_b")) & (F.col("open_a") | F.col("open_b")) & close
+    met = own.alias("o").join(probe.alias("p"), (F.col("o.key") == F.col("p.key")) & wanted)
     pairs = met.select(F.least("short_id_a", "short_id_b").alias("a"), F.greatest("short_id_a", "short_id_b").alias("b")).distinct()
     left = texts.select(F.col("short_id").alias("a"), F.col("at").alias("at_a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("short_id").alias("b"), F.col("at").alias("at_b"), F.col("line").alias("line_b"))
@@ -211,7 +278,8 @@ def _near_pairs(kept: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
     longer = F.when(swap, F.col("line_b")).otherwise(F.col("line_a")).alias("longer")
     shorter = F.when(swap, F.col("line_a")).otherwise(F.col("line_b")).alias("shorter")
     checked = both.select(longer, shorter, F.greatest("at_a", "at_b").alias("later"))
-    return checked.where(within_edits(F.col("longer"), F.col("shorter"), max_edits)).select("later")
+    found = checked.where(within_edits(F.col("longer"), F.col("shorter"), max_edits)).select("later")
+    return found if settled is None else found.unionByName(settled.select(F.col("at").alias("later")))
 
 
 def repeated_lines(docs: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
@@ -224,7 +292,12 @@ def repeated_lines(docs: DataFrame, min_chars: int, max_edits: int) -> DataFrame
     firsts = stored(firsts, "first-lines")
     again = firsts.where("n > 1").select("id", "id2", at.alias("first"))
     exact = lines.join(again, ["id", "id2"]).where(at != F.col("first")).select("row", "line_no")
-    near = near_lines(lines.select("id", "id2", "row", "line_no", "line"), firsts, docs.select("row", "text"), max_edits)
+    exact = stored(exact.groupBy("row").agg(F.collect_set("line_no").alias("lines")), "equal-lines")
+    # each distinct line makes its keys once
+    new = _join_rows(docs.select("row", "text"), exact, "row", "left", exact.count())
+    new = new.select(F.explode(_kept_lines(F.col("lines"))).alias("l")).select(F.trim("l.line").alias("line")).where(F.length("line") >= min_chars)
+    near = near_lines(new.select(F.xxhash64("line").alias("id"), "line"), firsts, docs.select("row", "text"), max_edits)
+    exact = exact.select("row", F.explode("lines").alias("line_no"))
     gone = exact.unionByName(near).groupBy("row").agg(F.collect_set("line_no").alias("lines"))
     return stored(gone, "gone-lines")
 
@@ -250,7 +323,7 @@ def dedup_lines(
     gone = repeated_lines(rows.select("row", "doc", "text"), min_chars, max_edits)
     joined = _join_rows(rows, gone, "row", "left", gone.count())
     parts = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("lines", i)), "\n")
+    left = F.array_join(F.transform(_kept_lines(F.col("lines")), lambda k: k["line"]), "\n")
     return joined.select(
         F.col("doc").alias(id_col),
         F.when(F.col("lines").isNull(), F.col("text")).otherwise(left).alias(text_col),
