@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facelake.functions.sampling import let
 from facelake.operators import faces
 
 #: Fixed values of the published single-stage face detector: stride and box sizes of each level, variances.
@@ -66,8 +67,7 @@ def decoded(candidate: Column, height: Column, width: Column, levels: Sequence =
             F.array(*points).alias("landmarks"), candidate["score"].cast("double").alias("score"),
         )
 
-    # one level of lambda, so that the prior's arithmetic stands once
-    return F.get(F.transform(F.array(prior_box(candidate["prior"], height, width, levels)), face), F.lit(0))
+    return let(prior_box(candidate["prior"], height, width, levels), face)
 
 
 def overlap(a: Column, b: Column, border: float = 1.0) -> Column:
@@ -87,13 +87,12 @@ def overlap(a: Column, b: Column, border: float = 1.0) -> Column:
 def suppressed(found: Column, most: float = 0.4, border: float = 1.0) -> Column:
     """Greedy non-maximum suppression: faces by falling score, equal ones in their order, without those that overlap a
     better one that stays by more than `most`. The array holds one image's faces, whose number its priors bound."""
-    ordered = faces.ranked(found)
 
     def step(kept: Column, face: Column) -> Column:
         hit = F.exists(kept, lambda other: overlap(other["box"], face["box"], border) > most)
         return F.when(hit, kept).otherwise(F.concat(kept, F.array(face)))
 
-    return F.aggregate(ordered, F.slice(ordered, 1, 0), step)
+    return let(found, lambda f: let(faces.ranked(f), lambda ordered: F.aggregate(ordered, F.slice(ordered, 1, 0), step)))
 
 
 def candidates(loc: Column, scores: Column, marks: Column, confidence: float) -> Column:
