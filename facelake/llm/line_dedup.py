@@ -157,7 +157,9 @@ def near_lines(lines: DataFrame, firsts: DataFrame, rows: DataFrame, max_edits:
     )
     number = F.col("line").bitwiseAND(F.lit(-2))
     # most keys belong to one line; those of several are told by fixed-size aggregates over the same dealing
-    shared = keyed.groupBy("key").agg(F.min(number).alias("low"), F.max(number).alias("high"), F.count("*").alias("n")).where("low <> high")
+    # (one that no line has as an index key leads to no pair)
+    index = F.max(F.col("line").bitwiseAND(F.lit(1))).alias("index")
+    shared = keyed.groupBy("key").agg(F.min(number).alias("low"), F.max(number).alias("high"), F.count("*").alias("n"), index).where("low <> high and index = 1")
     kept = keyed.join(shared.select("key", "n").hint("shuffle_hash"), "key").distinct()
     kept = stored(kept.select("key", "n", number.alias("short_id"), (F.col("line") != number).alias("own")), "line-keys")
     ids = kept.select("short_id").distinct()
