@@ -28,7 +28,7 @@ def brute_order(kind):
     return [*brute.PATTERNS, "term"].index(kind)
 
 
-def plain(docs, threshold=0.95, min_support=2, part_support=5):
+def plain(docs, threshold=0.95, min_support=2, part_support=2):
     """doc: (base spans, term spans with their disclosure)."""
     held = {}
     n_t, n_e, n_te = Counter(), Counter(), Counter()
@@ -114,3 +114,25 @@ def test_overlapping_spans_are_one(spark):
     for kind, start, end in reversed(joined(spans)):
         want = f"{want[:start]}<{kind.upper()}>{want[end:]}"
     assert row.s == want and "111" not in row.s
+
+
+def test_many_values_in_one_text(spark):
+    """Time grows with the values: a text of 100,000 addresses, and its sanitised form."""
+    import time
+
+    text = "é " + " ".join(f"user{i}@host{i % 97}.org" for i in range(100_000))
+    frame = spark.createDataFrame([(1, text), (2, "one a@b.org")], "doc_id long, text string")
+    began = time.time()
+    found = pii.find_personal_data(frame)
+    rows = {r.id: r for r in found.select("id", F.size("spans").alias("n"), pii.sanitise(F.col("text"), F.col("spans")).alias("s")).collect()}
+    assert rows[1].n == 100_000 and rows[1].s == "é " + " ".join(["<EMAIL>"] * 100_000) and rows[2].s == "one <EMAIL>"
+    assert time.time() - began < 120
+
+
+def test_directory(spark):
+    """Thousands of values and names that two pages have in common are one entity to each name."""
+    names = [f"surname{i}x" for i in range(3000)]
+    page = " ".join(f"{n} {n}@firm{i}.org" for i, n in enumerate(names))
+    rows = [(1, page), (2, "again " + page)] + [(10 + i, f"other words here {i}") for i in range(3000)]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("id", pii.count_kind(F.col("spans"), "term").alias("n")).collect()
+    assert {r.id: r.n for r in found if r.id < 3} == {1: 3000, 2: 3000}
