@@ -1,9 +1,11 @@
 """Token counts through a digest cache.
 
-The cache is a table of (tokenizer, digest, n_tokens): digest is the SHA-256 of the normalised
-content, tokenizer that of the tokenizer's file, so another version misses. Texts meet the cache as
-digests only; one row of each missing digest is sent to the library and its count appended. A
-digest's rows are never gathered: the joins deal them by digest and id.
+The cache is a table of (tokenizer, digest, n_tokens), each of whose files is of one tokenizer, so that files of others are
+passed over by their statistics: digest is the SHA-256 of the normalised content, tokenizer that of the
+tokenizer's file, so another version misses. Texts meet the cache as
+digests only; one row of each missing digest is sent to the library and its count appended. Few misses are sent to
+where the texts are, so that over a warm cache no text moves; many are met by dealing the texts by digest and id,
+which never gathers a digest's rows.
 
 Defined results: a null text counts as empty, with 0 bytes and 0 tokens; equal texts share one
 entry whatever their ids, null ids included; texts of any length are counted whole; repeated rows stay
@@ -23,6 +25,8 @@ from facelake.llm.common import stored, text_column
 
 #: A digest with more than this share of the rows is joined by itself.
 HOT_SHARE = 1000
+#: Misses up to this number (16 MB) are broadcast.
+FEW_MISSES = 100_000
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
 
 
@@ -76,9 +80,10 @@ def token_counts(
     keys = stored(rows.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
     sizes = keys.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    misses = sizes.select("digest", "id").join(known, "digest", "left_anti").alias("m")
+    misses = stored(sizes.select("digest", "id").join(known, "digest", "left_anti"), "misses")
+    way = "broadcast" if misses.count() <= FEW_MISSES else "shuffle_hash"
     texts = rows.alias("r").join(
-        misses.hint("shuffle_hash"), (F.col("r.digest") == F.col("m.digest")) & F.col("r.id").eqNullSafe(F.col("m.id")), "left_semi"
+        misses.alias("m").hint(way), (F.col("r.digest") == F.col("m.digest")) & F.col("r.id").eqNullSafe(F.col("m.id")), "left_semi"
     )
 
     def encode(batches):

@@ -66,3 +66,28 @@ def test_a_broken_cache_is_an_error(spark, docs, tmp_path):
     (tmp_path / "cache" / "part-0.parquet").write_bytes(b"no parquet")
     with pytest.raises(Exception):
         token_counts.token_counts(docs, str(tmp_path / "cache")).collect()
+
+
+def test_warm_cache_moves_no_text(spark, tmp_path, monkeypatch):
+    """What a second run writes to shuffles doesn't grow with the texts; many misses give the same counts."""
+    rows = [(i, f"document {i} " + "with a long text " * 500) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cache = str(tmp_path / "cache")
+    monkeypatch.setattr(token_counts, "FEW_MISSES", 0)
+    cold = {r.id: r.n_tokens for r in token_counts.token_counts(docs, cache).collect()}
+    monkeypatch.undo()
+    status = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        gateway = spark.sparkContext._gateway
+        stages = status.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    path = str(tmp_path / "docs")
+    docs.write.parquet(path)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = written()
+    warm = {r.id: r.n_tokens for r in token_counts.token_counts(spark.read.parquet(path), cache).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert warm == cold and written() - before < 300 * 2000 < sum(len(t) for _, t in rows) / 4
