@@ -60,10 +60,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from facelake.llm import rules
 
-    entries = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), version=2)
+    entries = rules.with_ablations(rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), version=2), version=2)
     return entries.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         rules.fails(("few_words", "repeated_windows")).alias("base_failed"), "kept", "failed", "policy",
+        "only_rule", "kept_without",
     )
 
 
@@ -144,6 +145,7 @@ QUERIES = {
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BENCH_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(RULES.values()))
+_ONLY = " ".join(f"WHEN {1 << i} THEN '{rule}'" for i, rule in enumerate(RULES))
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": rf"""
     WITH d AS (SELECT doc_id, {BENCH_WORDS} AS w FROM documents),
@@ -178,5 +180,6 @@ ORACLE_SQL: dict[str, str] = {
         FROM d LEFT JOIN inside USING (doc_id)),
     f AS (SELECT *, ({_BITS})::bigint AS failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-        failed = 0 AS kept, failed, 2 AS policy FROM f""",
+        failed = 0 AS kept, failed, 2 AS policy, CASE failed {_ONLY} ELSE '' END AS only_rule,
+        (count(*) FILTER (WHERE failed = 0) OVER () + CASE WHEN bit_count(failed) = 1 THEN count(*) OVER (PARTITION BY failed) ELSE 0 END)::bigint AS kept_without FROM f""",
 }

@@ -135,6 +135,20 @@ def apply_policy(entries: DataFrame, version: int = 2) -> DataFrame:
     return entries.withColumn("policy", F.lit(version)).withColumn("kept", ~fails(POLICIES[version]))
 
 
+def only_rule(version: int = 2) -> Column:
+    """The rule of a policy that alone rejects a ledger's row, the empty string where none or several do."""
+    bits = F.col("failed").bitwiseAND(F.lit(mask(POLICIES[version])).cast("long"))
+    return F.coalesce(*[F.when(bits == F.lit(mask([r])).cast("long"), F.lit(r)) for r in POLICIES[version]], F.lit(""))
+
+
+def with_ablations(entries: DataFrame, version: int = 2) -> DataFrame:
+    """The ledger with `only_rule` and `kept_without`: how many documents the policy keeps once that rule is dropped, or as it is."""
+    without = ablations(entries, version).select(F.col("rule").alias("only_rule"), F.col("n_kept_without").alias("kept_without"))
+    as_it_is = entries.agg(F.count_if(~fails(POLICIES[version])).alias("kept_without")).select(F.lit("").alias("only_rule"), "kept_without")
+    without = without.unionByName(as_it_is)
+    return entries.withColumn("only_rule", only_rule(version)).join(F.broadcast(without), "only_rule", "left")  # a row for each rule
+
+
 def ablations(entries: DataFrame, version: int = 2) -> DataFrame:
     """(rule, n_failed, n_only, n_kept_without) for each rule of a policy.
 
