@@ -10,9 +10,9 @@ clusters' means. Content lines say where the article is:
   like are suspects. A suspect goes, unless nearly all content is in it and no main or article element with
   content is outside: then it only wraps the page, whatever it is called.
 * The region is the outermost main or article element with nearly all of the content that is left, or on a
-  page without one the innermost element that holds all of it. All of its lines are the result, so that a
-  heading, a lead or a short paragraph stays; where no main or article names the region, lines outside the
-  content cluster that are nothing but links go.
+  page without one the innermost element that holds all of it, and the headline beside that. All of its lines are the result, so that a
+  heading, a lead or a short paragraph stays; where no main or article names the region, lines that are nothing but
+  links go, headings aside.
 
 Defined results: null, empty and text-free pages give the empty string; a page without any markup
 gives its text; unclosed and stray tags end where the next structural tag says; a comment without an end
@@ -47,41 +47,62 @@ REGION = frozenset("html body main article section div td center blockquote".spl
 SELF_ENDING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 ARTICLE = frozenset("main article".split())
-#: Class and id names that mark what is not the article, also compounds of several of them.
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification "
-    "popup modal overlay newsletter subscribe subscription signup login share sharing social sidebar aside related recommended recommendations "
-    "comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs menu nav navbar navigation pagination pager "
-    "footer masthead toolbar widget copyright disclaimer skip alert toc teaser outbrain taboola".split()
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+PROSE = frozenset(("p", "blockquote", "figure", *HEADINGS))
+#: Parts of class and id names that mark what is not the article, whatever else the name says.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsors sponsored promo promos cookie cookies consent gdpr popup modal "
+    "newsletter subscribe subscription signup login share sharing social sidebar comment comments commentlist commenter disqus reply replies respond "
+    "breadcrumb breadcrumbs navbar navigation pagination pager footer masthead topbar copyright disclaimer outbrain taboola".split()
 )
-#: Words that may go with those; others, as in has-sidebar or ad-free, name a page's layout.
+#: Parts that mark it only in names that say nothing else.
+WEAK = frozenset("promotion notice notices notification overlay aside related recommended recommendations menu nav toolbar widget skip alert toc teaser".split())
+#: Pairs of parts that count as one of the strong ones.
+PAIRS = frozenset({("top", "bar"), ("nav", "bar"), ("side", "bar"), ("user", "bar"), ("site", "header"), ("page", "header"), ("site", "nav"), ("main", "nav"), ("main", "menu")})
+#: Words that may go with weak parts.
 NEUTRAL = frozenset("area box item items links list posts section slot".split())
+#: Words that turn a name into one of a page's layout, as in has-sidebar or ad-free.
+LAYOUT = frozenset("no non not has have with without free open closed enabled disabled layout".split())
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Reach and width of the smoothing, in lines.
 REACH, SIGMA = 2, 1.0
+#: What a line of another element counts in it.
+APART = 0.1
 #: An article's element, or one that wraps the page, holds so much of the content lines' text.
 SHARE = 0.8
+#: One that is named by what is not the article wraps a page only if it holds this much.
+NAMED_SHARE = 0.98
 #: Characters for each tag from which a line is running text beside whatever other lines.
 TEXT = 100
 #: A line of links has so much of its text in them.
 LINKS = 0.8
 
 
-def _suspect(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether an element's attributes speak against its being part of the article."""
+#: How much an element's attributes speak against its being part of the article.
+CLEAR, NAMED, HINTED = 0, 1, 2
+
+
+def _suspect(attrs: list[tuple[str, str | None]]) -> int:
+    """CLEAR, or HINTED by a weak name, or NAMED by anything stronger."""
+    found = CLEAR
     for key, value in attrs:
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return NAMED
         if key == "role" and (value or "").lower() in ROLES:
-            return True
+            return NAMED
         if key == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return NAMED
         if key in ("class", "id") and value:
             for name in value.split():
-                parts = {part.lower() for part in _NAME_PARTS.findall(name)}
-                if parts & NAMES and parts <= NAMES | NEUTRAL:
-                    return True
-    return False
+                listed = [part.lower() for part in _NAME_PARTS.findall(name)]
+                parts = set(listed)
+                if parts & LAYOUT:
+                    continue
+                if parts & STRONG or any(pair in PAIRS for pair in zip(listed, listed[1:], strict=False)):
+                    return NAMED
+                if parts & WEAK and parts <= WEAK | NEUTRAL:
+                    found = HINTED
+    return found
 
 
 class Lines(HTMLParser):
@@ -99,6 +120,8 @@ class Lines(HTMLParser):
         self.tags: list[int] = []
         self.linked: list[int] = []
         self.elements: list[int] = []
+        self.heads: list[bool] = []  # whether a heading
+        self.named: set[int] = set()  # suspects by more than a weak name
         self.parts: list[str] = []
         self.n_tags = self.n_linked = self.links = 0
 
@@ -117,6 +140,7 @@ class Lines(HTMLParser):
                 self.tags.append(self.n_tags)
                 self.linked.append(self.n_linked)
                 self.elements.append(self.stack[-1][1] if self.stack else 0)
+                self.heads.append(any(self.open[h] for h in HEADINGS))
                 self.n_tags = self.n_linked = 0
             self.parts = []
 
@@ -135,7 +159,10 @@ class Lines(HTMLParser):
             return
         block = tag in BLOCK
         self.links += tag == "a"
-        suspect = bool(attrs) and _suspect(attrs)
+        level = _suspect(attrs) if attrs else CLEAR
+        if level == HINTED and tag in PROSE:
+            level = CLEAR  # a paragraph's name is not what it is about
+        suspect = level != CLEAR
         if block:
             self._end_line()
         elif tag not in INVISIBLE and not suspect:
@@ -149,7 +176,7 @@ class Lines(HTMLParser):
             self._pop()
         own = self.stack[-1][1] if self.stack else 0
         if tag in BOILERPLATE and not (tag == "header" and (self.open["article"] or self.open["main"])):
-            suspect = True
+            suspect, level = True, HINTED  # pages are laid out in these as well
         if tag in REGION or suspect:
             if not block:
                 self._end_line()
@@ -157,6 +184,8 @@ class Lines(HTMLParser):
             own = len(self.parents) - 1
             if suspect:
                 self.suspects.append(own)
+                if level == NAMED:
+                    self.named.add(own)
             if tag in ARTICLE:
                 self.articles.append(own)
         self.stack.append((tag, own))
@@ -192,13 +221,19 @@ class Lines(HTMLParser):
         self._end_line()
 
 
-def content_lines(lengths: np.ndarray, tags: np.ndarray) -> np.ndarray:
+def content_lines(lengths: np.ndarray, tags: np.ndarray, elements: np.ndarray) -> np.ndarray:
     """Which lines are content: smoothed text-to-tag ratios in the upper of two clusters of their logarithms, parted
-    halfway between the clusters' means, or at TEXT where the clusters lie above it."""
-    ratio = lengths / np.maximum(tags, 1)
-    kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
-    weight = np.convolve(np.ones(len(ratio)), kernel)[REACH : REACH + len(ratio)]
-    smooth = np.convolve(ratio, kernel)[REACH : REACH + len(ratio)] / weight
+    halfway between the clusters' means, or at TEXT where the clusters lie above it. Lines of other elements count for
+    APART of their weight, so that what stands right before or behind the article is not carried along."""
+    ratio, n = lengths / np.maximum(tags, 1), len(lengths)
+    total, weight = ratio.copy(), np.ones(n)
+    for shift in range(1, min(REACH, n - 1) + 1):
+        w = np.exp(-0.5 * (shift / SIGMA) ** 2) * np.where(elements[shift:] == elements[:-shift], 1.0, APART)
+        total[shift:] += w * ratio[:-shift]
+        total[:-shift] += w * ratio[shift:]
+        weight[shift:] += w
+        weight[:-shift] += w
+    smooth = total / weight
     smooth = np.log1p(smooth)
     threshold = smooth.mean()
     for _ in range(50):
@@ -231,8 +266,8 @@ def main_text(html: str) -> str:
     if not page.texts:
         return ""
     lengths = np.fromiter(map(len, page.texts), np.int64, len(page.texts))
-    core = content_lines(lengths, np.array(page.tags))
     elements, parents = np.array(page.elements), page.parents
+    core = content_lines(lengths, np.array(page.tags), elements)
 
     def summed(at: np.ndarray, values) -> np.ndarray:
         """The values of each element and of all that it holds."""
@@ -256,7 +291,7 @@ def main_text(html: str) -> str:
     around, within = handed_down(named) - named, summed(np.arange(len(parents)), named)
     suspect = np.zeros(len(parents), np.int64)
     for e in page.suspects:  # a wrapper holds nearly all content, and every article is in it or around it
-        wraps = held[e] >= SHARE * held[0] and within[e] + around[e] == within[0]
+        wraps = held[e] >= (NAMED_SHARE if e in page.named else SHARE) * held[0] and within[e] + around[e] == within[0]
         suspect[e] = not wraps
     gone = handed_down(suspect) > 0
     kept = ~gone[elements]
@@ -267,7 +302,11 @@ def main_text(html: str) -> str:
         for element in range(1, len(held)):
             if parents[element] == chosen and held[element] == held[0] > 0:
                 chosen = element
-        kept &= core | (np.array(page.linked) < LINKS * lengths)
+        heads = np.array(page.heads)
+        kept &= heads | (np.array(page.linked) < LINKS * lengths)
+        text, headed = summed(elements, np.where(kept, lengths, 0)), summed(elements, kept & heads)
+        while chosen and headed[parents[chosen]] > headed[chosen] and text[chosen] >= SHARE * text[parents[chosen]]:
+            chosen = parents[chosen]  # the headline stands in an element of its own
     root = np.zeros(len(parents), np.int64)
     root[chosen] = 1
     kept &= handed_down(root)[elements] > 0
