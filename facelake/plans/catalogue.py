@@ -465,6 +465,17 @@ def json_paths(read, spark):
     return read("events").select("event_id", again["k"].alias("k"), again["k"].isNotNull().alias("given"))
 
 
+@query(
+    "json_string_list",
+    """SELECT page_id, len(parts)::bigint AS n, parts[len(parts)] AS last, (len(parts) > 3) AS deep FROM (SELECT page_id, string_split(url, '/') AS parts FROM pages)""",
+)
+def json_string_list(read, spark):
+    """A request's list of names as JSON text, parsed again."""
+    text = read("pages").select("page_id", F.to_json(F.split("url", "/")).alias("asked"))
+    parts = text.select("page_id", F.from_json("asked", "array<string>").alias("parts"))
+    return parts.select("page_id", F.size("parts").cast("bigint").alias("n"), F.element_at("parts", -1).alias("last"), (F.size("parts") > 3).alias("deep"))
+
+
 @query(
     "consistency_check",
     """SELECT label, true AS same, count(*)::bigint AS n, sum(list_sum(list_transform(embedding, lambda x: floor((x + 1) * 127)::bigint)))::bigint AS total
