@@ -448,6 +448,112 @@ def squeeze_excite_scale(read, spark):
     return unnested(read("embeddings"), vectors.squeeze_excite(F.col("embedding"), 8))
 
 
+def seeded_weights(spark, salt: int, **sizes: int) -> DataFrame:
+    """A weights table with these index columns, for layers without weights at hand: sines of the indices."""
+    rows = spark.range(1).select(F.lit(float(salt)).alias("at"))
+    for step, (name, n) in enumerate(sizes.items(), 2):
+        rows = rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("at", F.col("at") * step + F.col(name))
+    return rows.select(*sizes, (F.sin("at") / 2).alias("w"))
+
+
+def seeded_sql(salt: int, **sizes: int) -> str:
+    """The same table in SQL."""
+    at = f"{salt}::double"
+    for step, name in enumerate(sizes, 2):
+        at = f"({at}) * {step} + {name}"
+    return f"SELECT {', '.join(sizes)}, sin({at}) / 2 AS w FROM " + ", ".join(f"(SELECT unnest(range({n}))::int AS {name})" for name, n in sizes.items())
+
+
+def seeded_norm(spark, n: int) -> DataFrame:
+    c = F.col("id").cast("int")
+    return spark.range(n).select(c.alias("c"), (1 + c / 10).alias("gamma"), (c / 20).alias("beta"), (c / 30).alias("mean"), (1 + c / 5).alias("var"))
+
+
+def norm_sql(source: str) -> str:
+    return f"SELECT * REPLACE ((v - c / 30) / sqrt(1 + c / 5 + 1e-5::double) * (1 + c / 10) + c / 20 AS v) FROM {source}"
+
+
+def conv_sql(source: str, weights: str, out: int, stride: int = 1, padding: int = 0, depthwise: bool = False) -> str:
+    y, x = (f"({a} + {padding} - k{a})" for a in "yx")
+    return f"""SELECT image, o AS c, {y} // {stride} AS y, {x} // {stride} AS x, sum(v * w) AS v FROM {source} JOIN ({weights}) ON c = {"o" if depthwise else "i"}
+        WHERE {y} >= 0 AND {x} >= 0 AND {y} % {stride} = 0 AND {x} % {stride} = 0 AND {y} < {out * stride} AND {x} < {out * stride} GROUP BY ALL"""
+
+
+MAPS_SQL = "SELECT vec_id AS image, 0 AS c, (p // 8)::int AS y, (p % 8)::int AS x, v FROM (SELECT vec_id, unnest(range(64)) AS p, unnest(embedding)::double AS v FROM embeddings)"
+SUMS_SQL = "SELECT image AS vec_id, c, round(sum(v), 5) + 0.0 AS total, round(sum(v * (y * 8 + x)), 4) + 0.0 AS weighted FROM {} GROUP BY ALL"
+
+
+def map_sums(maps: DataFrame) -> DataFrame:
+    at = F.col("y") * 8 + F.col("x")
+    return maps.groupBy(F.col("image").alias("vec_id"), "c").agg((F.round(F.sum("v"), 5) + 0.0).alias("total"), (F.round(F.sum(F.col("v") * at), 4) + 0.0).alias("weighted"))
+
+
+CONV_BLOCK_SQL = f"""maps AS ({MAPS_SQL}), conv AS ({conv_sql("maps", seeded_sql(1, o=4, i=1, ky=3, kx=3), 8, 1, 1)}), normed AS ({norm_sql("conv")}),
+    block AS (SELECT * REPLACE (CASE WHEN v >= 0 THEN v ELSE v * (0.25::double + c / 100) END AS v) FROM normed)"""
+
+
+def conv_block_maps(read, spark) -> DataFrame:
+    from facelake.operators import network
+
+    maps = network.maps_of(read("embeddings"), "vec_id", "embedding", 8)
+    slopes = spark.range(4).select(F.col("id").cast("int").alias("c"), (0.25 + F.col("id") / 100).alias("slope"))
+    conv = network.conv2d(maps, seeded_weights(spark, 1, o=4, i=1, ky=3, kx=3), 8, padding=1, kernel=3)
+    return network.prelu(network.batch_norm(conv, seeded_norm(spark, 4)), slopes)
+
+
+@query("conv_block", f"WITH {CONV_BLOCK_SQL} {SUMS_SQL.format('block')}")
+def conv_block(read, spark):
+    """Vectors as 8 x 8 images through a convolution, its normalisation and a slope for each channel."""
+    return map_sums(conv_block_maps(read, spark))
+
+
+GATED = "greatest(0, least(1, ({}) / 6 + 0.5))"
+
+
+@query(
+    "inverted_residual",
+    f"""WITH {CONV_BLOCK_SQL},
+    e AS ({norm_sql("(" + conv_sql("block", seeded_sql(2, o=6, i=4, ky=1, kx=1), 8) + ")")}), wide AS (SELECT * REPLACE (v * {GATED.format("v")} AS v) FROM e),
+    d AS ({norm_sql("(" + conv_sql("wide", seeded_sql(3, o=6, ky=3, kx=3), 8, 1, 1, True) + ")")}), deep AS (SELECT * REPLACE (v * {GATED.format("v")} AS v) FROM d),
+    pooled AS (SELECT image, c, avg(v) AS v FROM deep GROUP BY ALL),
+    hidden AS (SELECT image, o AS c, greatest(0, sum(v * w) + o / 10) AS v FROM pooled JOIN ({seeded_sql(4, o=2, i=6)}) ON c = i GROUP BY image, o),
+    gate AS (SELECT image, o AS c, {GATED.format("sum(v * w) + o / 10")} AS g FROM hidden JOIN ({seeded_sql(5, o=6, i=2)}) ON c = i GROUP BY image, o),
+    gated AS (SELECT deep.* REPLACE (v * g AS v) FROM deep JOIN gate USING (image, c)),
+    p AS ({norm_sql("(" + conv_sql("gated", seeded_sql(6, o=4, i=6, ky=1, kx=1), 8) + ")")}),
+    out AS (SELECT p.image, c, y, x, p.v + block.v AS v FROM p JOIN block USING (image, c, y, x))
+    {SUMS_SQL.format("out")}""",
+)
+def inverted_residual(read, spark):
+    """A gated bottleneck block with its residual, on the maps of conv_block."""
+    from facelake.operators import network
+
+    def bias(n):
+        return spark.range(n).select(F.col("id").cast("int").alias("c"), (F.col("id") / 10).alias("b"))
+
+    block = {
+        "expand": seeded_weights(spark, 2, o=6, i=4, ky=1, kx=1), "expand_norm": seeded_norm(spark, 6), "deep": seeded_weights(spark, 3, o=6, ky=3, kx=3), "deep_norm": seeded_norm(spark, 6),
+        "first": (seeded_weights(spark, 4, o=2, i=6), bias(2)), "second": (seeded_weights(spark, 5, o=6, i=2), bias(6)),
+        "project": seeded_weights(spark, 6, o=4, i=6, ky=1, kx=1), "project_norm": seeded_norm(spark, 4), "residual": True,
+    }
+    maps = stored(conv_block_maps(read, spark), "maps").repartition("image")
+    return map_sums(network.inverted_residual(maps, block, 8, 1, 3, vectors.hard_swish, vectors.hard_sigmoid))
+
+
+@query(
+    "embedding_head",
+    f"""WITH {CONV_BLOCK_SQL}, deep AS ({norm_sql("(" + conv_sql("block", seeded_sql(7, o=4, ky=8, kx=8), 1, 1, 0, True) + ")")}),
+    line AS (SELECT image, o AS c, sum(v * w) AS v FROM deep JOIN ({seeded_sql(8, o=16, i=4)}) ON c = i GROUP BY ALL)
+    SELECT image AS vec_id, c, round(v, 5) + 0.0 AS value FROM ({norm_sql("line")})""",
+)
+def embedding_head(read, spark):
+    """The maps of conv_block as vectors: a kernel as large as the map, and a linear layer, both normalised."""
+    from facelake.operators import network
+
+    maps = conv_block_maps(read, spark)
+    found = network.head(maps, seeded_weights(spark, 7, o=4, ky=8, kx=8), seeded_norm(spark, 4), seeded_weights(spark, 8, o=16, i=4), seeded_norm(spark, 16), 8)
+    return found.select(F.col("image").alias("vec_id"), "c", (F.round("v", 5) + 0.0).alias("value"))
+
+
 @query(
     "channel_rounding",
     """SELECT p_partkey, (CASE WHEN n < 0.9 * v THEN n + 8 ELSE n END)::bigint AS channels FROM (
