@@ -37,7 +37,7 @@ def documents(kind, n, seed=1):
     return [(d, "\n".join(lines[d * n // 10 : (d + 1) * n // 10])) for d in range(10)]
 
 
-@pytest.mark.parametrize("kind,shared", [("sequence", 2), ("ids", 50), ("front", 50), ("edited", 2), ("words", 50)])
+@pytest.mark.parametrize("kind,shared", [("sequence", 50), ("ids", 50), ("front", 50), ("edited", 2), ("words", 50)])
 def test_against_all_pairs(spark, monkeypatch, kind, shared):
     monkeypatch.setattr(line_dedup, "SHARED_LINES", shared)
     docs = documents(kind, 300)
