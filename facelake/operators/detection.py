@@ -8,6 +8,7 @@ Offsets are decoded only where the score reaches the confidence.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -125,31 +126,25 @@ def network_detector(make: Callable[[], Outputs], size: int, confidence: float =
     (n, priors) and landmark offsets (n, priors, 10). Images go through it at size x size, and faces come back in their own pixels;
     images that cannot be decoded have none.
     """
-    from pyspark.ml.functions import predict_batch_udf
+    from facelake.functions.layers import loaded
+    from facelake.operators.embed import inferred
 
-    from facelake.operators.embed import tensors
+    key = uuid.uuid4().hex
 
-    def make_predict():
-        network = make()
+    def build():
+        network = loaded("detector", key, lambda _: make())
 
         def predict(x: np.ndarray):
-            loc, scores, marks = network(x)
-            return {"loc": loc.reshape(len(x), -1).astype(np.float64), "scores": scores.reshape(len(x), -1).astype(np.float64), "marks": marks.reshape(len(x), -1).astype(np.float64)}
+            return {n: v.reshape(len(x), -1) for n, v in zip(("loc", "scores", "marks"), network(x), strict=True)}
 
         return predict
 
-    predicted = predict_batch_udf(
-        make_predict, return_type=T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("loc", "scores", "marks")]), batch_size=batch,
-        input_tensor_shapes=[[3, size, size]],
-    )
-
     def run(images: DataFrame) -> DataFrame:
         rest = [c for c in images.columns if c != "faces"]
-        shaped = tensors(images.select(F.struct(*rest).alias("whole"), "height", "width", "channels", "data", "status"), size)
-        blank = F.array_repeat(F.lit(0.0).cast("float"), 3 * size * size)
-        out = shaped.select("whole", F.col("tensor").isNotNull().alias("seen"), predicted(F.coalesce("tensor", blank)).alias("o"))
+        outputs = dict.fromkeys(("loc", "scores", "marks"), T.DoubleType())
+        out = inferred(images.select(F.struct(*rest).alias("whole"), "height", "width", "channels", "data", "status"), size, build, outputs, batch)
         side = F.lit(size)
-        found = detect(candidates(F.col("o.loc"), F.col("o.scores"), F.col("o.marks"), confidence), side, side, confidence, most)
+        found = detect(candidates(F.col("loc"), F.col("scores"), F.col("marks"), confidence), side, side, confidence, most)
         x, y = F.col("whole.width") / size, F.col("whole.height") / size
         own = F.transform(
             found,
@@ -158,6 +153,6 @@ def network_detector(make: Callable[[], Outputs], size: int, confidence: float =
                 F.transform(f["landmarks"], lambda p: F.array(p[0] * x, p[1] * y)).alias("landmarks"), f["score"].alias("score"),
             ),
         )
-        return out.select("whole", F.when(F.col("seen"), own).otherwise(F.slice(own, 1, 0)).alias("faces")).select("whole.*", "faces")
+        return out.select("whole", F.coalesce(own, F.array().cast(T.ArrayType(faces.FACE))).alias("faces")).select("whole.*", "faces")
 
     return run
