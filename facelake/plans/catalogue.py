@@ -71,9 +71,16 @@ def vector_of(rows: DataFrame, key: int) -> list[float]:
     return found[0]
 
 
+def grey(x: Column) -> Column:
+    """A component from -1 to 1 as a pixel's value, in floats as the vectors are: whole numbers would make doubles of them, which
+    now and then fall on the other side of a whole number."""
+    one, most = (F.lit(float(n)).cast("float") for n in (1, 127))
+    return F.floor((x + one) * most)
+
+
 def grey_images(read) -> DataFrame:
     """Each vector as an 8 x 8 grey image, as the image source would give it."""
-    pixel = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x + 1) * 127).cast("long")), 2, "0"))
+    pixel = F.transform("embedding", lambda x: F.lpad(F.hex(grey(x).cast("long")), 2, "0"))
     return read("embeddings").select(
         F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"),
         F.unhex(F.array_join(pixel, "")).alias("data"), F.lit("ok").alias("status"), "vec_id", "label", "embedding",
@@ -592,7 +599,7 @@ def consistency_check(read, spark):
     from facelake.operators.embed import tensors
 
     decoded = tensors(grey_images(read), 8)
-    values = vectors.normalise_pixels(F.transform("embedding", lambda x: F.floor((x + 1) * 127)))
+    values = vectors.normalise_pixels(F.transform("embedding", grey))
     apart = F.zip_with(F.slice("tensor", 1, 64), values, lambda a, b: F.abs(a - b))
     same = (F.size("tensor") == 192) & (F.array_max(apart) < 1e-6)
     total = F.aggregate(F.slice("tensor", 65, 64), F.lit(0).cast("bigint"), lambda t, x: t + F.round((x * 0.5 + 0.5) * 255).cast("bigint"))
@@ -727,7 +734,7 @@ def pixel_sums(pixels: DataFrame) -> DataFrame:
 
 def grey_values(read) -> DataFrame:
     """(vec_id, embedding, height, width, v): the values of the grey images."""
-    v = F.transform("embedding", lambda x: F.floor((x + 1) * 127))
+    v = F.transform("embedding", grey)
     return read("embeddings").select("vec_id", "embedding", F.lit(8).alias("height"), F.lit(8).alias("width"), v.alias("v"))
 
 
