@@ -3,9 +3,10 @@
 The cache is a table of (tokenizer, digest, n_tokens), each of whose files is of one tokenizer, so that files of others are
 passed over by their statistics: digest is the SHA-256 of the normalised content, tokenizer that of the
 tokenizer's file, so another version misses. Texts meet the cache as
-digests only; one row of each missing digest is sent to the library and its count appended. Few misses are sent to
-where the texts are, so that over a warm cache no text moves; many are met by dealing the texts by digest and id,
-which never gathers a digest's rows.
+digests only; one row of each missing digest is sent to the library and its count appended. Few misses, in number and of the
+rows, are sent to where the texts are, so that over a warm cache no text moves; many are met by dealing the texts by
+digest and id, which never gathers a digest's rows. A cold cache is met that way at any size, so that what a run writes to disk
+is in proportion to its texts.
 
 Defined results: a null text counts as empty, with 0 bytes and 0 tokens; equal texts share one
 entry whatever their ids, null ids included; texts of any length are counted whole; repeated rows stay
@@ -25,8 +26,9 @@ from facelake.llm.common import stored, text_column
 
 #: A digest with more than this share of the rows is joined by itself.
 HOT_SHARE = 1000
-#: Misses up to this number (16 MB) are broadcast.
+#: Misses up to this number (16 MB), and up to this share of the rows, are broadcast.
 FEW_MISSES = 100_000
+FEW_SHARE = 10
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
 
 
@@ -81,7 +83,9 @@ def token_counts(
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
     sizes = keys.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     misses = stored(sizes.select("digest", "id").join(known, "digest", "left_anti"), "misses")
-    way = "broadcast" if misses.count() <= FEW_MISSES else "shuffle_hash"
+    n_rows, way = keys.count(), "shuffle_hash"
+    if misses.count() <= min(FEW_MISSES, n_rows / FEW_SHARE):
+        way = "broadcast"
     texts = rows.alias("r").join(
         misses.alias("m").hint(way), (F.col("r.digest") == F.col("m.digest")) & F.col("r.id").eqNullSafe(F.col("m.id")), "left_semi"
     )
@@ -99,7 +103,7 @@ def token_counts(
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).dropDuplicates(["digest"])
     counts = counts.select("digest", "n_tokens")
     # digests of more than a thousandth of all rows, of which there are no more than a thousand, stay where they are
-    hot = sizes.where(F.col("n") > keys.count() / HOT_SHARE).join(counts, "digest").select("digest", F.col("n_tokens").alias("hot"))
+    hot = sizes.where(F.col("n") > n_rows / HOT_SHARE).join(counts, "digest").select("digest", F.col("n_tokens").alias("hot"))
     marked = keys.join(F.broadcast(stored(hot, "hot-digests")), "digest", "left")
     columns = ("id", "digest", "n_bytes", "n_tokens")
     apart = marked.where("hot is not null").withColumnRenamed("hot", "n_tokens").select(*columns)

@@ -1,5 +1,7 @@
 """What the digest cache holds, and what another version or normalisation does to it."""
 
+import random
+
 import llm_brute as brute
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +93,28 @@ def test_warm_cache_moves_no_text(spark, tmp_path, monkeypatch):
     warm = {r.id: r.n_tokens for r in token_counts.token_counts(spark.read.parquet(path), cache).collect()}
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     assert warm == cold and written() - before < 300 * 2000 < sum(len(t) for _, t in rows) / 4
+
+
+def test_a_cold_cache_moves_texts_in_proportion(spark, tmp_path):
+    """Small and large tables take the same way where all is missing, so that shuffles grow as the texts do."""
+    status = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        gateway = spark.sparkContext._gateway
+        stages = status.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    def run(n):
+        rng = random.Random(n)
+        rows = [(i, "".join(rng.choices("abcdefghij klmnop", k=8000))) for i in range(n)]
+        path = str(tmp_path / f"docs-{n}")
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+        before = written()
+        token_counts.token_counts(spark.read.parquet(path), str(tmp_path / f"cache-{n}")).collect()
+        return written() - before
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_counts, "FEW_MISSES", 300)
+        small, large = run(200), run(1000)
+    assert 3.5 * small < large < 7 * small
