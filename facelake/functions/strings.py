@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facelake.functions.sampling import let
+
 EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tiff")
 
 
@@ -37,17 +39,23 @@ def to_ascii(text: Column) -> Column:
     """Letters without their accents, ligatures and the like as letters; what has no such form goes."""
     ones, letters, several = ascii_forms()
     table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    plain = F.translate(text, ones, letters)
-    each = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    wide = F.when(plain.rlike(r"[^\x00-\x7F]"), each).otherwise(plain)
-    return F.regexp_replace(wide, r"[^\x00-\x7F]", "")
+    def spelled(plain: Column) -> Column:
+        # looked up once for each character that is no ASCII, not for each place of the text
+        odd = F.array_distinct(F.split(F.regexp_replace(plain, r"[\x00-\x7F]+", ""), ""))
+        pairs = F.filter(F.transform(odd, lambda c: F.struct(c.alias("c"), F.try_element_at(table, c).alias("to"))), lambda p: p["to"].isNotNull())
+        return F.aggregate(pairs, plain, lambda t, p: F.replace(t, p["c"], p["to"]))
+
+    def ascii_of(plain: Column) -> Column:
+        return F.when(plain.rlike(r"[^\x00-\x7F]"), F.regexp_replace(spelled(plain), r"[^\x00-\x7F]+", "")).otherwise(plain)
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), let(F.translate(text, ones, letters), ascii_of)).otherwise(text)
 
 
 def secure_filename(name: Column) -> Column:
     """A name safe as a file name: ASCII letters, digits, dot, dash and underscore, no leading or trailing dots."""
-    spaced = F.regexp_replace(to_ascii(name), "[/\\\\]", " ")
+    spaced = F.translate(to_ascii(name), "/\\", "  ")
     joined = F.regexp_replace(F.trim(spaced), r"\s+", "_")
-    return F.regexp_replace(F.regexp_replace(joined, r"[^A-Za-z0-9_.-]", ""), r"^[._]+|[._]+$", "")
+    return F.btrim(F.regexp_replace(joined, r"[^A-Za-z0-9_.-]+", ""), F.lit("._"))
 
 
 def safe_name(name: str) -> str:
