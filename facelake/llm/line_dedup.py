@@ -211,6 +211,20 @@ def _settled(lines: DataFrame) -> DataFrame:
     return hashed.withColumn("first", first).where("first < at").select("at").distinct()
 
 
+def _leading(rows: DataFrame) -> DataFrame:
+    """rows (id, key, own, ..) that are in a pair of a key, one of them an index line, whose later line is open, with the
+    number n of the key's rows. Each key's bounds tell, so that no pair is made and a row stays once."""
+    at, is_open = F.col("id.at"), F.col("id.open")
+    bounds = rows.groupBy("key").agg(
+        F.count("*").alias("n"), F.min(at).alias("low"), F.min(F.when(F.col("own"), at)).alias("own_low"),
+        F.max(F.when(is_open, at)).alias("high"), F.max(F.when(is_open & F.col("own"), at)).alias("own_high"),
+    )
+    bounds = bounds.where((F.col("high") > F.col("own_low")) | (F.col("own_high") > F.col("low"))).withColumnRenamed("key", "k")
+    later = is_open & (at > F.when(F.col("own"), F.col("low")).otherwise(F.col("own_low")))
+    earlier = at < F.when(F.col("own"), F.col("high")).otherwise(F.col("own_high"))
+    return rows.join(bounds, (F.col("key") == F.col("k")) & (later | earlier)).select(*rows.columns, "n")
+
+
 def _split_keys(kept: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
     """(key, n, short_id, own) of keys that few lines share: those of kept, and in place of the others those of the residual
     texts, where a line of texts (.., open) is still open."""
@@ -218,11 +232,9 @@ def _split_keys(kept: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
     dense = kept.where(F.col("n") > SHARED_LINES)
     out = kept.where(F.col("n") <= SHARED_LINES).select("key", "n", "short_id", "own")
     held = texts.join(dense.select("short_id").distinct(), "short_id", "left_semi")
-    # a key matters where an open line has an earlier one
-    matters = F.max(F.when(F.col("id.open"), F.col("id.at"))) > F.min("id.at")
     cut = cuts(held.select(F.struct("short_id", "open", "at").alias("id"), F.lit(0).cast("long").alias("salt"), F.lit(True).alias("own"), "line"), max_edits)
     cut = stored(cut.join(dense.select("key").distinct(), "key", "left_semi").distinct(), "dense-lines")
-    entries = cut.join(cut.groupBy("key").agg(matters.alias("matters")).where("matters").select("key"), "key")
+    entries = _leading(cut).drop("n")
     if entries.isEmpty():
         return out.distinct()
     for level in range(LEVELS):
@@ -233,9 +245,7 @@ def _split_keys(kept: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
         )
         again = cuts(entries.select("id", F.col("key").alias("salt"), "own", F.col("rest").alias("line")), max_edits).unionByName(ends).distinct()
         line = F.col("id.short_id")
-        shared = again.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any_own"), matters.alias("matters"))
-        shared = shared.where("any_own and matters").select("key", "n")
-        both = stored(again.join(shared, "key").select("key", "n", "id", "own", "rest"), "split-lines")
+        both = stored(_leading(again).select("key", "n", "id", "own", "rest"), "split-lines")
         few = (F.col("n") <= SHARED_LINES) | F.col("rest").isNull() | F.lit(level == LEVELS - 1)
         out = out.unionByName(both.where(few).select("key", "n", line.alias("short_id"), "own"))
         entries = both.where(~few).select("id", "key", "own", "rest")

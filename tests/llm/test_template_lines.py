@@ -65,3 +65,15 @@ def test_many_numbered_lines(spark):
     got = found(spark, [(1, text)])
     assert got[0][2] == 40_000 and got[0][3] == 39_999
     assert got[0][1] == "some numbered line of a long template text 100000"
+
+
+def test_rows_without_an_open_pair_go(spark):
+    """Of a key's rows those stay that are in a pair with an index line whose later line is open."""
+    rows = [  # key, place, open, own
+        (1, 1, False, True), (1, 2, False, False), (1, 3, True, False), (1, 4, False, True),  # 2 and 3 are both probes; 4 comes after 3
+        (2, 1, False, True), (2, 2, False, True),  # none is open
+        (3, 1, True, True), (3, 1, True, False), (4, 1, True, False), (4, 2, True, False),  # one line; no index line
+        (5, 1, True, False), (5, 2, True, True), (5, 3, False, True),
+    ]
+    frame = spark.createDataFrame([(k, (a, o, a), w) for k, a, o, w in rows], "key long, id struct<short_id: long, open: boolean, at: long>, own boolean")
+    assert sorted((r.key, r.id.at, r.n) for r in line_dedup._leading(frame).collect()) == [(1, 1, 4), (1, 3, 4), (5, 1, 3), (5, 2, 3)]
