@@ -15,9 +15,20 @@ from pyspark.sql import functions as F
 KEYS = ("image", "c", "y", "x")
 
 
+#: Rows of maps that a task gets: its sums and sorts hold some hundred bytes for each row and channel.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, n_rows: int) -> DataFrame:
+    """rows (image, ..) by image, as many parts as n_rows rows of maps need, so that a task's memory doesn't grow with the input."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-n_rows // TASK_ROWS)), "image")
+
+
 def maps_of(images: DataFrame, image: str, values: str, width: int) -> DataFrame:
     """One-channel rows (image, c, y, x, v) of images whose values are an array, row by row."""
-    rows = images.select(F.col(image).alias("image"), F.posexplode(values).alias("p", "v")).repartition("image")
+    rows = images.select(F.col(image).alias("image"), F.posexplode(values).alias("p", "v"))
+    rows = dealt(rows, images.count() * width * width)
     return rows.select("image", F.lit(0).alias("c"), F.floor(F.col("p") / width).cast("int").alias("y"), (F.col("p") % width).alias("x"), F.col("v").cast("double").alias("v"))
 
 

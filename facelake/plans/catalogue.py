@@ -542,7 +542,8 @@ def inverted_residual(read, spark):
         "first": (seeded_weights(spark, 4, o=2, i=6), bias(2)), "second": (seeded_weights(spark, 5, o=6, i=2), bias(6)),
         "project": seeded_weights(spark, 6, o=4, i=6, ky=1, kx=1), "project_norm": seeded_norm(spark, 4), "residual": True,
     }
-    maps = stored(conv_block_maps(read, spark), "maps").repartition("image")
+    maps = stored(conv_block_maps(read, spark), "maps")
+    maps = network.dealt(maps, maps.count())
     return map_sums(network.inverted_residual(maps, block, 8, 1, 3, vectors.hard_swish, vectors.hard_sigmoid))
 
 

@@ -74,3 +74,12 @@ def test_one_dealing(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     final = plan.split("Initial Plan")[0]
     assert final.count("Exchange hashpartitioning") == 1 and found.agg(F.count("*")).first()[0] == 3 * 2 * 36
+
+
+def test_tasks_get_bounded_parts(spark, monkeypatch):
+    """More images make more parts, not larger ones."""
+    monkeypatch.setattr(network, "TASK_ROWS", 640)
+    rows = spark.range(100).select("id", F.array(*[F.lit(0.5)] * 64).alias("v"))
+    found = network.maps_of(rows, "id", "v", 8)
+    assert found.count() == 6400
+    assert found.select(F.spark_partition_id().alias("p"), "image").distinct().groupBy("p").count().agg(F.max("count")).first()[0] <= 30
