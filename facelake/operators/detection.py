@@ -1,7 +1,8 @@
 """Faces from the raw outputs of an anchor-based detector: prior boxes, decoding, non-maximum suppression.
 
 Such a network gives, for each prior box, four box offsets, a score and ten landmark offsets. The prior of an index follows
-from the image's size by arithmetic, so nothing is joined; an image's outputs are arrays of one row, so nothing moves.
+from the image's size by arithmetic, so nothing is joined; an image's outputs are arrays of one row, so nothing moves, or rows of
+candidates, which are decoded before they gather.
 Offsets are decoded only where the score reaches the confidence.
 """
 
@@ -51,49 +52,60 @@ def prior_box(prior: Column, height: Column, width: Column, levels: Sequence = L
 
 def decoded(candidate: Column, height: Column, width: Column, levels: Sequence = LEVELS, variances: Sequence[float] = VARIANCES) -> Column:
     """The face, in pixels, of a candidate struct(prior, score, loc array(4), marks array(10))."""
+    return let(prior_box(candidate["prior"], height, width, levels), lambda p: placed(candidate, p, height, width, variances))
+
+
+def placed(candidate: Column, p: Column, height: Column, width: Column, variances: Sequence[float] = VARIANCES) -> Column:
+    """The face, in pixels, of a candidate whose prior box is p."""
     centre, spread = variances
 
-    def face(p: Column) -> Column:
-        def at(values: Column, i: int) -> Column:
-            return F.get(values, F.lit(i)).cast("double")
-
-        loc, marks = candidate["loc"], candidate["marks"]
-        x, y = p["cx"] + at(loc, 0) * centre * p["w"], p["cy"] + at(loc, 1) * centre * p["h"]
-        w, h = p["w"] * F.exp(at(loc, 2) * spread), p["h"] * F.exp(at(loc, 3) * spread)
-        points = [
-            F.array((p["cx"] + at(marks, 2 * i) * centre * p["w"]) * width, (p["cy"] + at(marks, 2 * i + 1) * centre * p["h"]) * height) for i in range(5)
-        ]
-        return F.struct(
-            F.array((x - w / 2) * width, (y - h / 2) * height, (x + w / 2) * width, (y + h / 2) * height).alias("box"),
-            F.array(*points).alias("landmarks"), candidate["score"].cast("double").alias("score"),
-        )
+    def at(values: Column, i: int) -> Column:
+        return F.get(values, F.lit(i)).cast("double")
+
+    loc, marks = candidate["loc"], candidate["marks"]
+    x, y = p["cx"] + at(loc, 0) * centre * p["w"], p["cy"] + at(loc, 1) * centre * p["h"]
+    w, h = p["w"] * F.exp(at(loc, 2) * spread), p["h"] * F.exp(at(loc, 3) * spread)
+    points = [
+        F.array((p["cx"] + at(marks, 2 * i) * centre * p["w"]) * width, (p["cy"] + at(marks, 2 * i + 1) * centre * p["h"]) * height) for i in range(5)
+    ]
+    return F.struct(
+        F.array((x - w / 2) * width, (y - h / 2) * height, (x + w / 2) * width, (y + h / 2) * height).alias("box"),
+        F.array(*points).alias("landmarks"), candidate["score"].cast("double").alias("score"),
+    )
 
-    return let(prior_box(candidate["prior"], height, width, levels), face)
+
+def spans(face: Column, border: float) -> Column:
+    """struct(x0, y0, x1, y1, area, face) of a face: what it takes to compare boxes, worked out once."""
+    x0, y0, x1, y1 = (F.get(face["box"], F.lit(i)) for i in range(4))
+    own = F.greatest(F.lit(0.0), x1 - x0 + border) * F.greatest(F.lit(0.0), y1 - y0 + border)
+    return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), own.alias("area"), face.alias("face"))
 
 
 def overlap(a: Column, b: Column, border: float = 1.0) -> Column:
-    """Intersection over union of two boxes whose last pixels belong to them (border 1) or not (border 0)."""
+    """Intersection over union of two spans whose last pixels belong to them (border 1) or not (border 0)."""
+    sides = [F.greatest(F.lit(0.0), F.least(a[high], b[high]) - F.greatest(a[low], b[low]) + border) for low, high in (("x0", "x1"), ("y0", "y1"))]
+
+    def share(both: Column) -> Column:
+        union = a["area"] + b["area"] - both
+        return F.when(union > 0, both / union).otherwise(F.lit(0.0))
+
+    return let(sides[0] * sides[1], share)
+
 
-    def area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-        return F.greatest(F.lit(0.0), x1 - x0 + border) * F.greatest(F.lit(0.0), y1 - y0 + border)
+def unlike(ordered: Column, most: float = 0.4, border: float = 1.0) -> Column:
+    """Those of an array of spans that overlap no earlier one that stays by more than `most`."""
 
-    def corner(box: Column, i: int) -> Column:
-        return F.get(box, F.lit(i))
+    def step(kept: Column, span: Column) -> Column:
+        hit = F.exists(kept, lambda other: overlap(other, span, border) > most)
+        return F.when(hit, kept).otherwise(F.concat(kept, F.array(span)))
 
-    both = area(*[F.greatest(corner(a, i), corner(b, i)) for i in (0, 1)], *[F.least(corner(a, i), corner(b, i)) for i in (2, 3)])
-    union = area(*[corner(a, i) for i in range(4)]) + area(*[corner(b, i) for i in range(4)]) - both
-    return F.when(union > 0, both / union).otherwise(F.lit(0.0))
+    return let(ordered, lambda o: F.aggregate(F.slice(o, 2, F.size(o)), F.slice(o, 1, 1), step))
 
 
 def suppressed(found: Column, most: float = 0.4, border: float = 1.0) -> Column:
     """Greedy non-maximum suppression: faces by falling score, equal ones in their order, without those that overlap a
     better one that stays by more than `most`. The array holds one image's faces, whose number its priors bound."""
-
-    def step(kept: Column, face: Column) -> Column:
-        hit = F.exists(kept, lambda other: overlap(other["box"], face["box"], border) > most)
-        return F.when(hit, kept).otherwise(F.concat(kept, F.array(face)))
-
-    return let(found, lambda f: let(faces.ranked(f), lambda ordered: F.aggregate(ordered, F.slice(ordered, 1, 0), step)))
+    return F.transform(unlike(F.transform(let(found, faces.ranked), lambda f: spans(f, border)), most, border), lambda k: k["face"])
 
 
 def candidates(loc: Column, scores: Column, marks: Column, confidence: float) -> Column:
@@ -116,6 +128,64 @@ def detect(found: Column, height: Column, width: Column, confidence: float = 0.3
     return suppressed(boxes, most, border)
 
 
+def detect_rows(
+    rows: DataFrame, key: str, height: Column, width: Column, confidence: float = 0.35, most: float = 0.4, border: float = 1.0, levels: Sequence = LEVELS,
+    variances: Sequence[float] = VARIANCES, ties: Sequence[str] = (),
+) -> DataFrame:
+    """(key, face_no, box, landmarks, score) of the faces in candidates as rows (key, prior, score, loc, marks, ..), which `detect`
+    takes as arrays: a row for each face, by falling score; equal scores go by the columns `ties`, then by prior, loc and marks.
+
+    Priors and boxes are worked out a row at a time by short steps of generated code; only suppression needs an image's boxes together,
+    and landmarks are those of the faces that stay. Rows that are dealt by key don't move.
+    """
+    centre, spread = variances
+    order = [f"t{i}" for i in range(len(ties))]
+    given = [F.col(n).alias(f"t{i}") for i, n in enumerate(ties)]
+    # conditions on what is given alone: one on a box would be worked out, box and all, below the shuffle
+    there = F.get("loc", F.lit(0)).isNotNull() & F.get("loc", F.lit(2)).isNotNull()
+    c = rows.where((F.col("score") >= confidence) & there).select(F.col(key).alias("key"), *given, "prior", F.col("score").cast("double"), "loc", "marks", height.alias("h"), width.alias("w"))
+    ends = [F.lit(0).cast("long")]
+    for stride, sizes in levels:
+        ends.append(ends[-1] + F.ceil(F.col("h") / stride) * F.ceil(F.col("w") / stride) * len(sizes))
+    c = c.withColumns({f"end{i}": end for i, end in enumerate(ends)}).where((F.col("prior") >= 0) & (F.col("prior") < F.col(f"end{len(levels)}")))
+
+    def by_level(values: Sequence[Column]) -> Column:
+        """The value of the last level that begins before the prior."""
+        found = values[0]
+        for i, value in enumerate(values[1:], 1):
+            found = F.when(F.col("prior") >= F.col(f"end{i}"), value).otherwise(found)
+        return found
+
+    c = c.withColumns({
+        "stride": by_level([F.lit(stride) for stride, _ in levels]), "n": by_level([F.lit(len(sizes)) for _, sizes in levels]),
+        "sizes": by_level([F.array(*[F.lit(float(x)) for x in sizes]) for _, sizes in levels]),
+        "place": F.col("prior") - by_level([F.col(f"end{i}") for i in range(len(levels))]),
+    })
+    c = c.withColumns({"cell": F.floor(F.col("place") / F.col("n")), "size": F.get("sizes", F.pmod("place", "n").cast("int")), "columns": F.ceil(F.col("w") / F.col("stride"))})
+    c = c.withColumns({
+        "cx": (F.pmod("cell", "columns") + 0.5) * F.col("stride") / F.col("w"), "cy": (F.floor(F.col("cell") / F.col("columns")) + 0.5) * F.col("stride") / F.col("h"),
+        "pw": F.col("size") / F.col("w"), "ph": F.col("size") / F.col("h"),
+    })
+
+    def at(values: str, i: int) -> Column:
+        return F.get(values, F.lit(i)).cast("double")
+
+    c = c.withColumns({
+        "x": F.col("cx") + at("loc", 0) * centre * F.col("pw"), "y": F.col("cy") + at("loc", 1) * centre * F.col("ph"),
+        "bw": F.col("pw") * F.exp(at("loc", 2) * spread), "bh": F.col("ph") * F.exp(at("loc", 3) * spread),
+    })
+    c = c.withColumns({f"{v}{i}": (F.col(v) + (2 * i - 1) * F.col(f"b{side}") / 2) * F.col(side) for i in (0, 1) for v, side in (("x", "w"), ("y", "h"))})
+    own = [F.greatest(F.lit(0.0), F.col(f"{v}1") - F.col(f"{v}0") + border) for v in "xy"]
+    c = c.withColumn("area", own[0] * own[1])
+    span = F.struct((-F.col("score")).alias("falling"), *order, "prior", "loc", "marks", "score", "x0", "y0", "x1", "y1", "area", "cx", "cy", "pw", "ph", "h", "w")
+    images = c.select("key", span.alias("span")).groupBy("key").agg(F.sort_array(F.collect_list("span")).alias("ordered"))
+    kept = images.select("key", F.posexplode(unlike(F.col("ordered"), most, border)).alias("face_no", "f")).select("key", "face_no", "f.*")
+    points = [
+        F.array((F.col("cx") + at("marks", 2 * i) * centre * F.col("pw")) * F.col("w"), (F.col("cy") + at("marks", 2 * i + 1) * centre * F.col("ph")) * F.col("h")) for i in range(5)
+    ]
+    return kept.select(F.col("key").alias(key), "face_no", F.array("x0", "y0", "x1", "y1").alias("box"), F.array(*points).alias("landmarks"), "score")
+
+
 Outputs = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 

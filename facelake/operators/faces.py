@@ -62,7 +62,7 @@ def best_rows(rows: DataFrame, key: str, rank: list[Column], values: list[Column
 def ranked(faces: Column) -> Column:
     """Faces by falling score, equal ones in their order."""
     keyed = F.transform(faces, lambda f, i: F.struct((-F.coalesce(f["score"], F.lit(1.0))).alias("s"), i.alias("i")))
-    return F.transform(F.array_sort(keyed), lambda k: F.get(faces, k["i"]))
+    return F.transform(F.sort_array(keyed), lambda k: F.get(faces, k["i"]))
 
 
 def reference_points(size: int) -> list[tuple[float, float]]:

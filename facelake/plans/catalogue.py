@@ -674,20 +674,20 @@ LINES_SQL = """SELECT l_orderkey AS o, 64::double AS h, 64::double + 32 * (l_ord
 )
 def detect_raw_outputs(read, spark):
     """Boxes, scores and a landmark of each image's faces from a table of a detector's raw outputs."""
-    from facelake.operators.detection import detect
+    from facelake.operators.detection import detect_rows
 
     d, t, q = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
-    candidate = F.struct(
-        F.col("l_linenumber").alias("place"), ((F.col("l_orderkey") * 31 + F.col("l_linenumber") % 3) % 260).alias("prior"),
+    # the few numbers of a line move, not what is made of them
+    lines = read("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_discount", "l_tax", "l_quantity").repartition("l_orderkey")
+    candidates = lines.select(
+        "l_orderkey", F.col("l_linenumber").alias("place"), ((F.col("l_orderkey") * 31 + F.col("l_linenumber") % 3) % 260).alias("prior"),
         ((F.col("l_suppkey") % 50) / 50).alias("score"), F.array(d * 20 - 1, t * 20 - 0.8, q / 10 - 2.5, d * q / 2).alias("loc"),
         F.array(*[x * 10 * i for i in range(1, 6) for x in (t, d)]).alias("marks"),
     )
-    images = read("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(candidate)).alias("found"))
     width = F.lit(64.0) + 32 * (F.col("l_orderkey") % 2)
-    found = images.select("l_orderkey", detect(F.col("found"), F.lit(64.0), width, 0.1).alias("faces"))
-    rows = found.select("l_orderkey", F.posexplode("faces").alias("face_no", "f"))
-    corner = [(F.round(F.get("f.box", F.lit(i)), 4) + 0.0).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
-    return rows.select("l_orderkey", "face_no", *corner, F.col("f.score").alias("score"), (F.round(F.get(F.get("f.landmarks", F.lit(0)), F.lit(0)), 4) + 0.0).alias("eye"))
+    found = detect_rows(candidates, "l_orderkey", F.lit(64.0), width, 0.1, ties=("place",))
+    corner = [(F.round(F.get("box", F.lit(i)), 4) + 0.0).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
+    return found.select("l_orderkey", "face_no", *corner, "score", (F.round(F.get(F.get("landmarks", F.lit(0)), F.lit(0)), 4) + 0.0).alias("eye"))
 
 
 def raw_outputs(images: DataFrame) -> DataFrame:

@@ -123,3 +123,27 @@ def test_network(spark, tmp_path):
             assert np.allclose(np.array(points) * [2, 0.5], face.landmarks)
     again = {r.path.split("/")[-1][0]: r for r in detector(64)(rows).collect()}
     assert all(np.allclose([f.score for f in got[n].faces], [f.score for f in again[n].faces]) for n in got)
+
+
+def test_candidates_as_rows(spark):
+    """Rows and arrays give the same faces; priors outside the image, unsure scores and missing offsets are none."""
+    rng = np.random.default_rng(5)
+    data = [
+        (i % 9, i, int(rng.integers(-2, 262)), None if i % 17 == 0 else float(rng.integers(0, 8)) / 8, [None if i % 13 == 0 else float(x) for x in rng.normal(size=4)], [float(x) for x in rng.normal(size=10)])
+        for i in range(200)
+    ]
+    rows = spark.createDataFrame(data, "image long, place long, prior long, score double, loc array<double>, marks array<double>")
+    height, width = F.lit(64.0), F.lit(64.0) + 32 * (F.col("image") % 2)
+    got = detection.detect_rows(rows, "image", height, width, 0.3, ties=("place",))
+    arrays = rows.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("place", "prior", "score", "loc", "marks"))).alias("found"))
+    want = arrays.select("image", F.posexplode(detection.detect(F.col("found"), height, width, 0.3)).alias("face_no", "f")).select("image", "face_no", "f.*")
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect()) and got.count() > 20
+
+
+def test_boxes_are_worked_out_behind_the_shuffle(spark):
+    """No box is worked out for a condition before rows are dealt; a line moves as its five numbers."""
+    from facelake.plans.catalogue import QUERIES
+
+    plan = QUERIES["detect_raw_outputs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression")
+    assert "EXP(" in above and "EXP(" not in below
