@@ -98,16 +98,21 @@ class View:
         return self.slope * score + self.shift
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method, the intercept last."""
-    n = x.shape[1]
+#: Rows that a fit holds as floats at a time.
+FIT_ROWS = 1024
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 25, bits: int | None = None) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method, the intercept last. bits: x holds so many 0/1 features, packed."""
+    n = x.shape[1] if bits is None else bits
     w, ridge = np.zeros(n + 1), np.append(np.full(n, ridge), 1e-3)
     for _ in range(rounds):
         slope, curve = ridge * w, np.diag(ridge)
-        for at in range(0, len(x), 4096):  # x is held in its own small type
-            part = np.column_stack([x[at : at + 4096], np.ones(len(x[at : at + 4096]))])
+        for at in range(0, len(x), FIT_ROWS):  # x is held in its own small type
+            part = x[at : at + FIT_ROWS] if bits is None else np.unpackbits(x[at : at + FIT_ROWS], axis=1, count=n)
+            part = np.column_stack([part, np.ones(len(part))])
             p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            slope += part.T @ (p - y[at : at + 4096])
+            slope += part.T @ (p - y[at : at + FIT_ROWS])
             curve += (part * (p * (1 - p))[:, None]).T @ part
         step = np.linalg.solve(curve, slope)
         w -= step
@@ -257,14 +262,13 @@ def _learn(rows: DataFrame, sent, sure: float, most: int, max_fit: int) -> tuple
             for place, (given, text, meta, *labels) in zip(places, _labels([batch], sent.value if sent else None, sure), strict=True):
                 for view, (features, label) in enumerate(zip((text, meta), labels, strict=True)):
                     if label is not None and (given is not None or place < pseudo_places[view]):
-                        both = np.searchsorted(picked.value[view], np.intersect1d(picked.value[view], features, assume_unique=True))
-                        out.append((view, label, both.astype("<u2").tobytes()))
+                        out.append((view, label, np.packbits(np.isin(picked.value[view], features, assume_unique=True)).tobytes()))
             view, label, at = zip(*out, strict=True) if out else ((), (), ())
             yield pa.record_batch([pa.array(view, pa.int32()), pa.array(label, pa.int32()), pa.array(at, pa.binary())], names=["view", "label", "at"])
 
     placed = used.withColumn("place", F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)))
     sample = placed.where(F.col("place") < F.when(F.col("bad").isNull(), max(pseudo_places)).otherwise(label_places)).select("bad", "text", "meta", "place")
-    # about 2 * max_fit rows a view at most
+    # about 2 * max_fit rows a view at most, a bit for each chosen feature
     table = sample.mapInArrow(gather, "view int, label int, at binary").toArrow()
     table = table.sort_by([(c, "ascending") for c in ("view", "label", "at")])  # the order in which rows arrive must not count
     views = []
@@ -273,10 +277,8 @@ def _learn(rows: DataFrame, sent, sure: float, most: int, max_fit: int) -> tuple
         y, features = np.asarray(own.column("label"), float), chosen[view]
         model = View()
         if len(y) and 0 < y.mean() < 1:
-            x = np.zeros((len(y), len(features)), np.uint8)
-            for i, at in enumerate(own.column("at")):
-                x[i, np.frombuffer(at.as_py(), "<u2")] = 1
-            w = logistic(x, y, ridge=1.0)
+            x = np.frombuffer(b"".join(own.column("at").to_pylist()), np.uint8).reshape(len(y), (len(features) + 7) // 8)
+            w = logistic(x, y, ridge=1.0, bits=len(features))
             model.weights[features], model.prior = w[:-1], float(w[-1])
         views.append(model)
     return views[0], views[1]
